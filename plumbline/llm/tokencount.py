@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_limits, col, map_text, shared_dir
+from plumbline.llm.common import arrow_limits, col, map_text, shared_dir, stored
 
 CACHE = "digest binary, n_tokens long"
 #: GPT-2's splitting pattern, which byte-level vocabularies are made with (fixed value).
@@ -57,6 +57,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, special: dict[str, int] |
     with open(vocabulary, "rb") as f:
         content = f.read()
     kind, version = vocabulary.rpartition(".")[2], hashlib.sha256(content + repr(sorted((special or {}).items())).encode()).digest()
+    own = cache_dir is None
     cache_dir = cache_dir or f"{shared_dir(spark)}/token-counts"
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_dir)  # so that the folder exists
     cache = spark.read.schema(CACHE).parquet(cache_dir)
@@ -78,5 +79,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, special: dict[str, int] |
         return work
 
     map_text(misses, make, "n_tokens long", ["digest"]).write.mode("append").parquet(cache_dir)
-    counts = spark.read.schema(CACHE).parquet(cache_dir).dropDuplicates(["digest"])
+    counts = spark.read.schema(CACHE).parquet(cache_dir)
+    if not own:
+        counts = stored(counts.dropDuplicates(["digest"]), "counts")  # others may have appended the same digests
     return keyed.join(counts, "digest", "left").select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_tokens")
