@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, langid, mixing, quality, simhash, tokencount, toxicity
+from plumbline.llm import ann, decontaminate, langid, mixing, pii, quality, simhash, tokencount, toxicity
 from plumbline.llm.common import crc_bucket, read
 
 
@@ -16,6 +16,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -51,5 +56,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_mixing, op4_toxicity, op6_nearest_neighbours, op7_simhash_near_dedup, op8_language_id, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_pii_surrogates, op3_mixing, op4_toxicity, op6_nearest_neighbours, op7_simhash_near_dedup, op8_language_id, op9_decontamination, op10_token_counts)}
 ORACLES: dict[str, str] = {}
