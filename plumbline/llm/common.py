@@ -41,6 +41,23 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def draw(*columns: Column) -> Column:
+    """A number from 0 to below 1 by a hash of the columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, *, label: str, doc_id: str, text: str, max_docs: int, max_bytes: int) -> DataFrame:
+    """(y, text) of labelled rows that may teach, at most about max_docs, by a hash of id and text. Texts stay where
+    they are: ids and hashes are joined to the labels, and the chosen ones, of a bounded number, broadcast."""
+    whole = F.coalesce(col(text), F.lit(""))
+    rows = docs.where(train & col(doc_id).isNotNull() & (F.octet_length(whole) <= max_bytes)).select(col(doc_id).alias("id"), F.xxhash64(whole).alias("h"), whole.alias("text"))
+    known = labels.where(col(label).isNotNull()).select(col(doc_id).alias("id"), (col(label) > 0).cast("int").alias("y"))
+    held = rows.select("id", "h").join(known, "id").distinct()
+    n = held.count()
+    chosen = (held.where(draw(F.col("id"), F.col("h")) < 0.95 * max_docs / n) if n > max_docs else held).limit(max_docs)
+    return rows.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h", "y"]).select("y", "text")
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -15,9 +15,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_limits, col, map_text, run_hashes, runs
+from plumbline.llm.common import arrow_limits, labelled_sample, map_text, run_hashes, runs
 
 PASSAGE = 1024
 MAX_DOCS = 4000
@@ -123,14 +122,8 @@ class Model:
         return got[5], got[3]
 
 
-def fit(labelled: DataFrame, *, label: str, text: str = "text", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model | float:
-    """The model of labelled rows, or the share of label 1 where they don't hold both labels."""
-    rows = labelled.where(col(label).isNotNull()).select((col(label) > 0).cast("int").alias("y"), F.coalesce(col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    if len(n) < 2:
-        return float(next(iter(n))) if n else 0.5
-    draw = F.pmod(F.xxhash64("text", "y"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < 0.95 * max_docs / sum(n.values())).limit(max_docs) if sum(n.values()) > max_docs else rows
+def fit(sample: DataFrame) -> Model | float:
+    """The model of a bounded sample (y, text), or the share of label 1 where it doesn't hold both labels."""
 
     def make():
         def work(data: np.ndarray, at: np.ndarray) -> dict[str, object]:
@@ -170,8 +163,8 @@ def score(docs: DataFrame, model: Model | float, *, keep: list[str] | None = Non
     return map_text(docs, make, "score double, n_passages int, top_passage int", keep, text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "quality", doc_id: str = "doc_id", keep: list[str] | None = None, text: str = "text", **bounds) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "quality", doc_id: str = "doc_id", keep: list[str] | None = None, text: str = "text", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """score() of docs by a model of labels' rows, joined by id. train: which documents may teach."""
     arrow_limits(docs.sparkSession)
-    known = docs.where(train & col(doc_id).isNotNull()).select(col(doc_id).alias("id"), col(text).alias("text")).join(labels.select(col(doc_id).alias("id"), col(label).alias("label")), "id")
-    return score(docs, fit(known, label="label", **bounds), keep=keep, text=text)
+    sample = labelled_sample(docs, labels, train, label=label, doc_id=doc_id, text=text, max_docs=max_docs, max_bytes=max_bytes)
+    return score(docs, fit(sample), keep=keep, text=text)

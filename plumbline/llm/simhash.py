@@ -142,16 +142,30 @@ def near(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     return pairs.select("left", "right").mapInArrow(compare(radius), T.StructType.fromDDL("a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, keep: list[str] | None = None, tile: int = TILE) -> DataFrame:
-    """docs' columns `keep` (default: the id) with fingerprint (16 hex digits) and component_id (the smallest id that
-    links within `radius` bits reach)."""
-    keep = [doc_id] if keep is None else keep
-    need = keep if doc_id in keep else [*keep, doc_id]
-    prints = stored(fingerprints(docs, keep=need, text=text, words=words), "fingerprints")
+def classes(docs: DataFrame, *, doc_id: str, text: str, words: int, radius: int, keep: list[str], tile: int) -> DataFrame:
+    """docs' columns `keep` with fp, root (a fingerprint that names the class) and component_id."""
+    prints = stored(fingerprints(docs, keep=keep, text=text, words=words), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min(col(doc_id)).alias("least")), "distinct")
     roots = components(near(distinct, radius, tile))
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    out = [c for c in keep if c not in ("fingerprint", "component_id")]
-    return prints.join(named, "fp").select(*[col(c) for c in out], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(stored(grouped.join(least, "root").select("fp", "root", "component_id"), "classes"), "fp")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, keep: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """docs' columns `keep` (default: the id) with fingerprint (16 hex digits) and component_id (the smallest id that
+    links within `radius` bits reach)."""
+    keep = [c for c in ([doc_id] if keep is None else keep) if c not in ("fingerprint", "component_id")]
+    named = docs.select(*[col(c).alias(f"k_{i}") for i, c in enumerate(keep)], col(doc_id).alias("id"), col(text).alias("t"))
+    out = classes(named, doc_id="id", text="t", words=words, radius=radius, keep=[*[f"k_{i}" for i in range(len(keep))], "id"], tile=tile)
+    return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
+    """One row of each class: that of the smallest id, or one of those that share it."""
+    names = docs.columns
+    named = docs.select(*[col(c).alias(f"k_{i}") for i, c in enumerate(names)])
+    own = f"k_{names.index(doc_id)}"
+    out = classes(named, doc_id=own, text=f"k_{names.index(text)}", words=words, radius=radius, keep=named.columns, tile=tile)
+    kept = out.where(F.col(own).eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    return kept.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(names)])

@@ -23,9 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_limits, col, map_text, mix, run_hashes, runs
+from plumbline.llm.common import arrow_limits, col, draw, labelled_sample, map_text, mix, run_hashes, runs
 
-MAX_DOCS = 16000
+MAX_DOCS = 10_000
 MAX_BYTES = 1 << 16
 MINED = 256
 CHOSEN = 512
@@ -181,12 +181,14 @@ class LabelModel:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 400) -> np.ndarray:
-    """Weights, the intercept last, of a logistic model with soft labels y, by Nesterov's gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, z = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    """Weights, the intercept last, of a logistic model with soft labels y, by Nesterov's gradient steps. The last
+    column of x is all ones."""
+    w, z, big = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.ones(x.shape[1])
     penalty = np.full(x.shape[1], l2)
     penalty[-1] = 0
-    size = np.linalg.norm(x, 2) ** 2 / 4 + l2
+    for _ in range(30):  # the largest eigenvalue of x'x
+        big = x.T @ (x @ (big / np.linalg.norm(big)))
+    size = 1.1 * np.linalg.norm(big) / 4 + l2
     for k in range(rounds):
         grad = x.T @ (1 / (1 + np.exp(-(x @ z))) - y) + penalty * z
         new = z - grad / size
@@ -229,11 +231,10 @@ def vote(docs: DataFrame, voters, *, keep: list[str], text: str = "text") -> Dat
 
 
 def sampled(rows: DataFrame, most: int, max_bytes: int) -> DataFrame:
-    """At most about `most` rows of short enough texts, by a hash of the text."""
+    """(text) of at most `most` rows (id, text) with short enough texts, by a hash of both."""
     rows = rows.where(F.octet_length("text") <= max_bytes)
     n = rows.count()
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(draw < 0.95 * most / n).limit(most) if n > most else rows
+    return (rows.where(draw(F.col("id"), F.col("text")) < 0.95 * most / n).limit(most) if n > most else rows).select("text")
 
 
 def word_sets(rows: DataFrame, voters, keep: list[str]) -> pd.DataFrame:
@@ -287,22 +288,24 @@ def bits(votes: pd.Series) -> np.ndarray:
     return (votes.to_numpy(np.int64)[:, None] >> np.arange(len(VOTERS)) & 1).astype(bool)
 
 
+def mine(rows: pd.DataFrame, plain: Voters) -> tuple[list[int], float]:
+    """Words that toxic rows have and clean rows hardly do, beyond chance over that many words; the toxic share."""
+    y = rows.y.to_numpy(float)
+    share = float(np.clip(y.mean(), 0.01, 0.5)) if len(y) else 0.1
+    word, bad, good, _ = document_counts([np.frombuffer(w, np.uint64) for w in rows.words], y)
+    gain = surprise(bad, good, share)
+    sure = (bad > 20 * good) & (gain > np.log(max(2, len(word))) + 4) & ~np.isin(word, plain.words.sorted)
+    best = np.lexsort((word, -gain * sure))[: min(MINED, int(sure.sum()))]
+    return [int(h) for h in word[best]], share
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> tuple[Classifier, LabelModel]:
     spark = docs.sparkSession
     whole = F.coalesce(col(text), F.lit("")).alias("text")
-    known = docs.where(train & col(doc_id).isNotNull()).select(col(doc_id).alias("id"), whole)
-    known = known.join(labels.where(col(label).isNotNull()).select(col(doc_id).alias("id"), (col(label) > 0).cast("int").alias("y")), "id").select("y", "text")
+    known = labelled_sample(docs, labels, train, label=label, doc_id=doc_id, text=text, max_docs=max_docs, max_bytes=max_bytes)
     plain = spark.sparkContext.broadcast(Voters([]))
-    got = without_copies(word_sets(sampled(known, max_docs, max_bytes), plain, ["y"]))
-    y = got.y.to_numpy(float)
-    share = float(np.clip(y.mean(), 0.01, 0.5)) if len(y) else 0.1
-
-    # Mined lexicons: words that toxic rows have and clean rows hardly do, beyond chance over that many words.
-    word, bad, good, _ = document_counts([np.frombuffer(w, np.uint64) for w in got.words], y)
-    gain = surprise(bad, good, share)
-    sure = (bad > 20 * good) & (gain > np.log(max(2, len(word))) + 4) & ~np.isin(word, plain.value.words.sorted)
-    best = np.lexsort((word, -gain * sure))[: min(MINED, int(sure.sum()))]
-    voters = Voters([int(h) for h in word[best]])
+    mined, share = mine(without_copies(word_sets(known, plain, ["y"])), plain.value)
+    voters = Voters(mined)
     shared = spark.sparkContext.broadcast(voters)
 
     # All documents' vote patterns: at most 2 ** voters rows, whatever the number of documents.
@@ -314,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxi
         patterns = pd.DataFrame({"votes": [0], "count": [1]})
     model = LabelModel(bits(patterns.votes), patterns["count"].to_numpy(), share, rates)
 
-    sample = word_sets(sampled(docs.where(train).select(whole), max_docs, max_bytes), shared, [])
+    sample = word_sets(sampled(docs.where(train).select(col(doc_id).alias("id"), whole), max_docs, max_bytes), shared, [])
     v = bits(sample.votes) if len(sample) else np.zeros((1, len(VOTERS)), bool)
     q = model.posterior(v)
     words = [np.frombuffer(w, np.uint64) for w in sample.words] if len(sample) else [np.zeros(0, np.uint64)]
@@ -324,7 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxi
     chosen = np.lexsort((word, -gain * sure))[: min(CHOSEN, int(sure.sum()))]
     column = np.full(len(word), -1)
     column[chosen] = np.argsort(np.argsort(word[chosen]))
-    x = np.zeros((len(q), len(VOTERS) + len(chosen)))
+    x = np.ones((len(q), len(VOTERS) + len(chosen) + 1), np.float32)
+    x[:, len(VOTERS) : -1] = 0
     x[:, : len(VOTERS)] = v
     at = np.repeat(np.arange(len(q)), [len(w) for w in words])
     held = column[number] >= 0
@@ -332,14 +336,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxi
     return Classifier(voters, [int(h) for h in word[chosen]], logistic(x, q)), model
 
 
-def score(docs: DataFrame, model: Classifier, *, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """docs' columns `keep` (default: all) with score."""
+def score(docs: DataFrame, model: Classifier, *, keep: list[str] | None = None, text: str = "text", out: str = "score") -> DataFrame:
+    """docs' columns `keep` (default: all) with the score, named `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    return map_text(docs, lambda: lambda data, at: {"score": shared.value.score(data, at)}, "score double", keep, text)
+    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
+    return map_text(docs, lambda: lambda data, at: {out: shared.value.score(data, at)}, f"{out} double", keep, text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", doc_id: str = "doc_id", keep: list[str] | None = None, text: str = "text", **bounds) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", doc_id: str = "doc_id", label_id: str = "doc_id", keep: list[str] | None = None, text: str = "text", out: str = "score", **bounds) -> DataFrame:
     """score() of docs by a model fitted to them. train: which documents may teach."""
     arrow_limits(docs.sparkSession)
-    return score(docs, fit(docs, labels, train, label=label, doc_id=doc_id, text=text, **bounds)[0], keep=keep, text=text)
+    labels = labels.select(col(label_id).alias(doc_id), col(label).alias("y"))
+    return score(docs, fit(docs, labels, train, label="y", doc_id=doc_id, text=text, **bounds)[0], keep=keep, text=text, out=out)
