@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, langid, mixing, pii, quality, simhash, tokencount, toxicity
+from plumbline.llm import ann, decontaminate, katz, langid, mixing, pii, quality, simhash, tokencount, toxicity
 from plumbline.llm.common import crc_bucket, read
 
 
@@ -31,6 +31,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket(F.col("doc_id"), 7) == 2
+    out = katz.score(read(spark, sf_dir, "documents"), ~held_out, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -56,5 +62,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_pii_surrogates, op3_mixing, op4_toxicity, op6_nearest_neighbours, op7_simhash_near_dedup, op8_language_id, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_pii_surrogates, op3_mixing, op4_toxicity, op5_katz_scores, op6_nearest_neighbours, op7_simhash_near_dedup, op8_language_id, op9_decontamination, op10_token_counts)}
 ORACLES: dict[str, str] = {}
