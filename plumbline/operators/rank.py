@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import stored
+
 CELLS = 4096
 
 
@@ -67,12 +69,14 @@ def automation(curve: DataFrame, by: list[str], target: float) -> DataFrame:
 
 def average_ranks(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
     """df with the rank of x in its group, ties averaged."""
-    c = cumulate(df, by, x, {"n": F.lit(1).cast("long")}).select(*by, x, (F.col("cum_n") - (F.col("n") - 1) / 2).alias(name))
+    counts = stored(df.groupBy(*by, x).agg(F.count("*").alias("n")))  # its plan would be repeated for cells and ends
+    c = cumulate(counts, by, x, {"n": F.col("n")}).select(*by, x, (F.col("cum_n") - (F.col("n") - 1) / 2).alias(name))
     return df.join(c, [*by, x])
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks; null where a side is constant."""
+    df = stored(df.select(*by, a, b))
     r = average_ranks(average_ranks(df, by, a, "__ra"), by, b, "__rb")
     spread = (F.stddev_pop("__ra") > 0) & (F.stddev_pop("__rb") > 0)
     top = F.avg(F.col("__ra") * F.col("__rb")) - F.avg("__ra") * F.avg("__rb")

@@ -9,6 +9,7 @@ from plumbline.functions import expr as X
 from plumbline.operators import agree, calibrate, rank, resample, stability
 from plumbline.plans import views as V
 from plumbline.sources import jsonl
+from plumbline.sources.tables import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -248,9 +249,10 @@ def spearman_conf_entropy(spark, sf):
 
 @query(", r AS (SELECT rank() OVER (ORDER BY conf) + (count(*) OVER (PARTITION BY conf) - 1) / 2 AS a, rank() OVER (ORDER BY entropy) + (count(*) OVER (PARTITION BY entropy) - 1) / 2 AS b, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS z FROM cal), f AS (SELECT regr_slope(a, z) AS sa, regr_intercept(a, z) AS ia, regr_slope(b, z) AS sb, regr_intercept(b, z) AS ib FROM r), e AS (SELECT round(a - ia - sa * z, 6) + 0.0 AS a, round(b - ib - sb * z, 6) + 0.0 AS b FROM r, f), s AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS b FROM e) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM s")
 def partial_spearman(spark, sf):
-    r = V.calibration(spark, sf).select("conf", "entropy", F.col("n").alias("size"))
+    r = stored(V.calibration(spark, sf).select("conf", "entropy", F.col("n").alias("size")))
     for x, name in (("conf", "a"), ("entropy", "b"), ("size", "z")):
         r = rank.average_ranks(r, [], x, name)
+    r = stored(r)
     fit = r.agg(*[f(x, "z").alias(f"{k}{x}") for x in "ab" for k, f in (("s", F.regr_slope), ("i", F.regr_intercept))])
     e = r.crossJoin(F.broadcast(fit)).select(*[(F.round(F.col(x) - F.col(f"i{x}") - F.col(f"s{x}") * F.col("z"), 6) + 0.0).alias(x) for x in "ab"])
     return rank.spearman(e, [], "a", "b").select("n", F.round("rho", 6).alias("rho"))
