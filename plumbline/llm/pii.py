@@ -53,15 +53,16 @@ _given = "|".join(n for names in GIVEN.values() for n in names.split())
 _titles = "|".join(t for titles in TITLES.values() for t in titles.split())
 _word = r"\p{Lu}[\p{L}’']*\p{L}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,6}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,6}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "value": r"(?<=(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_.\-]{6,256}",
+    "value": r"(?<=[=:]\s{0,2}[\"']?)(?<=(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_.\-]{6,256}",
     "ip": rf"(?<![\d.]){_octet}(?:\.{_octet}){{3}}(?!\d|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{13,19})(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?!\w)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)",
-    "name": rf"(?<!\p{{L}})(?:{_titles}|{_titles.upper()})\.? {_word}(?:[ \-]{_word}){{0,2}}|(?<!\p{{L}})(?:{_given}|{_given.upper()})(?: {_word}){{1,2}}",
+    # What begins no name or title in capitals is passed over at once.
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_titles}|{_titles.upper()})\.? {_word}(?:[ \-]{_word}){{0,2}}|(?:{_given}|{_given.upper()})(?: {_word}){{1,2}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 NAME_KINDS = ("given_m", "given_f", "given_u", "surname")
