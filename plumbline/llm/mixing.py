@@ -31,6 +31,8 @@ MOST = 2
 SHARD_WORDS = 1 << 16
 MAX_SHARDS = 20_000
 BLOCK_WORDS = 128
+#: Rows of sources or shards, already on the driver, up to which they are broadcast: some MB. Beyond: a shuffled join.
+MAX_BROADCAST = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -70,6 +72,10 @@ def targets(sizes: np.ndarray, weights: np.ndarray, share: float, most: float) -
     return out
 
 
+def small(df: DataFrame, rows: list) -> DataFrame:
+    return F.broadcast(df) if len(rows) <= MAX_BROADCAST else df
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 11, keep: list[str] | None = None, spans: bool = False) -> DataFrame:
     """docs' columns `keep` (default: the id) with size, source_size, target and taken. spans: also the taken parts,
     as words from `start` to before `stop` (from 0), `times` times. weights: repeating, for sources by code point."""
@@ -91,7 +97,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
 
     rows = [(k, int(s), float(t), int(n)) for k, s, t, n in zip(known["key"], sizes, goal, known["shards"], strict=True)]
     sources = spark.createDataFrame(rows, "key string, source_size long, target double, shards long")
-    dealt = sized.join(sources, "key").withColumn("shard", F.pmod("draw", "shards"))
+    dealt = sized.join(small(sources, rows), "key").withColumn("shard", F.pmod("draw", "shards"))
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words")).toPandas().sort_values(["key", "shard"], ignore_index=True)
     shards["blocks"] = -(-shards["words"] // block)
     own_blocks = shards.groupby("key")["blocks"].sum().reindex(known["key"]).fillna(0).to_numpy(np.int64)
@@ -105,7 +111,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     quota = spark.createDataFrame(quotas, "key string, shard long, blocks long, quota long, start long")
 
     order = Window.partitionBy("key", "shard").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.join(quota, ["key", "shard"]).withColumn("to", F.sum("size").over(order))
+    placed = dealt.join(small(quota, quotas), ["key", "shard"]).withColumn("to", F.sum("size").over(order))
     chosen = f"((k * quota + start) div greatest(blocks, 1))"  # blocks selected before block k
     before = lambda t: f"({chosen.replace('k *', f'({t} div {block}) *')} * {block} + ({t} % {block}) * ({chosen.replace('k *', f'({t} div {block} + 1) *')} - {chosen.replace('k *', f'({t} div {block}) *')}))"
     out = placed.withColumn("taken", F.when(F.col("size") > 0, F.expr(f"{before('to')} - {before('(to - size)')}")).otherwise(F.lit(0).cast("long")))
