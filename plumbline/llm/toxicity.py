@@ -1,15 +1,18 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 Voters look at each text's words: fixed lexicons by theme and language, two lexicons mined from labelled training
-rows, and patterns (an insult soon after "you", several insults, masked profanity, shouting). Their votes over all
-documents are counted by vote pattern. A generative model of a hidden class and the votes is fitted to these counts
-by expectation maximisation: it has each voter's rates in both classes (its accuracy) and, along the strongest
+rows, stems mined from them (word starts of 4 to 8 bytes that several different words of a toxic text share), and
+patterns (an insult soon after "you", several insults by word or stem, masked profanity, shouting). A stem alone says little, as clean
+texts have such words by chance, so its voters ask for several different words that make up a share of the text.
+Votes over all documents are counted by vote pattern. A generative model of a hidden class and the votes is fitted to these counts
+by expectation maximisation, in which labelled training rows count as much as all documents and keep their class
+(left alone, the hidden class becomes whatever splits the votes best, such as "several"): it has each voter's rates in both classes (its accuracy) and, along the strongest
 edges of a tree over voters, their correlations within a class. Its posteriors label a bounded sample of documents
 (at most MAX_DOCS, of at most MAX_BYTES bytes, drawn by a hash of the text, texts of held-out rows left out), from
 which a logistic model over chosen words and votes learns. That model scores every whole text.
 
 Defined results: null and empty texts have no votes and get the score of such texts; without labelled training rows
-the mined lexicons are empty and the class share starts at 0.1; repeated rows get equal scores; columns named like
+the mined lexicons and stems are empty and the class share starts at 0.1; repeated rows get equal scores; columns named like
 outputs are replaced.
 """
 
@@ -23,11 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_limits, col, draw, labelled_sample, map_text, mix, run_hashes, runs
+from plumbline.llm.common import arrow_limits, col, draw, labelled_sample, map_text, mix, powers, run_hashes, runs, stored
 
 MAX_DOCS = 10_000
 MAX_BYTES = 1 << 16
 MINED = 256
+STEM_BYTES = range(4, 9)
 CHOSEN = 512
 
 # Lexicons, by theme or language.
@@ -43,7 +47,7 @@ LEXICONS = {
 }
 YOU = "you your youre you're ur u"
 MASKED = re.compile(rb"(?<![a-z])(?:f[*@#]+ck?|s[*@#!]+t|b[*@#!]+tch|a[*@#$]+hole|c[*@#]+nt|d[*@#!]+ck)(?![a-z])")
-VOTERS = [*LEXICONS, "mined_even", "mined_odd", "after_you", "several", "masked", "shouting"]
+VOTERS = [*LEXICONS, "mined_even", "mined_odd", "after_you", "several", "masked", "shouting", "stems", "more_stems"]
 
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = WORD[0x80:] = WORD[0x27] = True
@@ -57,6 +61,19 @@ def word_hash(word: str) -> int:
     return int(run_hashes(raw, np.array([0]), np.array([len(raw)]), np.ones(len(raw), bool))[0])
 
 
+def stem_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of STEM_BYTES, the words at least that long and hashes of their starts."""
+    out, power = [], powers(0x9E3779B97F4A7C15, max(STEM_BYTES))
+    word, total = np.arange(len(starts)), np.zeros(len(starts), np.uint64)
+    for k in range(max(STEM_BYTES)):
+        long = ends[word] - starts[word] > k
+        word, total = word[long], total[long]
+        total = total + (low[starts[word] + k].astype(np.uint64) + np.uint64(1)) * power[k]
+        if k + 1 in STEM_BYTES:
+            out.append((word, mix(total ^ np.uint64(k + 1))))
+    return out
+
+
 class Words:
     """A set of word hashes to look up, each with a number."""
 
@@ -73,10 +90,19 @@ class Words:
         return maybe[hit], number[hit]
 
 
+def pairs(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, in order of both."""
+    order = np.lexsort((hashes, of))
+    of, hashes = of[order], hashes[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
+    return of[new], hashes[new]
+
+
 class Voters:
     """Votes of a slice of texts: a boolean matrix of texts by VOTERS."""
 
-    def __init__(self, mined: list[int]) -> None:
+    def __init__(self, mined: list[int], stems: list[int]) -> None:
         groups = {name: [word_hash(w) for w in words.split()] for name, words in LEXICONS.items()}
         groups["mined_even"], groups["mined_odd"] = sorted(mined)[::2], sorted(mined)[1::2]
         self.words = Words([h for g in groups.values() for h in g])
@@ -84,12 +110,23 @@ class Voters:
         for i, g in enumerate(groups.values()):
             self.member[np.isin(self.words.sorted, np.array(g, np.uint64)), i] = True
         self.you = np.array([word_hash(w) for w in YOU.split()], np.uint64)
-
-    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Votes; and the hash and the text of every word."""
+        self.stems = Words(stems)
+
+    def stemmed(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which words start with a mined stem."""
+        found = np.zeros(len(starts), bool)
+        if len(self.stems.sorted):
+            for word, hashes in stem_hashes(low, starts, ends):
+                found[word[self.stems.find(hashes)[0]]] = True
+        return np.flatnonzero(found)
+
+    def __call__(self, data: np.ndarray, at: np.ndarray, places: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Votes; and the hash and the text of every word. To `places`, if given, go the words' bytes, starts and ends."""
         n = len(at) - 1
         low = FOLD[data]
         starts, ends, first, marks = runs(low, at, WORD)
+        if places is not None:
+            places += [low, starts, ends]
         hashes, count = run_hashes(low, starts, ends, marks), np.diff(first)
         of = np.repeat(np.arange(n), count)
         votes = np.zeros((n, len(VOTERS)), bool)
@@ -108,23 +145,34 @@ class Voters:
         sums = np.concatenate([[0], np.cumsum((data >= 0x41) & (data <= 0x5A))])
         upper, letters = np.diff(sums[at]), np.diff(np.concatenate([[0], np.cumsum(WORD[data])])[at])
         votes[:, groups + 3] = upper > 0.5 * np.maximum(letters, 1)
+        held = self.stemmed(low, starts, ends)
+        share = np.bincount(of[held], minlength=n) / np.maximum(count, 1)
+        different = np.bincount(pairs(of[held], hashes[held])[0], minlength=n)
+        votes[:, groups + 4] = (different >= 2) & (share >= 0.005)
+        votes[:, groups + 1] |= votes[:, groups + 4]  # insults by word or by stem: else each kind's absence speaks against the other
+        votes[:, groups + 5] = (different >= 3) & (share >= 0.01)
         return votes, hashes, of
 
 
 class LabelModel:
     """P(class | votes) from counts of vote patterns."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, share: float, rates: np.ndarray, rounds: int = 60) -> None:
-        """patterns: bool (patterns, voters); share and rates (2, voters): where to start."""
-        v, n = patterns.astype(int), counts.astype(float)
-        m = v.shape[1]
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, share: float, rates: np.ndarray, anchors: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = 60) -> None:
+        """patterns: bool (patterns, voters); share and rates (2, voters): where to start; anchors: patterns, counts
+        and classes of labelled rows, which weigh as much as all others together."""
+        known, times, truth = anchors
+        n = np.concatenate([counts.astype(float), times * (counts.sum() / max(1, times.sum()))])
+        patterns = np.concatenate([patterns, known])
+        v, m = patterns.astype(int), patterns.shape[1]
         self.parent = np.full(m, -1)
         q = self._posterior_independent(v, share, rates)
+        q[len(counts) :] = truth
         for step in range(rounds):
             if step in (10, 30):
                 self.parent = self._tree(v, n, q)
             self._fit(v, n, q)
             q = self.posterior(patterns)
+            q[len(counts) :] = truth
         self.accuracy = np.array([[(n * w * (v[:, i] == k)).sum() / max(1e-9, (n * w).sum()) for i in range(m)] for k, w in ((0, 1 - q), (1, q))])
         self.correlation = self._correlations(v, n, q)
 
@@ -237,20 +285,42 @@ def sampled(rows: DataFrame, most: int, max_bytes: int) -> DataFrame:
     return (rows.where(draw(F.col("id"), F.col("text")) < 0.95 * most / n).limit(most) if n > most else rows).select("text")
 
 
+def by_text(of: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
+    cut = np.searchsorted(of, np.arange(n))
+    return [hashes[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def repeated_stems(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, stem) where at least two different words of the text start with the stem."""
+    order = np.lexsort((hashes, of))
+    new = np.ones(len(order), bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    own = order[new]
+    found = [(of[own][word], stem) for word, stem in stem_hashes(low, starts[own], ends[own])]
+    text, stem = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((stem, text))
+    text, stem = text[order], stem[order]
+    again = np.zeros(len(text), bool)
+    again[1:] = (text[1:] == text[:-1]) & (stem[1:] == stem[:-1])
+    return pairs(text[again], stem[again])
+
+
 def word_sets(rows: DataFrame, voters, keep: list[str]) -> pd.DataFrame:
-    """Of a bounded sample: kept columns, votes and the distinct word hashes of each text."""
+    """Of a bounded sample: kept columns, votes, the distinct word hashes of each text, and the stems that at least
+    two different words of it have."""
 
     def make():
         known = voters.value
 
         def work(data: np.ndarray, at: np.ndarray) -> dict[str, object]:
-            votes, hashes, of = known(data, at)
-            cut = np.searchsorted(of, np.arange(len(at)))
-            return {"votes": votes @ (1 << np.arange(len(VOTERS))), "words": [np.unique(hashes[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}
+            places: list = []
+            votes, hashes, of = known(data, at, places)
+            words = pairs(of, hashes)
+            return {"votes": votes @ (1 << np.arange(len(VOTERS))), "words": by_text(*words, len(at)), "stems": by_text(*repeated_stems(*places, hashes, of), len(at))}
 
         return work
 
-    out = map_text(rows, make, "votes int, words binary", keep).toPandas()
+    out = map_text(rows, make, "votes int, words binary, stems binary", keep).toPandas()
     return out.sort_values([*keep, "votes", "words"], ignore_index=True)  # the order doesn't depend on partitions
 
 
@@ -288,34 +358,46 @@ def bits(votes: pd.Series) -> np.ndarray:
     return (votes.to_numpy(np.int64)[:, None] >> np.arange(len(VOTERS)) & 1).astype(bool)
 
 
-def mine(rows: pd.DataFrame, plain: Voters) -> tuple[list[int], float]:
-    """Words that toxic rows have and clean rows hardly do, beyond chance over that many words; the toxic share."""
+def telling(sets: pd.Series, y: np.ndarray, share: float, ratio: float, margin: float) -> np.ndarray:
+    """Words or stems that toxic rows have and clean rows rarely do, beyond chance over as many as three rows have."""
+    word, bad, good, _ = document_counts([np.frombuffer(w, np.uint64) for w in sets], y)
+    gain = surprise(bad, good, share)
+    sure = (bad > ratio * good) & (gain > np.log(max(2, (bad + good >= 3).sum())) + margin)
+    return word[np.lexsort((word, -gain * sure))[: int(sure.sum())]]
+
+
+def mine(rows: pd.DataFrame, plain: Voters) -> tuple[list[int], list[int], float]:
+    """The most telling words outside the lexicons, the most telling stems, and the toxic share."""
     y = rows.y.to_numpy(float)
     share = float(np.clip(y.mean(), 0.01, 0.5)) if len(y) else 0.1
-    word, bad, good, _ = document_counts([np.frombuffer(w, np.uint64) for w in rows.words], y)
-    gain = surprise(bad, good, share)
-    sure = (bad > 20 * good) & (gain > np.log(max(2, len(word))) + 4) & ~np.isin(word, plain.words.sorted)
-    best = np.lexsort((word, -gain * sure))[: min(MINED, int(sure.sum()))]
-    return [int(h) for h in word[best]], share
+    words = telling(rows.words, y, share, 20, 4)
+    words = words[~np.isin(words, plain.words.sorted)]
+    return [int(h) for h in words[:MINED]], [int(h) for h in telling(rows.stems, y, share, 4, 2)[:MINED]], share
+
+
+def anchored(known: DataFrame, voters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vote patterns of the labelled sample: patterns, counts, classes."""
+    seen = vote(known, voters, keep=["y"]).groupBy("y", "votes").count().toPandas().sort_values(["y", "votes"])
+    return bits(seen.votes), seen["count"].to_numpy(float), seen.y.to_numpy(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> tuple[Classifier, LabelModel]:
     spark = docs.sparkSession
     whole = F.coalesce(col(text), F.lit("")).alias("text")
     known = labelled_sample(docs, labels, train, label=label, doc_id=doc_id, text=text, max_docs=max_docs, max_bytes=max_bytes)
-    plain = spark.sparkContext.broadcast(Voters([]))
-    mined, share = mine(without_copies(word_sets(known, plain, ["y"])), plain.value)
-    voters = Voters(mined)
+    known = stored(known, "labelled")
+    plain = spark.sparkContext.broadcast(Voters([], []))
+    mined, stems, share = mine(without_copies(word_sets(known, plain, ["y"])), plain.value)
+    voters = Voters(mined, stems)
     shared = spark.sparkContext.broadcast(voters)
 
     # All documents' vote patterns: at most 2 ** voters rows, whatever the number of documents.
     patterns = vote(docs.select(whole), shared, keep=[]).groupBy("votes").count().toPandas().sort_values("votes", ignore_index=True)
     # Where to start: an insult voter is rare in the clean class.
     rates = np.array([[0.01] * len(VOTERS), [0.3] * len(VOTERS)])
-    rates[:, -1] = 0.1
     if patterns.empty:
         patterns = pd.DataFrame({"votes": [0], "count": [1]})
-    model = LabelModel(bits(patterns.votes), patterns["count"].to_numpy(), share, rates)
+    model = LabelModel(bits(patterns.votes), patterns["count"].to_numpy(), share, rates, anchored(known, shared))
 
     sample = word_sets(sampled(docs.where(train).select(col(doc_id).alias("id"), whole), max_docs, max_bytes), shared, [])
     v = bits(sample.votes) if len(sample) else np.zeros((1, len(VOTERS)), bool)
