@@ -5,7 +5,7 @@ folder before the next one reads it. All but the last return the columns of docu
 their names. An empty table passes through as empty.
 
 1. toxicity: documents with a score of 0.5 or more go.
-2. near_duplicates: one document of each SimHash class stays, that of the smallest id.
+2. near_duplicates: of texts that links of similarity 0.8 or more (five-word shingles) connect, the smallest id stays.
 3. decontamination: documents of which benchmark passages cover 5 % or more go.
 4. pii: entities give way to surrogates; n_chars follows where it is there. Null texts stay null.
 5. mixing: how many words the mix takes of each document; documents of which it takes none stay, with 0.
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, pii, simhash, toxicity
+from plumbline.llm import decontaminate, mixing, nearcopies, pii, simhash, toxicity
 from plumbline.llm.common import read, stored
 
 
@@ -39,9 +39,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By op7's classes, which few edited copies share; the stage is near_copies."""
     return simhash.deduplicate(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return nearcopies.deduplicate(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = read(spark, sf_dir, "benchmark")
     return apart(docs, lambda d, names: decontaminate.decontaminate(d, benchmark, text=names["text"]).where("not contaminated"))
@@ -58,7 +63,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxic),
-    ("near_duplicates", near_duplicates),
+    ("near_duplicates", near_copies),
     ("decontamination", decontamination),
     ("pii", surrogates),
     ("mixing", mixed),
