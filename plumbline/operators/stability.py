@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import jsd_nats, total, tvd
+from plumbline.functions.expr import bin_digitize, jsd_nats, total, tvd
+from plumbline.operators.calibrate import ece, reliability
 
 
 def label_stability(df: DataFrame, by: list[str]) -> DataFrame:
@@ -44,3 +45,14 @@ def version_changes(df: DataFrame, client: str, order: list[str], version: str,
     """Rows whose version differs from the one before within (client, slot); slot bounds a window's rows."""
     w = Window.partitionBy(client, slot).orderBy(*order)
     return df.withColumn("previous", F.lag(version).over(w)).where(F.col("previous") != F.col(version))
+
+
+def by_pass(df: DataFrame, client: str, number: str, bins: int = 10) -> DataFrame:
+    """Per client and pass, however many there are: n, accuracy, ece; and in every row of a client its passes, the
+    ranges of both, and whether they move materially (accuracy by over 0.05 or ece by over 0.02); null of one pass."""
+    binned = reliability(df, [client, number], bin_digitize(F.col("conf"), bins))
+    accuracy = binned.groupBy(client, number).agg((F.sum(F.col("n") * F.col("mean_correct")) / F.sum("n")).alias("accuracy"))
+    rows = ece(binned, [client, number]).select(client, number, "n", "ece").join(accuracy, [client, number])
+    several = lambda c: F.when(F.count("*") > 1, F.max(c) - F.min(c))
+    ranges = rows.groupBy(client).agg(F.count("*").alias("passes"), several("accuracy").alias("accuracy_range"), several("ece").alias("ece_range"))
+    return rows.join(ranges, client).withColumn("material_move", (F.col("accuracy_range") > 0.05) | (F.col("ece_range") > 0.02))

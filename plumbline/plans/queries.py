@@ -316,6 +316,17 @@ def accuracy_by_pass(spark, sf):
     return V.panel(spark, sf).where("repeat <= 4").groupBy("client", F.col("repeat").alias("pass")).agg(F.round(F.avg((F.col("decision") == "N").cast("int")), 9).alias("accuracy"))
 
 
+_PASS = ", t AS (SELECT client, repeat AS pass, len([x FOR x IN e IF x <= confidence]) AS bin, count(*) AS n, avg((decision = 'N')::INT) AS mc, avg(confidence) AS mp FROM panel, edges GROUP BY ALL), s AS (SELECT client, pass, sum(n)::DOUBLE AS n, sum(n * mc) / sum(n) AS accuracy, sum(n * abs(mc - mp)) / sum(n) AS ece FROM t GROUP BY 1, 2), r AS (SELECT client, count(*) AS passes, CASE WHEN count(*) > 1 THEN max(accuracy) - min(accuracy) END AS accuracy_range, CASE WHEN count(*) > 1 THEN max(ece) - min(ece) END AS ece_range FROM s GROUP BY 1) "
+
+
+@query(_PASS + "SELECT client, pass, n, round(accuracy, 9) AS accuracy, round(ece, 9) + 0.0 AS ece, passes, round(accuracy_range, 9) + 0.0 AS accuracy_range, round(ece_range, 9) + 0.0 AS ece_range, (accuracy_range > 0.05 OR ece_range > 0.02) AS material_move FROM s JOIN r USING (client)")
+def stability_by_pass(spark, sf):
+    """Every pass; accuracy_by_pass has the first four only."""
+    rows = V.panel(spark, sf).withColumnRenamed("confidence", "conf").withColumn("correct", (F.col("decision") == "N").cast("int"))
+    out = stability.by_pass(rows.withColumnRenamed("repeat", "pass"), "client", "pass")
+    return out.select("client", "pass", "n", *r9("accuracy", "ece"), "passes", *r9("accuracy_range", "ece_range"), "material_move")
+
+
 @query("SELECT source, lang, count(*) AS n, round(avg(correct), 9) AS accuracy, round(avg(conf), 9) AS mean_conf, sum(pred)::BIGINT AS positives FROM bina GROUP BY GROUPING SETS ((lang), (lang, source))")
 def client_blocks(spark, sf):
     return V.binary(spark, sf).groupingSets([[F.col("lang")], [F.col("lang"), F.col("source")]], F.col("source"), F.col("lang")).agg(F.count("*").alias("n"), F.round(F.avg("correct"), 9).alias("accuracy"), F.round(F.avg("conf"), 9).alias("mean_conf"), F.sum("pred").alias("positives"))
