@@ -54,8 +54,8 @@ _titles = "|".join(t for titles in TITLES.values() for t in titles.split())
 _word = r"\p{Lu}[\p{L}’']*\p{L}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,6}",
-    "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "value": r"(?<=[=:]\s{0,2}[\"']?)(?<=(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_.\-]{6,256}",
+    "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
+    "value": r"(?<=[=:]\s{0,2}[\"']?)(?<=(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_.\-]{6,}+",
     "ip": rf"(?<![\d.]){_octet}(?:\.{_octet}){{3}}(?!\d|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -65,6 +65,8 @@ PATTERNS = {
     "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_titles}|{_titles.upper()})\.? {_word}(?:[ \-]{_word}){{0,2}}|(?:{_given}|{_given.upper()})(?: {_word}){{1,2}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Whatever ANY matches has one of these: a sign of an address, a number, a name, a value's context or a key of letters.
+HINT = r"[@0-9]|\p{L}\.? \p{Lu}|(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s{0,2}[=:]|[A-Za-z]{20}"
 NAME_KINDS = ("given_m", "given_f", "given_u", "surname")
 
 
@@ -123,30 +125,42 @@ def entities(v: Column, kind: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "name", names).otherwise(plain)
 
 
+def once(value: Column, f) -> Column:
+    """f(value), by an array of one, so that the value is worked out once and not at each use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def number(seed: Column, i: Column) -> Column:
-    """The i-th number (from 0) of a 512-bit hex digest, 0 to 65535; repeats after 32."""
-    return F.conv(F.substring(seed, F.pmod(i, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    """The i-th number (from 0) drawn of a 512-bit hex digest, 0 to 65535; every 32 have a digest of their own."""
+    digest = F.when(i < 32, seed).otherwise(F.sha2(F.concat_ws("|", seed, F.floor(i / 32).cast("string")), 512))
+    return F.conv(F.substring(digest, F.pmod(i, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
 def seed_of(key: str, entity: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), entity, attempt.cast("string")), 512)
 
 
-def like(v: Column, seed: Column, keep: Column, hexes: Column) -> Column:
-    """v with its alphanumerics redrawn in place, but for the first `keep`; hexes: only hex letters."""
-    place = lambda i: F.length(F.regexp_replace(F.substring(v, F.lit(1), i + 1), "[^0-9A-Za-z]", "")) - 1
+def like(v: Column, seed: Column, keep: Column | int, hexes: Column) -> Column:
+    """v with its alphanumerics redrawn in place, but for the first `keep`; hexes: only hex letters. Work is in
+    proportion to the length: pieces of 64 characters, longer than any kind whose separators don't count."""
+    keep = keep if isinstance(keep, Column) else F.lit(keep)
+
+    def whole(x: Column) -> Column:
+        def piece(p: Column, k: Column) -> Column:
+            place = lambda i: k * 64 + F.length(F.regexp_replace(F.substring(p, F.lit(1), i + 1), "[^0-9A-Za-z]", "")) - 1
+
+            def drawn(c: Column, i: Column) -> Column:
+                letters = F.when(x["hexes"], 6).otherwise(26)
+                letter = lambda n: F.char(F.when(c.rlike("[a-z]"), 97).otherwise(65) + F.pmod(n, letters))
+                new = lambda n: F.when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string")).otherwise(letter(n))
+                at = lambda i: F.when(i < x["keep"], c).otherwise(once(number(x["seed"], i), new))
+                return F.when(~c.rlike("[0-9A-Za-z]"), c).otherwise(once(place(i), at))
+
+            return F.array_join(F.transform(F.split(p, ""), drawn), "")
 
-    def drawn(c: Column, i: Column) -> Column:
-        n = number(seed, place(i))
-        letters = F.when(hexes, 6).otherwise(26)
-        return (
-            F.when(~c.rlike("[0-9A-Za-z]") | (place(i) < keep), c)
-            .when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string"))
-            .when(c.rlike("[a-z]"), F.char(F.lit(97) + F.pmod(n, letters)))
-            .otherwise(F.char(F.lit(65) + F.pmod(n, letters)))
-        )
+        return F.array_join(F.transform(F.regexp_extract_all(v, F.lit("(?s).{1,64}"), F.lit(0)), piece), "")
 
-    return F.array_join(F.transform(F.split(v, ""), drawn), "")
+    return once(F.struct(seed.alias("seed"), keep.alias("keep"), hexes.alias("hexes")), whole)
 
 
 def luhn(digits: Column, skip_last: bool) -> Column:
@@ -270,7 +284,7 @@ def resolved(found: DataFrame, key: str) -> DataFrame:
 
 
 def matches_of(text: Column) -> Column:
-    hint = F.coalesce(text.rlike(r"[@0-9]|\p{L}\.? \p{Lu}"), F.lit(False))
+    hint = F.coalesce(text.rlike(HINT), F.lit(False))
     return F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
