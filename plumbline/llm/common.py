@@ -25,10 +25,18 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def others(columns: list[str], outputs: set[str] | list[str]) -> list[str]:
+    """The columns that no output replaces; as Spark, without regard to case."""
+    taken = {o.lower() for o in outputs}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none (tests)."""
+    """The folder that driver and executors share. One of our own only in local mode, where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
@@ -46,11 +54,11 @@ def draw(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, *, label: str, doc_id: str, text: str, max_docs: int, max_bytes: int) -> DataFrame:
-    """(y, text) of labelled rows that may teach, at most about max_docs, by a hash of id and text. Texts stay where
-    they are: ids and hashes are joined to the labels, and the chosen ones, of a bounded number, broadcast."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, *, label: str, doc_id: str, text: str, max_docs: int) -> DataFrame:
+    """(y, text) of labelled rows that may teach, at most about max_docs, by a hash of id and text, of any length. Texts
+    stay where they are: ids and hashes are joined to the labels, and the chosen ones, of a bounded number, broadcast."""
     whole = F.coalesce(col(text), F.lit(""))
-    rows = docs.where(train & col(doc_id).isNotNull() & (F.octet_length(whole) <= max_bytes)).select(col(doc_id).alias("id"), F.xxhash64(whole).alias("h"), whole.alias("text"))
+    rows = docs.where(train & col(doc_id).isNotNull()).select(col(doc_id).alias("id"), F.xxhash64(whole).alias("h"), whole.alias("text"))
     known = labels.where(col(label).isNotNull()).select(col(doc_id).alias("id"), (col(label) > 0).cast("int").alias("y"))
     held = rows.select("id", "h").join(known, "id").distinct()
     n = held.count()
@@ -97,7 +105,7 @@ def map_text(
     value per row and output column. A kept column whose name is also an output is replaced by the output.
     """
     fields = T.StructType.fromDDL(out)
-    keep = [c for c in keep if c.lower() not in {f.name.lower() for f in fields}]
+    keep = others(keep, [f.name for f in fields])
     source = df.select(*[col(c) for c in keep], col(text).alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], *fields])
     types = [T.StructType([f]) for f in fields]

@@ -1,18 +1,20 @@
 """Language identification by partial matching: per-language byte context trees with escape probabilities.
 
-Training counts byte sequences of four in the training rows of each language (a sample of at most MAX_DOCS texts of
-at most MAX_BYTES bytes each per language, drawn by a hash of the text). From these come, per language, contexts of
+Training counts byte sequences of four in the training rows of each language (a sample of at most MAX_DOCS texts per
+language and MAX_MB megabytes in all, drawn by a hash of the text, of any length). From these come, per language, contexts of
 three to zero bytes. In a context seen T times with q distinct next bytes, a seen byte has probability n / (T + q)
 (escape method C) and the escape q / (T + q); an escape goes on in the context shortened by its first byte, without
 the bytes already excluded, down to equal chances for all bytes. Statistics are frozen, so a text's code length is
 a sum of table entries; it is exact: each context's probabilities add up to 1. The language with the shortest code,
 its prior included, is the prediction, and its posterior the score.
 
-Contexts are kept by falling count so that the table stays under TABLE_MB; a dropped context is its shorter one.
+The table has a row for each (context, byte) that any language saw, and one for each context's escapes, with a number
+per language: it grows with what was observed, and a language's statistics don't depend on how many others there are.
+A context seen once in all languages together is its shorter one.
 
 Defined results: null texts and texts without a letter give `und` with score 0; rows with null language teach
 nothing; without any training row every text is `und`; equal code lengths give the language first by code point;
-columns named like outputs are replaced.
+columns named like outputs are replaced, whatever their case.
 """
 
 from __future__ import annotations
@@ -25,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_limits, col, map_text, slices, text_bytes
+from plumbline.llm.common import arrow_limits, col, draw, map_text, others, slices, text_bytes
 
 MAX_DOCS = 2000
-MAX_BYTES = 1 << 16
-TABLE_MB = 64
+MAX_MB = 64
 ORDER = 3
 BASE = 257  # byte + 1; 0 stands for what precedes a text
 
@@ -47,23 +48,25 @@ def before(symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 def count_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
+        langs = np.asarray(batch.column(0), np.int64)
         data, at = text_bytes(batch.column(1))
         for a, b in slices(at):
             part, where = data[at[a] : at[b]].astype(np.int64) + 1, at[a : b + 1] - at[a]
             one, two, three = before(part, where)
             keys = ((three * BASE + two) * BASE + one) * BASE + part
             of = np.repeat(langs[a:b], np.diff(where))
-            for lang in set(langs[a:b]):
+            for lang in np.unique(langs[a:b]):
                 key, n = np.unique(keys[of == lang], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["lang", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lang, np.int32)), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["lang", "key", "n"])
 
 
 class Model:
-    """langs, and tables to sum code lengths with: symbol of a byte, context of three symbols, bits by context, symbol and language."""
+    """langs, and tables to sum code lengths with: the symbol of a byte, the longest known context of three symbols, the
+    row of a context and symbol, bits by row and language, and each context's escape bits and shorter context."""
 
-    def __init__(self, counts: pd.DataFrame, docs: pd.Series, table_mb: float = TABLE_MB) -> None:
-        self.langs = sorted(docs.index)
+    def __init__(self, counts: pd.DataFrame, docs: dict[str, int]) -> None:
+        """counts: lang (place in sorted docs), key of four symbols, n; docs: training rows by language."""
+        self.langs = sorted(docs)
         keys = counts["key"].to_numpy(np.int64)
         parts = [keys // BASE ** (ORDER - i) % BASE for i in range(ORDER + 1)]  # three back ... the symbol
         bytes_seen = np.unique(parts[-1])
@@ -72,58 +75,70 @@ class Model:
         place[bytes_seen] = np.arange(1, len(bytes_seen) + 1)  # 0: start, and any byte not seen
         self.symbol = place[1:].astype(np.int32)
         parts = [place[p] for p in parts]
-        lang = np.searchsorted(np.array(self.langs), counts["lang"].to_numpy(str))
-        n, a, k = counts["n"].to_numpy(float), self.n_symbols, len(self.langs)
+        lang, n, a, k = counts["lang"].to_numpy(np.int64), counts["n"].to_numpy(float), self.n_symbols, len(self.langs)
 
         key_of = lambda size: sum((parts[ORDER - 1 - i] * a**i for i in range(size)), np.zeros(len(keys), np.int64))
-        kept: list[np.ndarray] = []
-        room = max(1, int(table_mb * 1e6 / (4 * a * k)) - 1)
+        kept: list[np.ndarray] = [np.zeros(1, np.int64)]
         for size in range(1, ORDER + 1):
             known, which = np.unique(key_of(size), return_inverse=True)
-            total = np.bincount(which, n, len(known))
-            best = np.lexsort((known, -total))[:room]
-            best = best[total[best] >= 2]
-            kept.append(np.sort(known[best]))
-            room -= len(best)
-        # A longer context is kept only where the shorter one is.
-        for size in range(2, ORDER + 1):
-            kept[size - 1] = kept[size - 1][np.isin(kept[size - 1] % a ** (size - 1), kept[size - 2])]
-
-        prob = np.full((1, a, k), 1 / a)
-        rows = [self._order(prob, np.zeros(1, np.int64), np.zeros(len(keys), np.int64), parts[-1], lang, n, a, k)]
-        first, offsets = np.zeros(1, np.int64), [0]
-        for size, known in enumerate(kept, 1):
-            here = key_of(size)
-            where = np.minimum(np.searchsorted(known, here), max(0, len(known) - 1))
-            hit = known[where] == here if len(known) else np.zeros(len(here), bool)
-            shorter = np.searchsorted(first, known % a ** (size - 1)) if size > 1 else np.zeros(len(known), np.int64)
-            rows.append(self._order(rows[-1], shorter, where[hit], parts[-1][hit], lang[hit], n[hit], a, k))
-            offsets.append(offsets[-1] + len(rows[-2]))
-            first = known
-        self.bits = -np.log2(np.concatenate(rows)).astype(np.float32).reshape(-1, k)
+            known = known[np.bincount(which, n, len(known)) >= 2]
+            kept.append(known[np.isin(known % a ** (size - 1), kept[-1])])  # a longer context only where the shorter one is
+        first = np.cumsum([0] + [len(x) for x in kept])  # contexts are numbered by size, then key
+        self.shorter = np.zeros(first[-1], np.int32)
+        escapes, bits, self.row = np.zeros((first[-1], k)), [], np.full((first[-1], a), -1, np.int32)
+        for size, known in enumerate(kept):
+            at = np.searchsorted(known, key_of(size))
+            hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == key_of(size)) if len(known) else np.zeros(len(keys), bool)
+            cell, which = np.unique(at[hit] * a + parts[-1][hit], return_inverse=True)
+            count = np.zeros((len(cell), k))
+            np.add.at(count, (which, lang[hit]), n[hit])
+            context, symbol = np.divmod(cell, a)
+            total, distinct, given = np.zeros((len(known), k)), np.zeros((len(known), k)), np.zeros((len(known), k))
+            own = np.arange(len(known)) + first[size]
+            if size:
+                self.shorter[own] = first[size - 1] + np.searchsorted(kept[size - 1], known % a ** (size - 1))
+                lower = 2.0 ** -self._bits(self.shorter[own][context], symbol, bits, escapes)
+            else:
+                lower = np.full((len(cell), k), 1 / a)
+            np.add.at(total, context, count)
+            np.add.at(distinct, context, count > 0)
+            np.add.at(given, context, np.where(count > 0, lower, 0))  # what the seen bytes have in the shorter context
+            left = 1 - given
+            full = distinct >= a  # no escape where every symbol was seen
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out = np.where(total == 0, 1.0, np.where(full, 1e-300, distinct / (total + distinct) / np.maximum(left, 1e-300)))
+                scale = np.where(full, total, total + distinct)[context]
+                p = np.where(count > 0, count / scale, out[context] * lower)
+            escapes[own] = -np.log2(out)
+            self.row[own[context], symbol] = sum(len(b) for b in bits) + np.arange(len(cell))
+            bits.append(-np.log2(p))
+        self.bits, self.escapes = np.concatenate(bits).astype(np.float32), escapes.astype(np.float32)
         self.context = np.zeros(a**ORDER, np.int32)
         every = np.arange(a**ORDER)
-        for size, known in enumerate(kept, 1):
+        for size, known in enumerate(kept[1:], 1):
             if len(known):
                 short = every % a**size
-                where = np.minimum(np.searchsorted(known, short), len(known) - 1)
-                hit = known[where] == short
-                self.context[hit] = offsets[size] + where[hit]
-        self.prior = -np.log2(docs.reindex(self.langs).to_numpy(float) / docs.sum())
-
-    @staticmethod
-    def _order(shorter: np.ndarray, of: np.ndarray, context: np.ndarray, symbol: np.ndarray, lang: np.ndarray, n: np.ndarray, a: int, k: int) -> np.ndarray:
-        """Probabilities in contexts whose shorter ones are rows `of` of `shorter`, from counts of (context, symbol, language)."""
-        size = len(of)
-        count = np.bincount((context * a + symbol) * k + lang, n, size * a * k).reshape(size, a, k)
-        total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        lower = shorter[of]
-        rest = np.where(count > 0, 0.0, lower)
-        left = rest.sum(1, keepdims=True)
-        scale = np.where(left > 0, total + distinct, total)  # no escape where every symbol was seen
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out = np.where(count > 0, count / scale, distinct / scale * rest / left)
-        return np.where(total > 0, out, lower)
+                at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+                hit = known[at] == short
+                self.context[hit] = first[size] + at[hit]
+        share = np.array([docs[x] for x in self.langs], float)
+        self.prior = -np.log2(share / share.sum())
+
+    def _bits(self, context: np.ndarray, symbol: np.ndarray, bits: list[np.ndarray], escapes: np.ndarray) -> np.ndarray:
+        """Bits by language of symbols in contexts: along the shorter contexts down to where the symbol was seen."""
+        table = bits[0] if len(bits) == 1 else np.concatenate(bits)
+        out = np.zeros((len(context), escapes.shape[1]), table.dtype)
+        left, at = np.arange(len(context)), context.astype(np.int64)
+        while len(left):
+            row = self.row[at, symbol[left]]
+            seen = row >= 0
+            out[left[seen]] += table[row[seen]]
+            left, at = left[~seen], at[~seen]
+            out[left] += escapes[at]
+            root = at == 0
+            out[left[root]] += np.float32(np.log2(self.n_symbols))
+            left, at = left[~root], self.shorter[at[~root]].astype(np.int64)
+        return out
 
     def code_lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bits of each text by language, priors included."""
@@ -133,8 +148,8 @@ class Model:
             symbols = self.symbol[data]
             one, two, three = before(symbols, at)
             a = self.n_symbols
-            row = self.context[(three * a + two) * a + one].astype(np.int64) * a + symbols
-            out[full] += np.add.reduceat(self.bits[row], at[full], axis=0, dtype=np.float64)
+            each = self._bits(self.context[(three * a + two) * a + one], symbols, [self.bits], self.escapes)
+            out[full] += np.add.reduceat(each, at[full], axis=0, dtype=np.float64)
         return out
 
 
@@ -150,23 +165,24 @@ def scorer(model: Model | None):
     return work
 
 
-def fit(train: DataFrame, *, lang: str = "lang", text: str = "text", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, table_mb: float = TABLE_MB) -> Model | None:
+def fit(train: DataFrame, *, lang: str = "lang", text: str = "text", max_docs: int = MAX_DOCS, max_mb: int = MAX_MB) -> Model | None:
     """The model of train's languages; None without any."""
-    rows = train.where(col(lang).isNotNull() & col(text).isNotNull()).select(col(lang).alias("lang"), col(text).alias("text"))
-    docs = rows.groupBy("lang").count().toPandas().set_index("lang")["count"]
-    if docs.empty:
+    rows = train.where(col(lang).isNotNull() & col(text).isNotNull()).select(col(lang).cast("string").alias("lang"), col(text).alias("text"))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).toPandas().sort_values("lang", key=lambda c: c.map(str.encode), ignore_index=True)
+    if known.empty:
         return None
-    share = F.create_map(*[x for name, n in docs.items() for x in (F.lit(name), F.lit(min(1.0, max_docs / n)))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where((F.octet_length("text") <= max_bytes) & (draw < F.element_at(share, F.col("lang"))))
-    counts = sample.mapInArrow(count_sequences, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
-    return Model(counts, docs, table_mb) if len(counts) else None
+    known["share"] = np.minimum(1.0, max_docs / known.n)
+    known["share"] *= min(1.0, max_mb * 1e6 / max(1.0, float((known.share * known["size"]).sum())))
+    shares = train.sparkSession.createDataFrame([(x, i, float(s)) for i, (x, s) in enumerate(zip(known.lang, known.share, strict=True))], "lang string, place int, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(draw(F.col("text")) < F.col("share")).select("place", "text")
+    counts = sample.mapInArrow(count_sequences, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    return Model(counts, dict(zip(known.lang, known.n.astype(int), strict=True))) if len(counts) else None
 
 
 def identify(docs: DataFrame, train: Column, *, lang: str = "lang", text: str = "text", keep: list[str] | None = None, **bounds) -> DataFrame:
     """docs' columns `keep` (default: all) with lang_pred and score. train: which rows may teach."""
     arrow_limits(docs.sparkSession)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    keep = others(docs.columns if keep is None else keep, ["lang_pred", "score"])
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(train), lang=lang, text=text, **bounds))
     letters = F.coalesce(col(text).rlike(r"\p{L}"), F.lit(False))
     source = docs.select(*[col(c) for c in keep], col(text).alias("__own_text"), letters.alias("__letters"))

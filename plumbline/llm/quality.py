@@ -4,7 +4,8 @@ A document is a bag of passages of PASSAGE bytes. Every passage is encoded: freq
 of neighbouring classes, and how its words repeat, pass through a learned tanh layer. A gated attention network
 (tanh and sigmoid branches) weighs the passages; the weighted sum passes a logistic output. Encoder, attention and
 output are learned together from document labels alone, by Adam on a bounded sample of labelled training rows
-(at most MAX_DOCS, of at most MAX_BYTES bytes each, drawn by a hash of the text). Every passage of every text is scored.
+(at most MAX_DOCS, drawn by a hash of id and text; of a text with over MAX_BAG passages, as many evenly spaced ones over
+the whole text teach). Every passage of every text is scored.
 
 Defined results: null and empty texts are one passage without bytes and get a score too; without both labels among
 the training rows every score is the share of label 1 (0.5 without any); repeated rows get equal scores; columns
@@ -16,11 +17,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from plumbline.llm.common import arrow_limits, labelled_sample, map_text, run_hashes, runs
+from plumbline.llm.common import arrow_limits, labelled_sample, map_text, others, run_hashes, runs
 
 PASSAGE = 1024
 MAX_DOCS = 4000
-MAX_BYTES = 1 << 16
+MAX_BAG = 16
 HIDDEN, GATE, EPOCHS, RATE = 24, 16, 40, 0.01
 
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!?", "|", "#$%&*~^", "'\"`", "()[]{}<>", "-_/\\=+:;@"]
@@ -69,7 +70,7 @@ class Model:
         """x: passages; bags: passages before each document (one entry more than documents); y: labels."""
         rng = np.random.default_rng(seed)
         self.mean, self.scale = x.mean(0), x.std(0) + 0.02
-        x = (x - self.mean) / self.scale
+        x = ((x - self.mean) / self.scale).astype(np.float32)
         f, h, g = x.shape[1], HIDDEN, GATE
         share = float(y.mean())
         self.w = {
@@ -128,7 +129,7 @@ def fit(sample: DataFrame) -> Model | float:
     def make():
         def work(data: np.ndarray, at: np.ndarray) -> dict[str, object]:
             x, first = passages(data, at)
-            return {"x": [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]}
+            return {"x": [x[np.unique(np.linspace(a, b - 1, min(b - a, MAX_BAG)).astype(int))].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]}
 
         return work
 
@@ -137,13 +138,13 @@ def fit(sample: DataFrame) -> Model | float:
     if got.y.nunique() < 2:
         return float(got.y.mean()) if len(got) else 0.5
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in got.x]
-    return Model(np.concatenate(bags).astype(float), np.concatenate([[0], np.cumsum([len(b) for b in bags])]), got.y.to_numpy(float))
+    return Model(np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])]), got.y.to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model | float, *, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """docs' columns `keep` (default: all) with score, n_passages and top_passage (the one of most weight, from 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "n_passages", "top_passage")]
+    keep = others(docs.columns if keep is None else keep, ["score", "n_passages", "top_passage"])
 
     def make():
         known = shared.value
@@ -163,8 +164,8 @@ def score(docs: DataFrame, model: Model | float, *, keep: list[str] | None = Non
     return map_text(docs, make, "score double, n_passages int, top_passage int", keep, text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "quality", doc_id: str = "doc_id", keep: list[str] | None = None, text: str = "text", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "quality", doc_id: str = "doc_id", keep: list[str] | None = None, text: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
     """score() of docs by a model of labels' rows, joined by id. train: which documents may teach."""
     arrow_limits(docs.sparkSession)
-    sample = labelled_sample(docs, labels, train, label=label, doc_id=doc_id, text=text, max_docs=max_docs, max_bytes=max_bytes)
+    sample = labelled_sample(docs, labels, train, label=label, doc_id=doc_id, text=text, max_docs=max_docs)
     return score(docs, fit(sample), keep=keep, text=text)

@@ -2,44 +2,45 @@
 
 Each text is keyed by the digest of its content and of the tokenizer's version (the digest of its vocabulary file).
 Keys are joined to the stored counts; only distinct keys without a count are encoded, and their counts appended to
-the cache, a Parquet table in a folder the caller names or in the shared folder.
-
-Normalising is the identity: a byte-level vocabulary tells all texts apart. A null text counts as empty (0 tokens).
-Repeated texts are encoded once; an empty table appends nothing; columns named like outputs are replaced.
+the cache, a Parquet table in a folder the caller names or, for one call, in the shared folder. Missing keys are found
+from digests alone; while there are at most MAX_BROADCAST, they are broadcast and only their texts are shuffled, else
+texts meet them by a shuffled join. Of copies one text is encoded.
+
+Normalising is the identity: byte-level vocabularies tell all texts apart. A null text counts as empty (0 tokens).
+Special strings inside texts are handled as the library does by default. Runs of millions of spaces are encoded whole.
+Repeated texts are encoded once; an empty table appends nothing; columns named like outputs are replaced, whatever
+their case.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_limits, col, map_text, shared_dir, stored
+from plumbline.llm.common import arrow_limits, col, map_text, others, shared_dir, slices, stored
 
 CACHE = "digest binary, n_tokens long"
-#: GPT-2's splitting pattern, which byte-level vocabularies are made with (fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Missing digests (33 bytes each) up to which they are broadcast.
+MAX_BROADCAST = 200_000
+#: Text bytes encoded at a time, as an encoding takes some hundred times its text.
+ENCODE_BYTES = 1 << 18
 
 
-def encoder(kind: str, content: bytes, special: dict[str, int] | None = None):
-    """A function from a list of texts to their token counts, for a vocabulary file of one of three libraries."""
+def encoder(kind: str, content: bytes):
+    """A function from a list of texts to their token counts, for a vocabulary file of one of two libraries."""
     if kind == "json":
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_str(content.decode())
         model.no_truncation()
         model.no_padding()
-        return lambda texts: [len(e.ids) for e in model.encode_batch(texts, add_special_tokens=False)]
-    if kind == "tiktoken":
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-        model = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special or {})
-        allowed = set(special or {})
-        return lambda texts: [len(model.encode(t, allowed_special=allowed, disallowed_special=())) for t in texts]
+        return lambda texts: [len(e) for e in model.encode_batch(texts, add_special_tokens=False)]
     if kind == "model":
         import sentencepiece
 
@@ -48,37 +49,42 @@ def encoder(kind: str, content: bytes, special: dict[str, int] | None = None):
     raise ValueError(f"no library for a .{kind} vocabulary")
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, *, special: dict[str, int] | None = None, cache_dir: str | None = None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, *, cache_dir: str | None = None, keep: list[str] | None = None, text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs' columns `keep` (default: all) with n_bytes and n_tokens. vocabulary: a local path on the driver; its
     content (some MB) goes to the tasks. cache_dir: a folder with the counts known so far; grows by this call."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_bytes", "n_tokens")]
+    keep = others(docs.columns if keep is None else keep, ["n_bytes", "n_tokens"])
     with open(vocabulary, "rb") as f:
         content = f.read()
-    kind, version = vocabulary.rpartition(".")[2], hashlib.sha256(content + repr(sorted((special or {}).items())).encode()).digest()
+    kind, version = vocabulary.rpartition(".")[2], hashlib.sha256(content).digest()
     own = cache_dir is None
     cache_dir = cache_dir or f"{shared_dir(spark)}/token-counts"
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_dir)  # so that the folder exists
-    cache = spark.read.schema(CACHE).parquet(cache_dir)
 
     whole = F.coalesce(col(text), F.lit(""))
-    digest = F.unhex(F.sha2(F.concat(whole.cast("binary"), F.lit(bytearray(version))), 256))
-    keyed = docs.select(*[col(c).alias(f"k_{i}") for i, c in enumerate(keep)], digest.alias("digest"), F.octet_length(whole).cast("long").alias("n_bytes"))
-    # Copies of one text meet as one row per task (partial aggregation), then as one row in all.
-    misses = docs.select(digest.alias("digest"), whole.alias("text")).join(cache, "digest", "left_anti").dropDuplicates(["digest"])
+    digest = F.unhex(F.sha2(F.concat(whole.cast("binary"), F.lit(bytearray(version))), 256)).alias("digest")
+    keyed = docs.select(*[col(c).alias(f"k_{i}") for i, c in enumerate(keep)], digest, F.octet_length(whole).cast("long").alias("n_bytes"))
+    misses = docs.select(digest, whole.alias("text"))
+    if not own:
+        known = spark.read.schema(CACHE).parquet(cache_dir)
+        missing = stored(docs.select(digest).distinct().join(known, "digest", "left_anti"), "missing")
+        misses = misses.join(F.broadcast(missing) if missing.count() <= max_broadcast else missing, "digest", "left_semi")
     shared = spark.sparkContext.broadcast(content)
 
     def make():
-        encode = encoder(kind, shared.value, special)
+        encode = encoder(kind, shared.value)
 
         def work(data: np.ndarray, at: np.ndarray) -> dict[str, object]:
-            raw = data.tobytes()
-            return {"n_tokens": encode([raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)])}
+            raw, counts = data.tobytes(), []
+            for a, b in slices(at, ENCODE_BYTES):
+                counts += encode([raw[x:y].decode() for x, y in zip(at[a:b], at[a + 1 : b + 1], strict=True)])
+            return {"n_tokens": counts}
 
         return work
 
-    map_text(misses, make, "n_tokens long", ["digest"]).write.mode("append").parquet(cache_dir)
+    # Copies meet as one row per task (partial aggregation), then as one row in all.
+    map_text(misses.dropDuplicates(["digest"]), make, "n_tokens long", ["digest"]).write.mode("append").parquet(cache_dir)
     counts = spark.read.schema(CACHE).parquet(cache_dir)
     if not own:
         counts = stored(counts.dropDuplicates(["digest"]), "counts")  # others may have appended the same digests

@@ -4,13 +4,16 @@ Voters look at each text's words: fixed lexicons by theme and language, two lexi
 rows, stems mined from them (word starts of 4 to 8 bytes that several different words of a toxic text share), and
 patterns (an insult soon after "you", several insults by word or stem, masked profanity, shouting). A stem alone says little, as clean
 texts have such words by chance, so its voters ask for several different words that make up a share of the text.
-Votes over all documents are counted by vote pattern. A generative model of a hidden class and the votes is fitted to these counts
-by expectation maximisation, in which labelled training rows count as much as all documents and keep their class
-(left alone, the hidden class becomes whatever splits the votes best, such as "several"): it has each voter's rates in both classes (its accuracy) and, along the strongest
-edges of a tree over voters, their correlations within a class. Its posteriors label a bounded sample of documents
-(at most MAX_DOCS, of at most MAX_BYTES bytes, drawn by a hash of the text, texts of held-out rows left out), from
+Votes over all documents are counted by vote pattern. A generative model of a hidden class and the votes is fitted to
+these counts by expectation maximisation: it has each voter's rates in both classes (its accuracy), which come from how
+voters agree, and, along the strongest edges of a tree over voters, their correlations within a class. Labels mine the
+lexicons and stems and say where the fit starts, which names the classes; they don't enter it. Its posteriors label a
+sample of documents (at most MAX_DOCS, of any length, drawn by a hash of id and text, held-out rows left out), from
 which a logistic model over chosen words and votes learns. That model scores every whole text.
 
+Words and stems of the samples are counted by Spark. To the driver come vote patterns, 16 min-hashes of each labelled
+row, the words chosen, and which of these each row of the sample has: all bounded by MAX_DOCS, whatever the texts.
+
 Defined results: null and empty texts have no votes and get the score of such texts; without labelled training rows
 the mined lexicons and stems are empty and the class share starts at 0.1; repeated rows get equal scores; columns named like
 outputs are replaced.
@@ -26,10 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_limits, col, draw, labelled_sample, map_text, mix, powers, run_hashes, runs, stored
+from plumbline.llm.common import arrow_limits, col, draw, labelled_sample, map_text, mix, others, powers, run_hashes, runs, stored
 
 MAX_DOCS = 10_000
-MAX_BYTES = 1 << 16
+SIGNS = 16
 MINED = 256
 STEM_BYTES = range(4, 9)
 CHOSEN = 512
@@ -140,8 +143,7 @@ class Voters:
             votes[of[prior[np.isin(hashes[prior - back], self.you)]], groups] = True
         votes[:, groups + 1] = np.bincount(of[hit], minlength=n) >= 2
         raw = low.tobytes()
-        for m in MASKED.finditer(raw):
-            votes[np.searchsorted(at, m.start(), side="right") - 1, groups + 2] = True
+        votes[:, groups + 2] = [MASKED.search(raw[a:b]) is not None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         sums = np.concatenate([[0], np.cumsum((data >= 0x41) & (data <= 0x5A))])
         upper, letters = np.diff(sums[at]), np.diff(np.concatenate([[0], np.cumsum(WORD[data])])[at])
         votes[:, groups + 3] = upper > 0.5 * np.maximum(letters, 1)
@@ -157,22 +159,16 @@ class Voters:
 class LabelModel:
     """P(class | votes) from counts of vote patterns."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, share: float, rates: np.ndarray, anchors: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = 60) -> None:
-        """patterns: bool (patterns, voters); share and rates (2, voters): where to start; anchors: patterns, counts
-        and classes of labelled rows, which weigh as much as all others together."""
-        known, times, truth = anchors
-        n = np.concatenate([counts.astype(float), times * (counts.sum() / max(1, times.sum()))])
-        patterns = np.concatenate([patterns, known])
-        v, m = patterns.astype(int), patterns.shape[1]
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, share: float, rates: np.ndarray, rounds: int = 60) -> None:
+        """patterns: bool (patterns, voters); share and rates (2, voters): where to start, which names the classes."""
+        n, v, m = counts.astype(float), patterns.astype(int), patterns.shape[1]
         self.parent = np.full(m, -1)
         q = self._posterior_independent(v, share, rates)
-        q[len(counts) :] = truth
         for step in range(rounds):
             if step in (10, 30):
                 self.parent = self._tree(v, n, q)
             self._fit(v, n, q)
             q = self.posterior(patterns)
-            q[len(counts) :] = truth
         self.accuracy = np.array([[(n * w * (v[:, i] == k)).sum() / max(1e-9, (n * w).sum()) for i in range(m)] for k, w in ((0, 1 - q), (1, q))])
         self.correlation = self._correlations(v, n, q)
 
@@ -278,16 +274,9 @@ def vote(docs: DataFrame, voters, *, keep: list[str], text: str = "text") -> Dat
     return map_text(docs, make, "votes int", keep, text)
 
 
-def sampled(rows: DataFrame, most: int, max_bytes: int) -> DataFrame:
-    """(text) of at most `most` rows (id, text) with short enough texts, by a hash of both."""
-    rows = rows.where(F.octet_length("text") <= max_bytes)
-    n = rows.count()
-    return (rows.where(draw(F.col("id"), F.col("text")) < 0.95 * most / n).limit(most) if n > most else rows).select("text")
-
-
-def by_text(of: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
+def by_text(of: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
     cut = np.searchsorted(of, np.arange(n))
-    return [hashes[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return [hashes[a:b].view(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def repeated_stems(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,8 +294,8 @@ def repeated_stems(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
     return pairs(text[again], stem[again])
 
 
-def word_sets(rows: DataFrame, voters, keep: list[str]) -> pd.DataFrame:
-    """Of a bounded sample: kept columns, votes, the distinct word hashes of each text, and the stems that at least
+def word_sets(rows: DataFrame, voters, keep: list[str]) -> DataFrame:
+    """Kept columns, votes, min-hashes of the words, the distinct word hashes of each text, and the stems that at least
     two different words of it have."""
 
     def make():
@@ -315,113 +304,120 @@ def word_sets(rows: DataFrame, voters, keep: list[str]) -> pd.DataFrame:
         def work(data: np.ndarray, at: np.ndarray) -> dict[str, object]:
             places: list = []
             votes, hashes, of = known(data, at, places)
-            words = pairs(of, hashes)
-            return {"votes": votes @ (1 << np.arange(len(VOTERS))), "words": by_text(*words, len(at)), "stems": by_text(*repeated_stems(*places, hashes, of), len(at))}
+            words = by_text(*pairs(of, hashes), len(at))
+            signs = [[int(mix(w.view(np.uint64) ^ np.uint64(k + 1)).min().view(np.int64)) for k in range(SIGNS)] if len(w) else [] for w in words]
+            return {"votes": votes @ (1 << np.arange(len(VOTERS))), "signs": signs, "words": words, "stems": by_text(*repeated_stems(*places, hashes, of), len(at))}
 
         return work
 
-    out = map_text(rows, make, "votes int, words binary, stems binary", keep).toPandas()
-    return out.sort_values([*keep, "votes", "words"], ignore_index=True)  # the order doesn't depend on partitions
+    return map_text(rows, make, "votes int, signs array<long>, words array<long>, stems array<long>", keep)
 
 
-def document_counts(words: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words; documents with each by weight and by the rest of 1; the word's number at each place of `words`."""
-    known, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
-    each = np.repeat(weight, [len(w) for w in words])
-    return known, np.bincount(number, each, len(known)), np.bincount(number, 1 - each, len(known)), number
+def without_copies(rows: pd.DataFrame) -> list[int]:
+    """Numbers (column row) of the rows (y, signs) that aren't later near copies, whose shared words would all look like
+    insults if the first is toxic: copies agree with one earlier row of the label in half the min-hashes."""
+    first: dict[tuple, int] = {}
+    keep = []
+    for i, (row, y, signs) in enumerate(zip(rows.row, rows.y, rows.signs, strict=True)):
+        marks = [(y, k, int(s)) for k, s in enumerate(signs)]
+        agree = Counter(first[m] for m in marks if m in first)
+        if not agree or max(agree.values()) < SIGNS / 2:
+            keep.append(int(row))
+        for m in marks:
+            first.setdefault(m, i)
+    return keep
 
 
-def without_copies(rows: pd.DataFrame, hashes: int = 16) -> pd.DataFrame:
-    """Without later near copies, whose shared words would all look like insults if the first is toxic: rows that
-    agree with one earlier row of the label in half the min-hashes of their word sets."""
-    first: dict[tuple, int] = {}
-    keep = np.ones(len(rows), bool)
-    for i, (y, held) in enumerate(zip(rows.y, rows.words, strict=True)):
-        own = np.frombuffer(held, np.uint64)
-        if len(own):
-            signs = [(y, k, int(mix(own ^ np.uint64(k + 1)).min())) for k in range(hashes)]
-            agree = Counter(first[s] for s in signs if s in first)
-            keep[i] = not agree or max(agree.values()) < hashes / 2
-            for s in signs:
-                first.setdefault(s, i)
-    return rows[keep].reset_index(drop=True)
+def surprise(share: float) -> Column:
+    """Log likelihood that the documents of two classes (columns bad, good) gain over the classes' shares."""
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / ((F.col("bad") + F.col("good")) * p))).otherwise(0.0)
+    return F.round(part("bad", share) + part("good", 1 - share), 9)
 
 
-def surprise(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
-    """Log likelihood that a word's documents of two classes gain over the classes' shares."""
-    n = bad + good
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return sum(np.where(c > 0, c * np.log(c / (n * p)), 0) for c, p in ((bad, share), (good, 1 - share)))
+def bits(votes: np.ndarray | pd.Series) -> np.ndarray:
+    return (np.asarray(votes, np.int64)[:, None] >> np.arange(len(VOTERS)) & 1).astype(bool)
 
 
-def bits(votes: pd.Series) -> np.ndarray:
-    return (votes.to_numpy(np.int64)[:, None] >> np.arange(len(VOTERS)) & 1).astype(bool)
+def document_counts(rows: DataFrame, sets: str, weight: str) -> DataFrame:
+    """(w, bad, good): of each word or stem, its documents by weight and by the rest of 1."""
+    each = rows.select(F.col(weight).cast("double").alias("y"), F.explode(sets).alias("w"))
+    return stored(each.groupBy("w").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")), "counts")
 
 
-def telling(sets: pd.Series, y: np.ndarray, share: float, ratio: float, margin: float) -> np.ndarray:
-    """Words or stems that toxic rows have and clean rows rarely do, beyond chance over as many as three rows have."""
-    word, bad, good, _ = document_counts([np.frombuffer(w, np.uint64) for w in sets], y)
-    gain = surprise(bad, good, share)
-    sure = (bad > ratio * good) & (gain > np.log(max(2, (bad + good >= 3).sum())) + margin)
-    return word[np.lexsort((word, -gain * sure))[: int(sure.sum())]]
+def telling(rows: DataFrame, sets: str, share: float, ratio: float, margin: float, but: list[int], most: int = MINED) -> list[int]:
+    """The `most` words or stems that toxic rows have and clean rows rarely do, beyond chance over as many as three rows have."""
+    counts = document_counts(rows, sets, "y")
+    least = float(np.log(max(2, counts.where("bad + good >= 3").count())) + margin)
+    sure = counts.withColumn("gain", surprise(share)).where((F.col("bad") > ratio * F.col("good")) & (F.col("gain") > least) & ~F.col("w").isin(but))
+    return [r["w"] & (1 << 64) - 1 for r in sure.orderBy(F.desc("gain"), "w").limit(most).collect()]
 
 
-def mine(rows: pd.DataFrame, plain: Voters) -> tuple[list[int], list[int], float]:
-    """The most telling words outside the lexicons, the most telling stems, and the toxic share."""
-    y = rows.y.to_numpy(float)
-    share = float(np.clip(y.mean(), 0.01, 0.5)) if len(y) else 0.1
-    words = telling(rows.words, y, share, 20, 4)
-    words = words[~np.isin(words, plain.words.sorted)]
-    return [int(h) for h in words[:MINED]], [int(h) for h in telling(rows.stems, y, share, 4, 2)[:MINED]], share
+def mine(known: DataFrame, plain: Voters) -> tuple[list[int], list[int], float]:
+    """The most telling words outside the lexicons, the most telling stems, and the toxic share, of rows of word_sets().
+    To the driver come a row's label and min-hashes (at most max_docs rows), and the words chosen."""
+    seen = known.select("row", "y", "signs").toPandas()
+    seen = seen.assign(key=[tuple(s) for s in seen.signs]).sort_values(["y", "key", "row"], ignore_index=True)  # whatever the partitions
+    rows = known.join(F.broadcast(known.sparkSession.createDataFrame([(r,) for r in without_copies(seen)], "row long")), "row")
+    share = float(np.clip(seen.y.mean(), 0.01, 0.5)) if len(seen) else 0.1
+    words = [int(h) for h in plain.words.sorted.view(np.int64)]
+    return telling(rows, "words", share, 20, 4, words), telling(rows, "stems", share, 4, 2, []), share
 
 
-def anchored(known: DataFrame, voters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vote patterns of the labelled sample: patterns, counts, classes."""
-    seen = vote(known, voters, keep=["y"]).groupBy("y", "votes").count().toPandas().sort_values(["y", "votes"])
-    return bits(seen.votes), seen["count"].to_numpy(float), seen.y.to_numpy(float)
+def rates_of(known: DataFrame, voters) -> np.ndarray:
+    """(2, voters): how often each votes for clean and for toxic rows of the labelled sample, from which the label
+    model starts; beside each class's rows stand ten that vote by guess (0.01 clean, 0.3 toxic)."""
+    seen = vote(known, voters, keep=["y"]).groupBy("y", "votes").count().toPandas()
+    v, n, y = bits(seen.votes), seen["count"].to_numpy(float), seen.y.to_numpy(int)
+    return np.array([((n * (y == k)) @ v + 10 * guess) / ((n * (y == k)).sum() + 10) for k, guess in ((0, 0.01), (1, 0.3))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> tuple[Classifier, LabelModel]:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS) -> tuple[Classifier, LabelModel]:
     spark = docs.sparkSession
     whole = F.coalesce(col(text), F.lit("")).alias("text")
-    known = labelled_sample(docs, labels, train, label=label, doc_id=doc_id, text=text, max_docs=max_docs, max_bytes=max_bytes)
+    known = labelled_sample(docs, labels, train, label=label, doc_id=doc_id, text=text, max_docs=max_docs)
     known = stored(known, "labelled")
     plain = spark.sparkContext.broadcast(Voters([], []))
-    mined, stems, share = mine(without_copies(word_sets(known, plain, ["y"])), plain.value)
+    sets = stored(word_sets(known.withColumn("row", F.monotonically_increasing_id()), plain, ["row", "y"]), "sets")
+    mined, stems, share = mine(sets, plain.value)
     voters = Voters(mined, stems)
     shared = spark.sparkContext.broadcast(voters)
 
     # All documents' vote patterns: at most 2 ** voters rows, whatever the number of documents.
     patterns = vote(docs.select(whole), shared, keep=[]).groupBy("votes").count().toPandas().sort_values("votes", ignore_index=True)
-    # Where to start: an insult voter is rare in the clean class.
-    rates = np.array([[0.01] * len(VOTERS), [0.3] * len(VOTERS)])
     if patterns.empty:
         patterns = pd.DataFrame({"votes": [0], "count": [1]})
-    model = LabelModel(bits(patterns.votes), patterns["count"].to_numpy(), share, rates, anchored(known, shared))
-
-    sample = word_sets(sampled(docs.where(train).select(col(doc_id).alias("id"), whole), max_docs, max_bytes), shared, [])
-    v = bits(sample.votes) if len(sample) else np.zeros((1, len(VOTERS)), bool)
-    q = model.posterior(v)
-    words = [np.frombuffer(w, np.uint64) for w in sample.words] if len(sample) else [np.zeros(0, np.uint64)]
-    word, bad, good, number = document_counts(words, q)
-    gain = surprise(bad, good, float(np.clip(q.mean(), 1e-6, 1 - 1e-6)))
-    sure = gain > np.log(max(2, len(word))) + 2
-    chosen = np.lexsort((word, -gain * sure))[: min(CHOSEN, int(sure.sum()))]
-    column = np.full(len(word), -1)
-    column[chosen] = np.argsort(np.argsort(word[chosen]))
-    x = np.ones((len(q), len(VOTERS) + len(chosen) + 1), np.float32)
-    x[:, len(VOTERS) : -1] = 0
-    x[:, : len(VOTERS)] = v
-    at = np.repeat(np.arange(len(q)), [len(w) for w in words])
-    held = column[number] >= 0
-    x[at[held], len(VOTERS) + column[number][held]] = 1
-    return Classifier(voters, [int(h) for h in word[chosen]], logistic(x, q)), model
+    model = LabelModel(bits(patterns.votes), patterns["count"].to_numpy(), share, rates_of(known, shared))
+
+    texts = docs.where(train).select(col(doc_id).alias("id"), whole)
+    n = texts.count()
+    texts = (texts.where(draw(F.col("id"), F.col("text")) < 0.95 * max_docs / n).limit(max_docs) if n > max_docs else texts).select("text")
+    belief = {int(k): float(q) for k, q in zip(patterns.votes, model.posterior(bits(patterns.votes)), strict=True)}
+    beliefs = spark.createDataFrame(list(belief.items()), "votes int, q double")
+    sample = stored(word_sets(texts, shared, []).join(F.broadcast(beliefs), "votes").select("votes", "q", "words"), "sample")
+    mean = sample.agg(F.avg("q")).first()[0] or 0.0
+    counts = document_counts(sample, "words", "q")
+    least = float(np.log(max(2, counts.count())) + 2)
+    sure = counts.withColumn("gain", surprise(float(np.clip(mean, 1e-6, 1 - 1e-6)))).where(F.col("gain") > least)
+    chosen = np.array(sorted(r["w"] for r in sure.orderBy(F.desc("gain"), "w").limit(CHOSEN).collect()), np.int64)
+    held = F.filter("words", lambda w: w.isin([int(c) for c in chosen])) if len(chosen) else F.array().cast("array<bigint>")
+    rows = sample.select("votes", "q", F.sort_array(held).alias("held")).toPandas()
+    rows = rows.assign(key=[tuple(h) for h in rows.held]).sort_values(["votes", "key"], ignore_index=True)  # whatever the partitions
+    x = np.zeros((max(1, len(rows)), len(VOTERS) + len(chosen) + 1), np.float32)
+    x[:, -1] = 1
+    if len(rows):
+        x[:, : len(VOTERS)] = bits(rows.votes)
+        x[np.repeat(np.arange(len(rows)), rows.held.map(len)), len(VOTERS) + np.searchsorted(chosen, np.concatenate(rows.held.to_list()).astype(np.int64))] = 1
+    # Words.find() numbers by unsigned hashes.
+    order = np.argsort(chosen.view(np.uint64))
+    x[:, len(VOTERS) : -1] = x[:, len(VOTERS) + order]
+    weights = logistic(x, rows.q.to_numpy(float) if len(rows) else model.posterior(np.zeros((1, len(VOTERS)), bool)))
+    return Classifier(voters, [int(h) for h in chosen.view(np.uint64)], weights), model
 
 
 def score(docs: DataFrame, model: Classifier, *, keep: list[str] | None = None, text: str = "text", out: str = "score") -> DataFrame:
     """docs' columns `keep` (default: all) with the score, named `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
+    keep = others(docs.columns if keep is None else keep, [out])
     return map_text(docs, lambda: lambda data, at: {out: shared.value.score(data, at)}, f"{out} double", keep, text)
 
 

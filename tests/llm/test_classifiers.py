@@ -84,7 +84,7 @@ def test_empty_tables_and_clashing_columns(spark, make):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for classify in (lambda d: quality.classify(d, labels, F.lit(True)), lambda d: toxicity.classify(d, labels, F.lit(True)), lambda d: langid.identify(d, F.lit(True))):
         assert classify(make([])).count() == 0
-        clash = spark.createDataFrame([(1, "a b", "x", None)], "doc_id long, text string, score string, lang string")
+        clash = spark.createDataFrame([(1, "a b", "x", None)], "doc_id long, text string, Score string, lang string")
         row = classify(clash).collect()
         assert len(row) == 1 and 0 <= row[0]["score"] <= 1
 
@@ -97,3 +97,138 @@ def test_attention_weights_add_up(n):
     model = quality.Model(x + np.repeat(y, n)[:, None], bags, y.astype(float), epochs=5)
     score, weight = model.score(x + np.repeat(y, n)[:, None], bags)
     assert np.allclose(np.add.reduceat(weight, bags[:-1]), 1) and ((score > 0.5) == y).mean() > 0.9
+
+
+def test_quality_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    bags, y = np.array([0, 3, 4, 9]), np.array([1.0, 0.0, 1.0])
+    x = rng.normal(size=(9, 11))
+    model = quality.Model(x, bags, y, epochs=1)
+    z = (x - model.mean) / model.scale
+    loss = lambda: -np.mean(y * np.log(p := model._forward(z, bags)[5]) + (1 - y) * np.log(1 - p))
+    for name, grad in model._gradients(z, bags, y).items():
+        weights = model.w[name]
+        for at in list(np.ndindex(weights.shape))[:: max(1, weights.size // 12)]:
+            kept, h = weights[at], 1e-5
+            weights[at] = kept + h
+            up = loss()
+            weights[at] = kept - h
+            down = loss()
+            weights[at] = kept
+            assert abs((up - down) / (2 * h) - grad[at]) < 1e-6, (name, at)
+
+
+def test_quality_forward_by_hand():
+    rng = np.random.default_rng(4)
+    bags, y, x = np.array([0, 2, 5]), np.array([1.0, 0.0]), rng.normal(size=(5, 6))
+    model = quality.Model(x, bags, y, epochs=1)
+    w, got = model.w, model.score(x, bags)
+    z = (x - model.mean) / model.scale
+    for d in range(2):
+        rows = [np.tanh(r @ w["w"] + w["b"]) for r in z[bags[d] : bags[d + 1]]]
+        raw = np.exp([float(np.sum(w["a"] * np.tanh(h @ w["v"]) / (1 + np.exp(-(h @ w["u"]))))) for h in rows])
+        bag = sum(a * h for a, h in zip(raw / raw.sum(), rows, strict=True))
+        assert abs(got[0][d] - 1 / (1 + np.exp(-(bag @ w["c"] + w["d"][0])))) < 1e-9
+
+
+def test_long_texts_teach_by_passages_of_the_whole_text(spark):
+    rows = spark.createDataFrame([(1, "good words here. " * 9000), (0, "1234 |||| ####\n" * 9000)] * 8, "y int, text string")
+    model = quality.fit(rows)
+    assert isinstance(model, quality.Model)
+
+
+def direct_bits(rows, langs, text, lang):
+    """Code length of text by the definition: method C with exclusion, contexts seen at least twice over all languages."""
+    seqs = {x: {} for x in langs}
+    for t, of in rows:
+        raw = [0, 0, 0] + [b + 1 for b in t.encode()]
+        for i in range(3, len(raw)):
+            key = tuple(raw[i - 3 : i + 1])
+            seqs[of][key] = seqs[of].get(key, 0) + 1
+    seen = {b for x in langs for k in seqs[x] for b in k[3:]}
+    place = lambda s: s if s in seen else 0
+    counts = {}
+    for x in langs:
+        for key, n in seqs[x].items():
+            p = [place(s) for s in key]
+            for size in range(4):
+                counts.setdefault(tuple(p[3 - size : 3]), {}).setdefault(x, {}).setdefault(p[3], 0)
+                counts[tuple(p[3 - size : 3])][x][p[3]] += n
+    known = {c for c in counts if sum(sum(v.values()) for v in counts[c].values()) >= 2}
+    known = {c for c in known if all(c[i:] in known or not c[i:] for i in range(len(c)))} | {()}
+
+    def prob(context, symbol):
+        here = counts.get(context, {}).get(lang, {})
+        lower = (lambda s: prob(context[1:], s)) if context else (lambda s: 1 / (len(seen) + 1))
+        if not here:
+            return lower(symbol)
+        total, q = sum(here.values()), len(here)
+        if q == len(seen) + 1:
+            return here.get(symbol, 0) / total
+        if symbol in here:
+            return here[symbol] / (total + q)
+        return q / (total + q) * lower(symbol) / (1 - sum(lower(s) for s in here))
+
+    raw, out = [0, 0, 0] + [b + 1 for b in text.encode()], 0.0
+    for i in range(3, len(raw)):
+        context = tuple(place(s) for s in raw[i - 3 : i])
+        while context not in known:
+            context = context[1:]
+        out -= np.log2(prob(context, place(raw[i])))
+    return out
+
+
+def test_code_lengths_by_definition(spark):
+    rows = [("the cat sat on the mat", "en"), ("the dog that sat", "en"), ("der hund und die katze", "de"), ("das ist der hut", "de"), ("ñandú y gato", "es")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    texts = ["the hat", "der kater", "ñu", "zzz!", "cat the dog und das"]
+    data, at = text_rows(texts)
+    got = model.code_lengths(data, at) - model.prior
+    for i, t in enumerate(texts):
+        for j, lang in enumerate(model.langs):
+            assert abs(got[i, j] - direct_bits(rows, model.langs, t, lang)) < 1e-3 * max(1, got[i, j]), (t, lang)
+
+
+def test_a_language_does_not_depend_on_the_number_of_others(spark):
+    rows = [(f"{w} {w}{i} text of words {w}", f"l{i:02d}") for i, w in enumerate(["alpha", "bravo", "cedar"] * 20)]
+    rows += rows  # every context is kept, however few languages there are
+    few, many = (langid.fit(spark.createDataFrame(r, "text string, lang string")) for r in ([x for x in rows if x[1] < "l02"], rows))
+    data, at = text_rows(["alpha alpha0 text of words alpha"])
+    a, b = (m.code_lengths(data, at) - m.prior for m in (few, many))
+    assert len(many.langs) == 60 and abs(a[0, 0] - b[0, 0]) < 1e-3
+
+
+def test_votes_keep_to_their_rows(spark):
+    texts = ["what s*t", "apple pie", "end f*", "ck start", "you", "idiot", "A B", "you idiot", ""]
+    alone = [toxicity.Voters([], [])(*text_rows([t]))[0][0].tolist() for t in texts]
+    for order in (range(9), reversed(range(9)), [2, 3, 0, 1, 4, 5, 8, 6, 7]):
+        order = list(order)
+        votes = toxicity.Voters([], [])(*text_rows([texts[i] for i in order]))[0]
+        assert [v.tolist() for v in votes] == [alone[i] for i in order]
+    assert alone[0][toxicity.VOTERS.index("masked")] and not alone[2][toxicity.VOTERS.index("masked")]
+
+
+def test_scores_do_not_depend_on_order_or_partitions(spark):
+    docs, labels = read(spark, "/root/testdata/sf0.001", "documents"), read(spark, "/root/testdata/sf0.001", "labels")
+    score = lambda d: {r["doc_id"]: r["score"] for r in toxicity.classify(d, labels, F.lit(True), keep=["doc_id"]).collect()}
+    one = score(docs.coalesce(1).orderBy("text"))
+    assert score(docs.repartition(7).sortWithinPartitions(F.desc("n_chars"))) == one
+
+
+def test_label_model_by_brute_force():
+    """Posteriors by Bayes' rule from the model's own tables, and accuracies near those that made the votes."""
+    rng = np.random.default_rng(9)
+    truth = rng.random(20000) < 0.3
+    rates = np.array([[0.05, 0.1, 0.02, 0.2], [0.7, 0.6, 0.5, 0.8]])
+    votes = rng.random((20000, 4)) < rates[truth.astype(int)]
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.LabelModel(patterns, counts, 0.2, np.array([[0.1] * 4, [0.5] * 4]))
+    assert np.abs(model.accuracy[1] - rates[1]).max() < 0.05 and np.abs(model.accuracy[0] - (1 - rates[0])).max() < 0.05
+    for v, q in zip(patterns.astype(int), model.posterior(patterns), strict=True):
+        like = []
+        for k, share in ((0, 1 - model.share), (1, model.share)):
+            for i in range(4):
+                r = model.table[k, i, v[model.parent[i]] if model.parent[i] >= 0 else 0]
+                share *= r if v[i] else 1 - r
+            like.append(share)
+        assert abs(like[1] / sum(like) - q) < 1e-12
