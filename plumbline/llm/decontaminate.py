@@ -1,31 +1,36 @@
-"""Benchmark decontamination: a set of normalised benchmark windows, scanned for in every training text.
+"""Benchmark decontamination: a broadcast hash set of benchmark windows, scanned for in every training text.
 
 Texts are lower-cased (A-Z only); words are runs of digits, a-z and characters outside ASCII. A window is 13
 consecutive words of an item; an item with fewer words is one window. Each text's word windows are hashed with
-numpy, looked up in the benchmark's set and verified word by word. Words inside any occurrence count as hit.
+numpy, looked up in the benchmark's set and verified byte by byte. Words inside any occurrence count as hit.
+
+What is broadcast is bounded: a benchmark of more than MAX_WORDS words (about 60 bytes each) is dealt into blocks of at
+most about as many, long items in pieces that overlap by a window, and texts are scanned once for each block. The
+results of the blocks are put together by row, so columns and values are the same for any size. `remove_spans` cuts
+the hit words out of the texts; dropping contaminated rows drops documents.
 
 Defined results: a null or empty text has no words and isn't contaminated; a null or empty item has no window;
 repeated items and repeated texts count like any other; an item with a null id marks words but isn't listed; an
-empty table gives an empty result; columns of the input with the names of outputs are replaced.
-
-The set of windows is broadcast only while the benchmark has at most MAX_WORDS words; a larger benchmark is joined
-by a shuffle on the window's text (`shuffled`), with equal results.
+empty table gives an empty result; columns of the input with the names of outputs are replaced, whatever their case.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from plumbline.llm.common import arrow_limits, col, map_text, run_hashes, runs, stored
+from plumbline.llm.common import arrow_limits, col, map_text, others, run_hashes, runs, stored
 
 WINDOW = 13
-#: Benchmark words up to which its windows are broadcast: each word starts one window, under 100 MB in all.
 MAX_WORDS = 500_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+FOUND = "n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hit_spans array<struct<start:int,end:int>>"
 
 WORD_BYTES = np.zeros(256, bool)
@@ -34,6 +39,7 @@ WORD_BYTES[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 STEP = 0xD6E8FEB86659FD93
+BITS = 1 << 20
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -44,111 +50,157 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def benchmark_windows(rows: list[tuple[str | None, str | None]], n: int) -> dict[int, dict[int, list[tuple[tuple[bytes, ...], set[str]]]]]:
-    """By length and hash: the windows' words and the items that hold them."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in rows:
-        data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-        starts, ends, _, _ = runs(data, np.array([0, len(data)]), WORD_BYTES)
-        words = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-        size = min(n, len(words))
-        for i in range(len(words) - size + 1 if words else 0):
-            found.setdefault(tuple(words[i : i + size]), set()).update([item] if item is not None else [])
-    out: dict[int, dict[int, list]] = {}
-    for words, items in found.items():
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words])
-        hashes = run_hashes(flat, ends - [len(w) for w in words], ends, np.ones(len(flat), bool))
-        out.setdefault(len(words), {}).setdefault(int(window_hashes(hashes, len(words))[0]), []).append((words, items))
+def low_bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BITS - 1)).astype(np.int64)
+
+
+class Windows:
+    """The windows of pieces of items: by length, hashes in order and the places of their first words."""
+
+    def __init__(self, pieces: list[tuple[str | None, str]], n: int) -> None:
+        """pieces: item and its words, joined by a space."""
+        raw = [text.encode() for _, text in pieces]
+        self.items, self.data = [item for item, _ in pieces], np.frombuffer(b"".join(r + b" " for r in raw), np.uint8)
+        at = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        self.starts, self.ends, self.first, marks = runs(self.data, at, WORD_BYTES)
+        hashes = run_hashes(self.data, self.starts, self.ends, marks)
+        size = np.minimum(n, np.diff(self.first))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(size[size > 0]).tolist():
+            places = np.concatenate([np.arange(a, b - k + 1) for a, b in zip(self.first[:-1][size == k], self.first[1:][size == k], strict=True)])
+            rolled = window_hashes(hashes, k)[places]
+            order = np.argsort(rolled, kind="stable")
+            bits = np.zeros(BITS, bool)
+            bits[low_bits(rolled)] = True
+            self.tables[k] = (rolled[order], places[order], bits)
+
+    def holders(self, k: int, window_hash: np.uint64, words: bytes) -> tuple[bool, set[str]]:
+        """Whether `words`, joined by a space, are a window of k words, and the items that hold it."""
+        hashes, places, _ = self.tables[k]
+        found, items = False, set()
+        for p in places[np.searchsorted(hashes, window_hash) : np.searchsorted(hashes, window_hash, side="right")].tolist():
+            if self.data[self.starts[p] : self.ends[p + k - 1]].tobytes() == words:
+                found, item = True, self.items[int(np.searchsorted(self.first, p, side="right")) - 1]
+                if item is not None:
+                    items.add(item)
+        return found, items
+
+
+def scan(windows: Windows, data: np.ndarray, at: np.ndarray) -> dict[str, list]:
+    """Of a slice of texts: words, spans of hit words (places among the text's words, and bytes), and items."""
+    data = LOWER[data]
+    starts, ends, before, marks = runs(data, at, WORD_BYTES)
+    hashes = run_hashes(data, starts, ends, marks)
+    count = np.diff(before)
+    row_of = np.repeat(np.arange(len(count)), count)
+    change = np.zeros(len(starts) + 1, np.int64)
+    items: dict[int, set[str]] = {}
+    for k, (_, _, bits) in windows.tables.items():
+        rolled = window_hashes(hashes, k)
+        maybe = np.flatnonzero(bits[low_bits(rolled)])
+        maybe = maybe[row_of[maybe] == row_of[maybe + k - 1]]
+        known: dict[tuple[int, bytes], tuple[bool, set[str]]] = {}  # a window that many texts of the slice share is looked up once
+        for i in maybe.tolist():
+            key = int(rolled[i]), b" ".join(data[starts[i + j] : ends[i + j]].tobytes() for j in range(k))
+            if key not in known:
+                known[key] = windows.holders(k, rolled[i], key[1])
+            found, of = known[key]
+            if found:
+                change[i] += 1
+                change[i + k] -= 1
+                items.setdefault(int(row_of[i]), set()).update(of)
+    spans: list[list[dict]] = [[] for _ in count]
+    marked = np.flatnonzero(np.cumsum(change)[:-1] > 0)
+    if len(marked):
+        new = np.concatenate([[True], (np.diff(marked) > 1) | (np.diff(row_of[marked]) > 0)])
+        for a, b in zip(marked[new], marked[np.concatenate([new[1:], [True]])], strict=True):
+            row = int(row_of[a])
+            spans[row].append({"first": int(a - before[row]), "last": int(b + 1 - before[row]), "start": int(starts[a] - at[row]), "end": int(ends[b] - at[row])})
+    return {"n_words": count.tolist(), "spans": spans, "items": [sorted(items.get(i, ())) for i in range(len(count))]}
+
+
+def concluded(found: dict[str, list], min_share: float) -> dict[str, list]:
+    """The columns OUT of those of FOUND, whose spans may overlap."""
+    out: dict[str, list] = {name: [] for name in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans")}
+    for n, spans, items in zip(found["n_words"], found["spans"], found["items"], strict=True):
+        whole: list[dict] = []
+        for s in sorted(spans, key=lambda s: (s["first"], s["last"])):
+            if whole and s["first"] <= whole[-1]["last"]:
+                if s["last"] > whole[-1]["last"]:
+                    whole[-1] = whole[-1] | {"last": s["last"], "end": s["end"]}
+            else:
+                whole.append(s)
+        hit, items = sum(s["last"] - s["first"] for s in whole), sorted(set(items))
+        row = (n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and hit >= min_share * n, items, [{"start": s["start"], "end": s["end"]} for s in whole])
+        for column, value in zip(out.values(), row, strict=True):
+            column.append(value)
     return out
 
 
-def scanner(windows: dict, min_share: float):
-    """A function of a slice of texts that counts words, hits and items."""
-    tables = {}
-    for n, known in windows.items():
-        bits = np.zeros(1 << 20, bool)
-        bits[(np.fromiter(known, np.uint64, len(known)) & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        tables[n] = bits
-
-    def scan(data: np.ndarray, at: np.ndarray) -> dict[str, object]:
-        data = LOWER[data]
-        starts, ends, before, marks = runs(data, at, WORD_BYTES)
-        hashes = run_hashes(data, starts, ends, marks)
-        count = np.diff(before)
-        row_of = np.repeat(np.arange(len(count)), count)
-        change = np.zeros(len(starts) + 1, np.int64)
-        items: dict[int, set[str]] = {}
-        for n, known in windows.items():
-            rolled = window_hashes(hashes, n)
-            maybe = np.flatnonzero(tables[n][(rolled & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            maybe = maybe[row_of[maybe] == row_of[maybe + n - 1]]
-            for i in maybe.tolist():
-                for words, of in known.get(int(rolled[i]), ()):
-                    if all(data[starts[i + k] : ends[i + k]].tobytes() == w for k, w in enumerate(words)):
-                        change[i] += 1
-                        change[i + n] -= 1
-                        items.setdefault(int(row_of[i]), set()).update(of)
-        hit = np.cumsum(change)[:-1] > 0
-        n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[before])
-        spans: list[list[dict]] = [[] for _ in count]
-        marked = np.flatnonzero(hit)
-        if len(marked):
-            new = np.concatenate([[True], (np.diff(marked) > 1) | (np.diff(row_of[marked]) > 0)])
-            for a, b in zip(marked[new], marked[np.concatenate([new[1:], [True]])], strict=True):
-                row = int(row_of[a])
-                spans[row].append({"start": int(starts[a] - at[row]), "end": int(ends[b] - at[row])})
-        listed = [sorted(items.get(i, ())) for i in range(len(count))]
-        return {
-            "n_words": count,
-            "n_hit": n_hit,
-            "n_items": [len(x) for x in listed],
-            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed],
-            "contaminated": (n_hit > 0) & (n_hit >= min_share * count),
-            "items": listed,
-            "hit_spans": spans,
-        }
-
-    return scan
+def words_of(text: Column) -> Column:
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(lower, NOT_WORD), lambda w: w != "")
+
+
+def pieces_of(benchmark: DataFrame, item_id: str, item_text: str, window: int, most: int) -> DataFrame:
+    """(item, words, n): items in pieces of at most `most` words, each of which repeats the window - 1 before it."""
+    step = max(1, most - window + 1)
+    items = benchmark.select(col(item_id).cast("string").alias("item"), words_of(col(item_text)).alias("w")).where(F.size("w") > 0)
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)), F.lit(step)))
+    cut = items.select("item", "w", at.alias("at")).select("item", F.slice("w", F.col("at"), F.lit(step + window - 1)).alias("w"))
+    return cut.select("item", F.array_join("w", " ").alias("words"), F.size("w").alias("n")).distinct()
+
+
+def dealt(pieces: DataFrame, max_words: int) -> tuple[DataFrame, int]:
+    """pieces with a block each, and the number of blocks: each holds at most twice max_words words, or a single piece."""
+    blocks = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // max_words))
+    while True:
+        out = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
+        worst = out.groupBy("block").agg(F.sum("n").alias("n"), F.count("*").alias("pieces")).where("pieces > 1").agg(F.max("n")).first()[0] or 0
+        if worst <= 2 * max_words:
+            return out, blocks
+        blocks *= 2
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: float = 0.05, max_words: int = MAX_WORDS) -> DataFrame:
     """docs' columns `keep` (default: all) with n_words, n_hit, n_items, items_sha256, contaminated, items and
     hit_spans (byte spans of hit words in the UTF-8 text)."""
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
-    items = benchmark.select(col(item_id).cast("string").alias("item"), F.coalesce(col(item_text), F.lit("")).alias("text"))
-    size = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    if size > 2 * max_words:  # a word takes two bytes at least
-        return shuffled(docs, benchmark, keep=keep, text=text, item_id=item_id, item_text=item_text, window=window, min_share=min_share)
     arrow_limits(spark)
-    windows = spark.sparkContext.broadcast(benchmark_windows([tuple(r) for r in items.collect()], window))
-    return map_text(docs, lambda: scanner(windows.value, min_share), OUT, keep, text)
-
-
-def words_of(text):
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, NOT_WORD), lambda w: w != "")
-
-
-def shuffled(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: float = 0.05) -> DataFrame:
-    """The same result but for spans and item lists, by a join on each window's text: for a benchmark of any size."""
-    lengths = [r[0] for r in benchmark.select(F.least(F.size(words_of(col(item_text))), F.lit(window)).alias("n")).distinct().collect() if r[0]]
-    windows = benchmark.select(col(item_id).cast("string").alias("item"), words_of(col(item_text)).alias("w")).where(F.size("w") > 0)
-    windows = windows.withColumn("n", F.least(F.size("w"), F.lit(window))).select("item", F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> concat_ws(' ', slice(w, i, n)))")).alias("key")).groupBy("key").agg(F.collect_set("item").alias("of"))
-    rows = stored(docs.select(*[col(c) for c in keep], col(text).alias("__text"), F.monotonically_increasing_id().alias("__row")), "rows")
-    worded = rows.select("__row", words_of(F.col("__text")).alias("w"))
-    hits = None
-    for n in lengths:
-        here = worded.where(F.size("w") >= n).select("__row", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {n} + 1), i -> concat_ws(' ', slice(w, i, {n})))")).alias("pos", "key"))
-        here = here.join(windows, "key").select("__row", F.explode(F.sequence("pos", F.col("pos") + F.lit(n - 1))).alias("p"), "of")
-        hits = here if hits is None else hits.unionByName(here)
-    counts = worded.select("__row", F.size("w").cast("long").alias("n_words"))
-    if hits is None:
-        found = counts.select("__row", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    else:
-        found = hits.groupBy("__row").agg(F.count_distinct("p").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
-    out = rows.join(counts, "__row").join(found, "__row", "left")
-    n_hit, listed = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    return out.select(*[rows[c] for c in keep if c not in names], "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit >= min_share * F.col("n_words"))).alias("contaminated"))
+    keep = others(docs.columns if keep is None else keep, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans"])
+    pieces, blocks = dealt(stored(pieces_of(benchmark, item_id, item_text, window, max(1, max_words // 4)), "pieces"), max_words)
+    load = lambda b: spark.sparkContext.broadcast(Windows(sorted((tuple(r) for r in pieces.where(F.col("block") == b).select("item", "words").collect()), key=str), window))
+    if blocks == 1:
+        windows = load(0)
+        return map_text(docs, lambda: lambda data, at: concluded(scan(windows.value, data, at), min_share), OUT, keep, text)
+
+    rows = stored(docs.select(*[col(c).alias(f"k_{i}") for i, c in enumerate(keep)], col(text).alias("__text"), F.monotonically_increasing_id().alias("__row")), "rows")
+    found = None
+    for b in range(blocks):
+        windows = load(b)
+        part = map_text(rows, lambda windows=windows: lambda data, at: scan(windows.value, data, at), FOUND, ["__row"], "__text")
+        part = stored(part if b == 0 else part.where(F.size("spans") > 0), "found")
+        windows.unpersist()
+        found = part if found is None else found.unionByName(part)
+    whole = found.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    schema = StructType.fromDDL(f"__row long, {OUT}")
+
+    def conclude(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        wanted = to_arrow_schema(schema)
+        for batch in batches:
+            got = {"__row": batch.column("__row").to_pylist()} | concluded(batch.select(["n_words", "spans", "items"]).to_pydict(), min_share)
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in wanted], schema=wanted)
+
+    out = rows.join(whole.mapInArrow(conclude, schema), "__row")
+    return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans")
+
+
+def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
+    """A result of decontaminate() that kept its text, with the hit spans cut out of it; a null text stays null."""
+    raw, start = col(text).cast("binary"), F.struct(F.lit(bytearray()).alias("out"), F.lit(0).alias("at"))
+    cut = F.aggregate("hit_spans", start, lambda a, s: F.struct(F.concat(a["out"], F.substring(raw, a["at"] + 1, s["start"] - a["at"])).alias("out"), s["end"].alias("at")))
+    rest = lambda a: F.concat(a["out"], F.substring(raw, a["at"] + 1, F.octet_length(col(text)))).cast("string")
+    new = F.element_at(F.transform(F.array(cut), rest), 1)
+    return found.select(*[F.when(F.size("hit_spans") > 0, new).otherwise(col(c)).alias(c) if c == text else col(c) for c in found.columns])

@@ -1,21 +1,26 @@
 """PII surrogates: keyed, type-consistent replacements, with DataFrame functions only.
 
 One pattern finds emails, phone numbers, IPv4 addresses, card and account numbers, social security numbers, secrets
-(access keys, long hex strings, values after password=, token= and the like) and names (a title with capitalised
-words, or a known given name with a surname). A match splits into entities, each a kind and a canonical form:
+(access keys, long hex strings, values after password=, token= and the like) and names: a title with capitalised
+words, a known given name with a surname, or capitalised words in a context such as "my name is", "Author:" or
+"Regards," before or "wrote" and "said" after. A match splits into entities, each a kind and a canonical form:
 separators and case don't count, an email's domain is an entity of its own, and so is each given name and surname.
 An entity's surrogate is drawn by SHA-512 of key, kind, canonical form and attempt. It keeps the format: digits,
 letters and their case stay in place, country codes, key prefixes and hex alphabets are kept, address parts stay valid,
 card numbers stay valid where they were, and names keep gender and script. Equal entities get equal surrogates
-everywhere.
+everywhere. Coreference: within a text, capitalised words that equal a given name or surname found there in full get
+that name's surrogate wherever they stand alone.
 
 Collision check: over all distinct entities, no two of a kind share a surrogate, and none is another entity that
-occurs; those that do (all but the smallest of each) draw again with a higher attempt until none does. The few entities
+occurs; those that do (all but one of each) draw again with a higher attempt until none does. From the third
+attempt on, what a small format can't tell apart grows: emails, domains, values and phone numbers get more characters,
+addresses other lengths of their parts, surnames more syllables, given names a second name. An entity still without a
+surrogate after MAX_ATTEMPTS is an error, never a silent collision. The few entities
 of higher attempts reach the texts as one map while there are at most MAX_MAP, and by a join beyond.
 
 Defined results: null stays null, empty and unmatched texts stay as they are; repeated rows are replaced alike;
 overlapping matches are resolved from the left; an empty table gives an empty result; columns named n_entities,
-kinds are replaced. Lone given names and surnames without a title aren't found.
+kinds are replaced, whatever their case. Names without title, list, context or a full mention in the text aren't found.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import col, stored
+from plumbline.llm.common import col, others, stored
 
 MAX_MAP = 10_000
-MAX_ATTEMPTS = 50
+MAX_ATTEMPTS = 200
 
 # Titles by gender, given names by script and gender, surnames by script.
 TITLES = {
@@ -48,10 +53,19 @@ SURNAMES = {
     "greek": "Αντωνίου Βασιλείου Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Νικολάου Παύλου",
 }
 
+# Syllables of surnames of later attempts, by script.
+SYLLABLES = {
+    "latin": "ba bel bor cal car cor da del dor el fa fen gar gel ha hol ka kel kor la lin lor ma mer mon na nel nor pa per ra ren ro sa sel tal tor va ver win",
+    "cyrillic": "ба бе бор ва вел гор да дер ен за зин ка кол ла лен ма мир на нов ор па пет ра рин са сол та тин ша щук",
+    "greek": "αν βα γε δη ει ζα ηλ θε ιω κα κο λα μα νι ξε οδ πα ρα σα τα υψ φι χα ωρ",
+}
+
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _given = "|".join(n for names in GIVEN.values() for n in names.split())
 _titles = "|".join(t for titles in TITLES.values() for t in titles.split())
 _word = r"\p{Lu}[\p{L}’']*\p{L}"
+_before = r"(?:[Mm]y name is|I am|I'm|[Nn]ame:|[Aa]uthor:|[Cc]ontact:|[Ss]igned by|[Ww]ritten by|[Rr]egards,|[Ss]incerely,)\s{1,2}"
+_after = r" (?:wrote|writes|said|says|asked|replied|told)(?!\p{L})"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,6}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
@@ -62,7 +76,7 @@ PATTERNS = {
     "card": r"(?<![\w.])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{13,19})(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?!\w)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)",
     # What begins no name or title in capitals is passed over at once.
-    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_titles}|{_titles.upper()})\.? {_word}(?:[ \-]{_word}){{0,2}}|(?:{_given}|{_given.upper()})(?: {_word}){{1,2}})",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_titles}|{_titles.upper()})\.? {_word}(?:[ \-]{_word}){{0,2}}|(?:{_given}|{_given.upper()})(?: {_word}){{1,2}}|(?<={_before}){_word}(?: {_word}){{1,2}}|{_word} {_word}(?:(?= and {_word} {_word}{_after})|(?={_after})))",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Whatever ANY matches has one of these: a sign of an address, a number, a name, a value's context or a key of letters.
@@ -77,7 +91,7 @@ def kind_of(v: Column) -> Column:
             continue
         here = v.rlike(f"^(?:{pattern})$")
         out = F.when(here, kind) if out is None else out.when(here, kind)
-    return out.otherwise("value")
+    return out.when(v.rlike(f"^{_word}(?: {_word})+$"), "name").otherwise("value")  # by its context; a value has no space
 
 
 def script_of(token: Column) -> Column:
@@ -163,6 +177,12 @@ def like(v: Column, seed: Column, keep: Column | int, hexes: Column) -> Column:
     return once(F.struct(seed.alias("seed"), keep.alias("keep"), hexes.alias("hexes")), whole)
 
 
+def more(seed: Column, attempt: Column, digits: bool = False) -> Column:
+    """What a surrogate of a later attempt grows by: a character at the third attempt, two at the sixth, and so on."""
+    drawn = F.substring(F.sha2(F.concat(seed, F.lit("|more")), 512), F.lit(1), F.least(F.lit(100), F.floor(attempt / 3)).cast("int"))
+    return F.translate(drawn, "abcdef", "012345") if digits else drawn
+
+
 def luhn(digits: Column, skip_last: bool) -> Column:
     """The checksum of a digit string; skip_last: with a 0 in the last place."""
     places = F.reverse(F.split(digits, ""))
@@ -178,9 +198,10 @@ def card(v: Column, seed: Column) -> Column:
     return F.when(valid, F.concat(F.substring(out, F.lit(1), F.length(out) - 1), check)).otherwise(out)
 
 
-def address(v: Column, seed: Column) -> Column:
-    """Each part redrawn with as many digits as it had."""
-    part = lambda p, i: F.when(F.length(p) == 3, F.lit(100) + F.pmod(number(seed, i), F.lit(155))).when(F.length(p) == 2, F.lit(10) + F.pmod(number(seed, i), F.lit(90))).otherwise(F.lit(1) + F.pmod(number(seed, i), F.lit(9)))
+def address(v: Column, seed: Column, attempt: Column) -> Column:
+    """Each part redrawn with as many digits as it had; any from 1 to 254 from the third attempt on."""
+    drawn = lambda i, least, many: F.lit(least) + F.pmod(number(seed, i), F.lit(many))
+    part = lambda p, i: F.when(attempt >= 3, drawn(i, 1, 254)).when(F.length(p) == 3, drawn(i, 100, 155)).when(F.length(p) == 2, drawn(i, 10, 90)).otherwise(drawn(i, 1, 9))
     return F.array_join(F.transform(F.split(v, r"\."), lambda p, i: part(p, i).cast("string")), ".")
 
 
@@ -189,7 +210,7 @@ def picker(names: Column, seed: Column):
 
 
 def name_word(token: Column, kind: Column, seed: Column, attempt: Column) -> Column:
-    """A name of the token's kind, script and case; later attempts join several names."""
+    """A name of the token's kind, script and case. Of later attempts, given names join several, surnames are made of syllables."""
     lists = {}
     for script in SURNAMES:
         male, female = GIVEN[script, "m"].split(), GIVEN[script, "f"].split()
@@ -201,6 +222,10 @@ def name_word(token: Column, kind: Column, seed: Column, attempt: Column) -> Col
         # Attempts 0 to 2 draw one name, then two joined, then three and more.
         many = F.greatest(F.lit(0), F.floor(attempt / 3)).cast("int")
         word = F.array_join(F.transform(F.sequence(F.lit(0), many), picker(names, seed)), "-")
+        if k == "surname":
+            parts = F.array(*[F.lit(x) for x in SYLLABLES[script].split()])
+            made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(30), 1 + F.floor(attempt / 2)).cast("int")), picker(parts, seed)), ""))
+            word = F.when(attempt >= 2, made).otherwise(word)
         chosen = F.when(here, word) if chosen is None else chosen.when(here, word)
     return F.when((token == F.upper(token)) & (F.length(token) > 1), F.upper(chosen)).otherwise(chosen)
 
@@ -220,8 +245,9 @@ def surrogate(match: Column, key: str, attempt_of) -> Column:
     local, domain = F.substring(v, F.lit(1), at - 1), F.substring(v, at + 1, F.length(v))
     labels = F.split(domain, r"\.")
     top = F.element_at(labels, -1)
-    new_domain = F.concat(like(F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1), seeded(second), F.lit(0), F.lit(False)), F.lit("."), top)
-    email = F.concat(like(local, seeded(first), F.lit(0), F.lit(False)), F.lit("@"), new_domain)
+    grown = lambda e, digits=False: more(seeded(e), attempt_of(e), digits)
+    new_domain = F.concat(like(F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1), seeded(second), F.lit(0), F.lit(False)), grown(second), F.lit("."), top)
+    email = F.concat(like(local, seeded(first), F.lit(0), F.lit(False)), grown(first), F.lit("@"), new_domain)
     tokens = name_tokens(v)
 
     def named(t: Column, i: Column) -> Column:
@@ -235,9 +261,9 @@ def surrogate(match: Column, key: str, attempt_of) -> Column:
     return (
         F.when(kind == "email", email)
         .when(kind == "name", F.array_join(F.transform(tokens, named), ""))
-        .when(kind == "ip", address(v, seeded(first)))
+        .when(kind == "ip", address(v, seeded(first), attempt_of(first)))
         .when(kind == "card", card(v, seeded(first)))
-        .otherwise(like(v, seeded(first), kept, hexes))
+        .otherwise(F.concat(like(v, seeded(first), kept, hexes), F.when(kind == "value", grown(first)).when(kind == "phone", grown(first, True)).otherwise("")))
     )
 
 
@@ -247,18 +273,18 @@ def canonical_surrogate(entity: Column, key: str, attempt: Column) -> Column:
     seed = seed_of(key, entity, attempt)
     at = F.instr(value, "@")
     none = F.lit(0)
-    domain = F.concat(like(F.regexp_replace(value, r"\.[^.]*$", ""), seed, none, F.lit(False)), F.lit("."), F.regexp_extract(value, r"([^.]*)$", 1))
+    domain = F.concat(like(F.regexp_replace(value, r"\.[^.]*$", ""), seed, none, F.lit(False)), more(seed, attempt), F.lit("."), F.regexp_extract(value, r"([^.]*)$", 1))
     # An email's local part alone has to differ within its domain.
-    email = F.concat(like(F.substring(value, F.lit(1), at - 1), seed, none, F.lit(False)), F.substring(value, at, F.length(value)))
+    email = F.concat(like(F.substring(value, F.lit(1), at - 1), seed, none, F.lit(False)), more(seed, attempt), F.substring(value, at, F.length(value)))
     hexes = kind.isin("key", "value") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     kept = F.when(value.rlike("^AKIA[0-9A-Z]{16}$"), 4).when(kind == "iban", 2).when(kind == "phone", F.length(F.regexp_extract(value, r"^(\d*)\.", 1))).otherwise(0)
     new = (
         F.when(kind == "email", email)
         .when(kind == "domain", domain)
         .when(kind.isin(*NAME_KINDS), F.lower(name_word(value, kind, seed, attempt)))
-        .when(kind == "ip", address(value, seed))
+        .when(kind == "ip", address(value, seed, attempt))
         .when(kind == "card", card(value, seed))
-        .otherwise(like(value, seed, kept, hexes))
+        .otherwise(F.concat(like(value, seed, kept, hexes), F.when(kind == "value", more(seed, attempt)).when(kind == "phone", more(seed, attempt, True)).otherwise("")))
     )
     # Genders share one space of given names.
     return F.concat(F.when(kind.startswith("given"), "given").otherwise(kind), F.lit(":"), new)
@@ -278,9 +304,10 @@ def resolved(found: DataFrame, key: str) -> DataFrame:
         known = drawn.join(taken, "new", "left_semi").select("entity")
         again = stored(bad.union(known).distinct(), "again")
         if again.isEmpty():
-            break
+            return settled.where("attempt > 0")
         settled = stored(settled.join(again.withColumn("more", F.lit(1)), "entity", "left").select("entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "attempts")
-    return settled.where("attempt > 0")
+    kinds = sorted(r[0] for r in again.select(F.regexp_extract("entity", "^([a-z_]+):", 1)).distinct().collect())
+    raise ValueError(f"no free surrogates are left for entities of these kinds: {', '.join(kinds)}")
 
 
 def matches_of(text: Column) -> Column:
@@ -288,9 +315,26 @@ def matches_of(text: Column) -> Column:
     return F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def lone(matches: Column) -> Column:
+    """A map from the given names and surnames of a text's described matches, lower-cased, to their entities."""
+    words = lambda x: F.transform(name_tokens(x["v"]), lambda t: F.lower(t))
+    of = lambda x: F.filter(F.transform(words(x), lambda t: F.struct(t.alias("word"), F.try_element_at(F.filter(x["keys"], lambda k: F.endswith(k, F.concat(F.lit(":"), t))), F.lit(1)).alias("key"))), lambda e: F.length(e["word"]) > 2)
+    found = F.filter(matches, lambda x: x["kind"] == "name")
+    pairs = F.flatten(F.transform(found, of))
+    return F.aggregate(F.filter(pairs, lambda e: e["key"].isNotNull()), F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["word"]), m).otherwise(F.map_concat(m, F.create_map(e["word"], e["key"]))))
+
+
+def mentions(part: Column, names: Column, key: str, attempt_of) -> Column:
+    """A stretch of text between matches with lone names replaced."""
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?iu:"), F.array_join(F.map_keys(names), "|"), F.lit(r")(?!\p{L})"))
+    new = lambda w: once(F.element_at(names, F.lower(w)), lambda e: name_word(w, F.regexp_extract(e, "^([a-z_]+):", 1), seed_of(key, e, attempt_of(e)), attempt_of(e)))
+    found = F.regexp_extract_all(part, pattern, F.lit(0))
+    return F.array_join(F.zip_with(F.split(part, pattern, F.lit(-1)), F.transform(found, new), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+
+
 def replace(docs: DataFrame, *, key: str = "plumbline", text: str = "text", keep: list[str] | None = None, max_map: int = MAX_MAP) -> DataFrame:
     """docs' columns `keep` (default: all), the text replaced, with n_entities and kinds (of its matches, in order)."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (text.lower(), "n_entities", "kinds")]
+    keep = others(docs.columns if keep is None else keep, [text, "n_entities", "kinds"])
     order = [c for c in docs.columns if c in keep or c == text] if set(keep) <= set(docs.columns) else [*keep, text]
     found = docs.select(F.explode(matches_of(col(text))).alias("v")).distinct().select("v", kind_of(F.col("v")).alias("kind")).select(F.explode(entities(F.col("v"), F.col("kind"))).alias("entity"))
     higher = stored(resolved(found, key), "higher")
@@ -306,8 +350,8 @@ def replace(docs: DataFrame, *, key: str = "plumbline", text: str = "text", keep
         empty = F.create_map().cast("map<string,int>")
         with_map = hit.join(maps, "digest", "left").drop("digest").unionByName(source.where(~(F.size("m") > 0)).withColumn("a", empty))
     attempt_of = lambda e: F.coalesce(F.try_element_at(F.col("a"), e), F.lit(0))
-    parts = F.split("t", ANY, -1)
+    parts = F.transform(F.split("t", ANY, -1), lambda p: F.when(F.size("names") > 0, mentions(p, F.col("names"), key, attempt_of)).otherwise(p))
     new = F.array_join(F.zip_with(parts, F.transform("m", lambda x: surrogate(x, key, attempt_of)), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    out = with_map.withColumn("new", F.when(F.size("m") > 0, new).otherwise(F.col("t")))
+    out = with_map.withColumn("names", lone(F.col("m"))).withColumn("new", F.when(F.size("m") > 0, new).otherwise(F.col("t")))
     named = {c: F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)} | {text: F.col("new").alias(text)}
     return out.select(*[named[c] for c in order], F.size("m").alias("n_entities"), F.col("m.kind").alias("kinds"))

@@ -52,19 +52,29 @@ def test_short_items_ties_and_odd_texts(spark, odd, make):
     check(make(["x " + " ".join(f"w{i}" for i in range(5, 25)) + " y", "w1 w2 w3", "W1-w2 " * 30]), bench)
 
 
-def test_shuffled_agrees(spark, sf, odd):
+def test_blocks_agree_with_one_broadcast(spark, sf, odd):
     docs, bench = read(spark, sf, "documents").limit(60), read(spark, sf, "benchmark")
-    short = spark.createDataFrame([(900, "the"), (None, "cat sat")], "item_id long, text string")
+    short = spark.createDataFrame([(900, "the"), (None, "cat sat"), (901, " ".join(f"word{i}" for i in range(3000)))], "item_id long, text string")
     bench = bench.unionByName(short)
+    docs = docs.unionByName(spark.createDataFrame([(5001, "x " + " ".join(f"word{i}" for i in range(100, 2000)), "en", "s", 1)], docs.schema))
     for d in (docs, odd):
-        a = sorted(tuple(r) for r in D.decontaminate(d, bench, keep=["doc_id"]).select(NAMES).collect())
-        b = sorted(tuple(r) for r in D.decontaminate(d, bench, keep=["doc_id"], max_words=1).select(NAMES).collect())
-        assert a == b
+        a, b = (D.decontaminate(d, bench, keep=["doc_id"], max_words=n) for n in (D.MAX_WORDS, 1500))
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
-def test_spans_and_empty(spark, make):
-    bench = spark.createDataFrame([(7, "red green blue")], "item_id long, text string")
-    row = D.decontaminate(make(["so Red, green; blue! end"]), bench).first()
-    assert [tuple(s) for s in row.hit_spans] == [(3, 19)] and row["items"] == ["7"]
+def test_spans_are_removed_and_empty_tables(spark, make):
+    bench = spark.createDataFrame([(7, "red green blue"), (8, "blaü")], "item_id long, text string")
+    out = D.decontaminate(make(["so Red, green; blue! end blaü", "x", None, "é red green blue ü"]), bench).orderBy("doc_id")
+    row = out.first()
+    assert [tuple(s) for s in row.hit_spans] == [(3, 19), (25, 30)] and row["items"] == ["7", "8"]
+    assert [r["text"] for r in D.remove_spans(out).collect()] == ["so ! end ", "x", None, "é  ü"]
     assert D.decontaminate(make([]), bench).count() == 0
     assert D.decontaminate(make(["a b"]), bench.limit(0)).first().n_hit == 0
+
+
+def test_clashing_names(spark):
+    bench = spark.createDataFrame([(7, "red green blue")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "red green blue", 3, "w")], "doc_id long, text string, N_Hit int, w string")
+    for n in (D.MAX_WORDS, 1):
+        row = D.decontaminate(docs, bench.union(bench), max_words=n).collect()[0]
+        assert row["n_hit"] == 3 and row["w"] == "w"

@@ -41,3 +41,59 @@ def test_distinct_entities_stay_distinct(spark, make):
 
 def test_odd_texts_and_empty(odd, make):
     assert pii.replace(odd).count() == 15 and pii.replace(make([])).count() == 0
+
+
+def one(spark, make, texts):
+    return [r["text"] for r in pii.replace(make(texts)).orderBy("doc_id").collect()]
+
+
+def test_lone_mentions_follow_the_full_name(spark, make):
+    out = one(spark, make, ["Mr John Carter called. Carter was late, said John. CARTER! carter, Carterton", "Carter and John are unknown here", "By noon, Priya Sharma and Kwame Mensah wrote a note; Sharma signed. My name is Zed Quark, Quark."])
+    first, last = re.match(r"Mr (\S+) (\S+) called", out[0]).groups()
+    assert out[0] == f"Mr {first} {last} called. {last} was late, said {first}. {last.upper()}! carter, Carterton" and "John" != first and "Carter" != last
+    assert out[1] == "Carter and John are unknown here"
+    names = re.match(r"By noon, (\S+) (\S+) and (\S+) (\S+) wrote a note; (\S+) signed. My name is (\S+) (\S+), (\S+)\.", out[2]).groups()
+    assert names[1] == names[4] and names[6] == names[7] and not {"Priya", "Sharma", "Kwame", "Mensah", "Zed", "Quark"} & set(names)
+
+
+def test_full_formats_grow_instead_of_colliding(spark, make):
+    texts = [f"{chr(97 + i)}@x.com" for i in range(26)] + [f"call +1 20 {i:02d} now" for i in range(100)] + [f"see {i}.1.1.1" for i in range(1, 10)]
+    out = one(spark, make, texts)
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+    assert len({o.split("@")[1] for o in out[:26]}) == 1 and all(re.fullmatch(r"[a-z0-9]+@[a-z0-9]+\.com", o) for o in out[:26])
+    assert all(re.fullmatch(r"call \+1 [\d ]+ now", o) for o in out[26:126])
+
+
+def test_many_surnames_stay_distinct(spark, make):
+    texts = [f"Dr Qu{chr(97 + i % 26)}{chr(97 + i // 26)} met" for i in range(600)]
+    assert len(set(one(spark, make, texts))) == 600
+
+
+def test_no_free_surrogate_is_an_error(spark, make, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 1)
+    with pytest.raises(ValueError, match="email"):
+        one(spark, make, [f"{chr(97 + i)}@x.com" for i in range(26)])
+
+
+def test_distinctness_and_coreference_over_a_table(spark):
+    """Emails, numbers and hex keys by plain patterns, in order, before and after: one to one over the whole table."""
+    from plumbline.llm.common import read
+
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    new = {r["doc_id"]: r["text"] for r in pii.replace(docs, keep=["doc_id"]).collect()}
+    for pattern in (r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w.])", r"\bAKIA[A-Z0-9]{16}\b"):
+        there, back = {}, {}
+        for r in docs.collect():
+            old, now = re.findall(pattern, r["text"] or ""), re.findall(pattern, new[r["doc_id"]] or "")
+            assert len(old) == len(now)
+            for a, b in zip(old, now, strict=True):
+                a, b = a.lower(), b.lower()
+                assert there.setdefault(a, b) == b and back.setdefault(b, a) == a and a != b
+
+
+def test_clashing_names_and_ties(spark):
+    docs = spark.createDataFrame([(1, "a@b.com", 5, "m", "t")] * 3, "doc_id long, text string, N_Entities int, m string, names string")
+    rows = pii.replace(docs).collect()
+    assert len(rows) == 3 and len({r["text"] for r in rows}) == 1 and rows[0]["n_entities"] == 1 and rows[0]["m"] == "m" and rows[0]["names"] == "t"
