@@ -1,25 +1,46 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, directly or by links.
+"""Near copies by wide simhash fingerprints: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more, directly or by links.
 
-Candidates share one of 25 bands of five min-hashes, so a pair at 0.8 is missed with a chance of 5 in 100,000, and
-less above. Each candidate is checked by its exact similarity: first every text of a bucket with the bucket's least,
-then, where a bucket still has texts of several components, all pairs across these. So no pair of a bucket is left
-unchecked unless its texts are linked already, and a large group of copies costs a row per text, not per pair.
+The 64 bits of `simhash` tell near copies of 0.8 badly apart from others, so here each text's distinct shingles give
+LANES fingerprints of 64 bits. Texts are dealt into tiles by their number of shingles, as sets of 0.8 differ by a quarter
+at most; tile pairs within that range are compared in full with numpy, exclusive-or and bit counts, the first lane
+letting few pairs on to the others. A pair is a candidate within the distance that sets of 0.8 exceed with a chance of
+about 1 in 30,000. Of each tile pair come the candidates of a least spanning forest, so output is linear.
+
+Candidates are checked by the exact similarity: each text's closest one, then what still joins different classes.
+Where a group of candidates stays in several classes, a rejected link may hide others: all texts of such a group are
+compared exactly, by tiles of their shingle sets, which again return a forest. So no link is lost but beyond that distance.
 
 Defined results: words are lowered in A-Z and split as in simhash; texts with at most five words are one shingle;
-null, empty and blank texts are copies of each other; an empty table gives an empty result.
+null, empty and blank texts are copies of each other; an empty table gives an empty result; of rows with equal ids the
+one of the least hash of all columns stays, so reruns agree, and of rows equal in all columns one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import arrow_limits, col, map_text, mix, stored
 from plumbline.llm.components import components
-from plumbline.llm.simhash import SEED
+from plumbline.llm.simhash import SEED, forest, majority
+
+WORDS, LANES, TILE, SET_TILE = 5, 4, 2048, 256
+BAND = np.log(1.05)  # tiles hold texts whose numbers of shingles differ by 5 % at most
+BANDS = 5  # 1.25 is fewer than five bands up
+#: Chance that a bit differs at 0.8: arccos(8 / 9) / pi, and of sets of few shingles up to 6 / 32.
+DIFFER = 0.1516, 0.1875
+FEW = 20
 
-WORDS, BANDS, ROWS = 5, 25, 5
+
+def radius(n: np.ndarray, bits: int) -> np.ndarray:
+    p = np.where(n < FEW, DIFFER[1], DIFFER[0])
+    return bits * p + 4 * np.sqrt(bits * p * (1 - p))
 
 
 def shingles(raw: bytes, words: int) -> np.ndarray:
@@ -37,24 +58,13 @@ def shingles(raw: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[x:y], SEED) for x, y in spans), np.uint64))
 
 
-def banded(words: int):
-    rng = np.random.default_rng(SEED)
-    times = rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    plus = rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-    salt = rng.integers(0, 1 << 64, BANDS, dtype=np.uint64)
-
-    def bands(h: np.ndarray) -> np.ndarray:
-        least = np.full(BANDS * ROWS, ~np.uint64(0))
-        for at in range(0, len(h), 2048):
-            least = np.minimum(least, (np.multiply.outer(times, h[at : at + 2048]) + plus[:, None]).min(axis=1))
-        out = salt
-        for row in least.reshape(BANDS, ROWS).T:
-            out = mix(out + row)
-        return out.view(np.int64)
-
+def sketcher(words: int):
     def work(data: np.ndarray, at: np.ndarray) -> dict[str, object]:
         raw = data.tobytes()
-        return {"bands": [bands(shingles(raw[a:b], words)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]}
+        sets = [shingles(raw[a:b], words) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        n, whole = np.array([len(s) for s in sets], np.int64), np.concatenate(sets)
+        lanes = [majority(mix(whole + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)), n).view(np.int64) for k in range(LANES)]
+        return {"n": n, "lanes": pa.FixedSizeListArray.from_arrays(pa.array(np.stack(lanes, 1).ravel()), LANES).to_pylist()}
 
     return work
 
@@ -67,41 +77,156 @@ def listed(words: int):
     return work
 
 
+def least_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the links of a least spanning forest by d (ties: the first): each component takes its least link, and again."""
+    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = where[: len(a)], where[len(a) :]
+    order = np.argsort(d, kind="stable")
+    rank = np.empty(len(d), np.int64)
+    rank[order] = np.arange(len(d))
+    label, taken = np.arange(len(nodes)), []
+    while True:
+        apart = np.flatnonzero(label[x] != label[y])
+        if not len(apart):
+            return np.unique(np.concatenate([np.zeros(0, np.int64), *taken]))
+        best = np.full(len(nodes), len(d))
+        np.minimum.at(best, label[x[apart]], rank[apart])
+        np.minimum.at(best, label[y[apart]], rank[apart])
+        chosen = order[np.unique(best[best < len(d)])]
+        taken.append(chosen)
+        tree = dict(forest(label[x[chosen]], label[y[chosen]]))
+        root = np.arange(len(nodes))
+        root[list(tree)] = list(tree.values())
+        label = root[label]
+
+
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of tile pairs (left, right: node, n, lanes): (a, b, d) of a least forest of the candidates."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            left, right = (batch.column(k)[i].values for k in (0, 1))
+            nodes, sizes = ([np.asarray(s.field(f), np.int64) for s in (left, right)] for f in ("node", "n"))
+            lanes = [np.asarray(s.field("lanes").flatten(), np.int64).view(np.uint64).reshape(-1, LANES) for s in (left, right)]
+            most = [radius(s, 64 * LANES) for s in sizes]
+            first = 64 * DIFFER[1] + 4.5 * np.sqrt(64 * DIFFER[1] * (1 - DIFFER[1]))
+            found = []
+            step = max(1, (1 << 20) // len(nodes[1]))
+            for at in range(0, len(nodes[0]), step):
+                x, y = np.nonzero(np.bitwise_count(lanes[0][at : at + step, None, 0] ^ lanes[1][None, :, 0]) <= first)
+                x += at
+                d = np.bitwise_count(lanes[0][x] ^ lanes[1][y]).sum(1, dtype=np.int64)
+                small, large = np.minimum(sizes[0][x], sizes[1][y]), np.maximum(sizes[0][x], sizes[1][y])
+                near = (d <= np.maximum(most[0][x], most[1][y])) & (5 * small >= 4 * large) & (nodes[0][x] != nodes[1][y])
+                found.append((nodes[0][x[near]], nodes[1][y[near]], d[near]))
+            a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(a):
+                kept = least_forest(a, b, d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[kept]), pa.array(np.maximum(a, b)[kept]), pa.array(d[kept])], names=["a", "b", "d"])
+
+
+def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of tile pairs (left, right: node, shingles): (a, b) of a forest of the links at 0.8 or more."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            left, right = (batch.column(k)[i].values for k in (0, 1))
+            nodes = [np.asarray(s.field("node"), np.int64) for s in (left, right)]
+            counts = [np.diff(np.asarray(s.field("shingles").offsets)) for s in (left, right)]
+            flat = [np.asarray(s.field("shingles").flatten(), np.int64) for s in (left, right)]
+            known, where = np.unique(np.concatenate(flat), return_inverse=True)
+            rows = [np.repeat(np.arange(len(c)), c) for c in counts]
+            both = np.zeros((len(nodes[0]), len(nodes[1])), np.float32)
+            parts = where[: len(flat[0])], where[len(flat[0]) :]
+            for at in range(0, len(known), 4096):  # shared shingles by products of 0/1 matrices of bounded width
+                m = [np.zeros((len(n), 4096), np.float32) for n in nodes]
+                for k in (0, 1):
+                    here = (parts[k] >= at) & (parts[k] < at + 4096)
+                    m[k][rows[k][here], parts[k][here] - at] = 1
+                both += m[0] @ m[1].T
+            x, y = np.nonzero((9 * both >= 4 * (counts[0][:, None] + counts[1][None, :])) & (nodes[0][:, None] != nodes[1][None, :]))
+            if len(x):
+                tree = forest(nodes[0][x], nodes[1][y])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in tree], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def tile_pairs(packed: DataFrame, steps: int, tasks: int) -> DataFrame:
+    """(left, right) of packed (cell, tile, rows): all tile pairs of a cell and of the `steps` cells above it. Pairs are
+    made of numbers only, spread over tasks, and then fetch their rows."""
+    ids = packed.select("cell", "tile")
+    left = ids.select(F.col("cell").alias("c"), F.col("tile").alias("t"), F.explode(F.expr(f"sequence(cell, cell + {steps})")).alias("cell"))
+    pairs = left.join(ids, "cell").where((F.col("c") != F.col("cell")) | (F.col("t") <= F.col("tile"))).repartition(tasks, "c", "t")
+    pairs = pairs.join(packed.selectExpr("cell as c", "tile as t", "rows as left"), ["c", "t"]).repartition(tasks, "c", "t", "cell", "tile")
+    return pairs.join(packed.selectExpr("cell", "tile", "rows as right"), ["cell", "tile"]).select("left", "right")
+
+
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) at 0.8 or more."""
+    """The pairs (a, b) with ok: whether they are at 0.8 or more."""
     both = pairs.join(sets.selectExpr("node as a", "shingles as x"), "a").join(sets.selectExpr("node as b", "shingles as y"), "b")
-    m, n = F.size("x"), F.size("y")
-    long_enough = 5 * F.least(m, n) >= 4 * F.greatest(m, n)
     # i / (m + n - i) >= 4 / 5
-    return both.where(long_enough).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (m + n)).select("a", "b")
+    return both.select("a", "b", (9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).alias("ok"))
+
+
+def labelled(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """links between different labels (node, root), with these as p and q; a node without a label is its own."""
+    out = links.join(labels.selectExpr("node as a", "root as p"), "a", "left").join(labels.selectExpr("node as b", "root as q"), "b", "left")
+    return out.withColumns({"p": F.coalesce("p", "a"), "q": F.coalesce("q", "b")}).where("p <> q")
 
 
-def roots(texts: DataFrame, words: int = WORDS) -> DataFrame:
+def roots(texts: DataFrame, words: int = WORDS, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
     """(node, root) of the nodes of texts (node, t) with a near copy: root is the least node that links reach."""
-    arrow_limits(texts.sparkSession)
-    sketches = stored(map_text(texts, lambda: banded(words), "bands array<long>", ["node"], "t"), "sketches")
-    buckets = stored(sketches.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket")), "buckets")
-    least = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = stored(buckets.join(least, "bucket"), "crowded")
-    members = crowded.select("node").distinct()
-    sets = stored(map_text(texts.dropDuplicates(["node"]).join(members, "node", "left_semi"), lambda: listed(words), "shingles array<long>", ["node"], "t"), "sets")
-    links = stored(alike(crowded.where("node <> lead").selectExpr("lead as a", "node as b").distinct(), sets), "links")
-    named = crowded.join(components(links), "node", "left").select("bucket", "lead", "node", F.coalesce("root", "node").alias("root"))
-    split = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rest = stored(named.where("node <> lead").join(split, "bucket").select("bucket", "node", "root"), "rest")
-    across = rest.selectExpr("bucket", "node as a", "root as p").join(rest.selectExpr("bucket", "node as b", "root as q"), "bucket")
-    more = stored(alike(across.where("a < b and p <> q").select("a", "b").distinct(), sets), "more")
-    return components(links.union(more))
+    spark = texts.sparkSession
+    arrow_limits(spark)
+    sketches = stored(map_text(texts, lambda: sketcher(words), "n long, lanes array<long>", ["node"], "t").dropDuplicates(["node"]), "sketches")
+    cell = F.floor(F.ln(F.greatest(F.col("n"), F.lit(1))) / float(BAND)).cast("int")
+    cells = sketches.where("n > 0").withColumn("cell", cell)
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))  # a few hundred rows: one per band
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((sizes.agg(F.sum("tiles")).first()[0] or 1) // 2))
+    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    packed = stored(dealt.groupBy("cell", "tile").agg(F.collect_list(F.struct("node", "n", "lanes")).alias("rows")), "tiles")
+    links = stored(tile_pairs(packed, BANDS, tasks).mapInArrow(candidates, T.StructType.fromDDL("a long, b long, d long")), "links")
+
+    members = stored(links.selectExpr("a as node").union(links.selectExpr("b as node")).distinct(), "members")
+    sets = stored(map_text(texts.join(members, "node", "left_semi").dropDuplicates(["node"]), lambda: listed(words), "shingles array<long>", ["node"], "t"), "sets")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.struct("d", "a", "b").alias("link"))
+    closest = ends.groupBy("node").agg(F.min("link").alias("link")).select("link.a", "link.b").distinct()
+    checked = stored(alike(closest, sets), "checked")
+    true = checked.where("ok").select("a", "b")
+    labels = components(true)
+    # Then, of each pair of classes that candidates still join, the closest candidate; and at last all that are left.
+    for one in (True, False):
+        left = stored(labelled(links, labels).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+        asked = left.groupBy(F.least("p", "q"), F.greatest("p", "q")).agg(F.min(F.struct("d", "a", "b")).alias("link")).select("link.a", "link.b") if one else left.select("a", "b")
+        more = stored(alike(asked, sets), "checked")
+        checked, true = checked.union(more), true.union(more.where("ok").select("a", "b"))
+        labels = components(true)
+
+    # Classes that rejected candidates join, and all their texts.
+    across = stored(labelled(links, labels).select(F.col("p").alias("a"), F.col("q").alias("b")), "across")
+    if across.isEmpty():
+        return labels
+    named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(components(across).selectExpr("node as root", "root as cell"), "root")
+    split = stored(named.groupBy("cell").agg(F.count("*").alias("held")), "split")
+    mixed = named.join(split.select("cell", F.ceil(F.col("held") / set_tile).cast("int").alias("tiles")), "cell").join(sets, "node")
+    mixed = mixed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    packed = stored(mixed.groupBy("cell", "tile").agg(F.collect_list(F.struct("node", "shingles")).alias("rows")), "set_tiles")
+    tasks = max(tasks, int((split.agg(F.sum(F.ceil(F.col("held") / set_tile))).first()[0] or 1) // 2))
+    rest = tile_pairs(packed, 0, min(tasks, 20_000)).mapInArrow(exact, T.StructType.fromDDL("a long, b long"))
+    return components(true.union(stored(rest, "rest")))
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """One row of each class: that of the smallest id, or one of those that share it."""
-    names = docs.columns
-    named = docs.select(*[col(c).alias(f"k_{i}") for i, c in enumerate(names)], F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("node"))
-    own = f"k_{names.index(doc_id)}"
-    found = roots(named.select("node", F.coalesce(F.col(f"k_{names.index(text)}"), F.lit("")).alias("t")), words)
-    least = named.groupBy("node").agg(F.min(own).alias("least")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = least.groupBy("root").agg(F.min(F.struct(F.isnull("least").alias("none"), "least", "node")).alias("first"))
-    winners = stored(first.select("root", F.col("first.least").alias("least"), F.col("first.node").alias("winner")), "winners")
-    kept = named.join(winners, (F.col("node") == F.col("winner")) & F.col(own).eqNullSafe(F.col("least"))).dropDuplicates(["root"])
-    return kept.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(names)])
+    """One row of each class: that of the smallest id, null last. Classes and the rows that stay are found without texts."""
+    whole = F.coalesce(col(text), F.lit(""))
+    blank = ~F.coalesce(col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    node, mark = F.when(blank, F.lit(0).cast("long")).otherwise(F.xxhash64(whole)), F.xxhash64(*[col(c) for c in docs.columns])
+    named = docs.select(node.alias("node"), whole.alias("t"), col(doc_id).alias("id"), mark.alias("mark"))
+    rows = stored(named.select("node", "id", "mark"), "rows")
+    found = roots(named.select("node", "t"), words)
+    least = rows.groupBy("node").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "mark")).alias("first"))
+    first = least.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("x"))
+    winners = stored(first.select(F.col("x.first.mark").alias("__mark"), F.col("x.node").alias("__node")).distinct(), "winners")
+    kept = docs.withColumns({"__mark": mark, "__node": node}).join(winners, ["__mark", "__node"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("__mark", "__node").orderBy("__mark"))  # rows equal in all columns
+    return kept.withColumn("__one", one).where("__one = 1").select(*[col(c) for c in docs.columns])

@@ -9,7 +9,8 @@ Each tile pair returns a spanning forest of its links, not every pair; component
 
 Defined results: null, empty and blank texts have fingerprint 0 and link like any other; texts with fewer words than
 a shingle hash the whole sequence; repeated rows give repeated rows; documents whose ids are all null in a component
-have a null component_id; an empty table gives an empty result.
+have a null component_id; an empty table gives an empty result; columns named like outputs are replaced, whatever
+their case. The pipeline's stage, with wider fingerprints and an exact check, is nearcopies.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import arrow_limits, col, map_text, stored
+from plumbline.llm.common import arrow_limits, col, map_text, others, stored
 from plumbline.llm.components import components
 
 SEED = 42
@@ -136,9 +137,14 @@ def near(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
         steps = [(*s, d) for s in steps for d in range(-radius, radius + 1) if sum(map(abs, s)) + abs(d) <= radius]
     steps = [s for s in steps if s >= (0, 0, 0, 0)]  # of a cell pair, one direction
     shift = F.explode(F.array(*[F.array(*[F.lit(d) for d in s]) for s in steps]))
-    left = packed.select(F.col("cell").alias("own"), F.col("tile").alias("own_tile"), F.col("fps").alias("left"), shift.alias("step"))
-    left = left.select("own", "own_tile", "left", F.zip_with("own", "step", lambda x, d: x + d).alias("cell"))
-    pairs = left.join(packed.select("cell", "tile", F.col("fps").alias("right")), "cell").where((F.col("own") != F.col("cell")) | (F.col("own_tile") <= F.col("tile")))
+    # Pairs are made of tiles' numbers only, so that a full cell's pairs spread over tasks, and then fetch their arrays.
+    ids = packed.select("cell", "tile")
+    left = ids.select(F.col("cell").alias("own"), F.col("tile").alias("own_tile"), shift.alias("step")).withColumn("cell", F.zip_with("own", "step", lambda x, d: x + d))
+    pairs = left.join(ids, "cell").where((F.col("own") != F.col("cell")) | (F.col("own_tile") <= F.col("tile"))).select("own", "own_tile", "cell", "tile")
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, packed.count() // 16))
+    pairs = pairs.repartition(tasks, "own", "own_tile", "cell", "tile")
+    pairs = pairs.join(packed.selectExpr("cell as own", "tile as own_tile", "fps as left"), ["own", "own_tile"])
+    pairs = pairs.join(packed.selectExpr("cell", "tile", "fps as right"), ["cell", "tile"])
     return pairs.select("left", "right").mapInArrow(compare(radius), T.StructType.fromDDL("a long, b long"))
 
 
@@ -155,17 +161,7 @@ def classes(docs: DataFrame, *, doc_id: str, text: str, words: int, radius: int,
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, keep: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """docs' columns `keep` (default: the id) with fingerprint (16 hex digits) and component_id (the smallest id that
     links within `radius` bits reach)."""
-    keep = [c for c in ([doc_id] if keep is None else keep) if c not in ("fingerprint", "component_id")]
+    keep = others([doc_id] if keep is None else keep, ["fingerprint", "component_id"])
     named = docs.select(*[col(c).alias(f"k_{i}") for i, c in enumerate(keep)], col(doc_id).alias("id"), col(text).alias("t"))
     out = classes(named, doc_id="id", text="t", words=words, radius=radius, keep=[*[f"k_{i}" for i in range(len(keep))], "id"], tile=tile)
     return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """One row of each class: that of the smallest id, or one of those that share it."""
-    names = docs.columns
-    named = docs.select(*[col(c).alias(f"k_{i}") for i, c in enumerate(names)])
-    own = f"k_{names.index(doc_id)}"
-    out = classes(named, doc_id=own, text=f"k_{names.index(text)}", words=words, radius=radius, keep=named.columns, tile=tile)
-    kept = out.where(F.col(own).eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
-    return kept.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(names)])
