@@ -2,10 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written to the shared
 folder before the next one reads it. All but the last return the columns of documents; extra columns stay, whatever
-their names. An empty table passes through as empty.
+their names. An empty table passes through as empty. Repeated rows are judged alike in every stage, and one of them stays
+in the second; null ids, null texts and texts of any length are rows like any other.
 
 1. toxicity: documents with a score of 0.5 or more go.
-2. near_duplicates: of texts that links of similarity 0.8 or more (five-word shingles) connect, the smallest id stays.
+2. near_duplicates: of texts that links of similarity 0.8 or more (five-word shingles) connect, the smallest id stays
+   (null last; of equal ids, the row of the least hash of all columns; of rows equal in all columns, one).
 3. decontamination: documents of which benchmark passages cover 5 % or more go.
 4. pii: entities give way to surrogates; n_chars follows where it is there. Null texts stay null.
 5. mixing: how many words the mix takes of each document; documents of which it takes none stay, with 0.
@@ -18,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, nearcopies, pii, simhash, toxicity
+from plumbline.llm import decontaminate, mixing, nearcopies, pii, toxicity
 from plumbline.llm.common import read, stored
 
 
@@ -38,12 +40,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return apart(docs, work)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """By op7's classes, which few edited copies share; the stage is near_copies."""
-    return simhash.deduplicate(docs)
-
-
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By op7's tiled comparison of simhash fingerprints, at five words, with an exact check."""
     return nearcopies.deduplicate(docs)
 
 
