@@ -56,10 +56,83 @@ def rule_label(text: Column, rules: list[tuple[str, list[str]]], default: str) -
 
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """usage with the cost of its tokens by the price of the longest model suffix that matches (prices: a small list)."""
+    """usage with the cost of its tokens by the price of the longest suffix of its model (ties: first in order); cost null
+    where none matches. Distinct models meet the prices, and usage meets its model's price by an equal key."""
+    models = usage.select("model").distinct()
+    hit = models.join(prices, F.endswith(F.lower("model"), F.lower("suffix")))
+    best = hit.groupBy("model").agg(F.max_by(F.struct("suffix", "input_rate", "output_rate"), F.struct(F.length("suffix"), -F.xxhash64("suffix"))).alias("__p"))
+    out = usage.join(best.select("model", "__p.*"), "model", "left")
+    return out.withColumn("cost", (F.col("input_tokens") * F.col("input_rate") + F.col("output_tokens") * F.col("output_rate")) / 1e6)
+
+
+def kappa_report(df: DataFrame, a: str, b: str, item: str, floor: float = 0.6) -> DataFrame:
+    """kappa()'s row with noise (the share of disagreement) and whether kappa reaches the floor."""
+    out = kappa(df, a, b)
+    return out.withColumns({"noise": 1 - F.col("po"), "passes": F.col("kappa") >= floor})
+
+
+def disagreements(df: DataFrame, a: str, b: str, item: str) -> DataFrame:
+    """(item, a, b) of rows that differ, or where one label is missing, in order of items."""
+    return df.where(~F.col(a).eqNullSafe(F.col(b))).select(item, a, b).orderBy(item)
+
+
+def noise_rate(entropy: Column, ceiling: float) -> Column:
+    """Label noise implied by the entropy of votes: half its share of the ceiling."""
+    return entropy / (2 * ceiling)
+
+
+def primitive_disagreement(df: DataFrame, yes: Column, choice: Column, threshold: float = 0.5) -> DataFrame:
+    """Share of rows where the yes-probability and the choice's are on different sides."""
+    return df.agg(F.count("*").alias("n"), F.avg(((yes >= threshold) != (choice >= 0.5)).cast("int")).alias("rate"))
+
+
+def negation_sums(df: DataFrame, p: str, negated: str, eps: float = 0.05) -> DataFrame:
+    """Of p and its negation's: n, mean, population deviation and exact median of their sum, its mean and median distance from 1, and the share off by over eps."""
+    from plumbline.operators.rank import quantiles
+
+    s = df.select((F.col(p) + F.col(negated)).alias("__s")).withColumn("__d", F.abs(F.col("__s") - 1))
+    out = s.agg(F.avg("__s").alias("mean"), F.stddev_pop("__s").alias("sd"), F.avg("__d").alias("mean_distance"), F.avg((F.col("__d") > eps).cast("int")).alias("share_off"))
+    medians = quantiles(s, [], "__s", {"median": 0.5}).crossJoin(F.broadcast(quantiles(s, [], "__d", {"mad": 0.5}).select("mad")))
+    return medians.crossJoin(F.broadcast(out))
+
+
+def blocks(df: DataFrame, client: str, source: str, labels: list, *, pred: str = "pred", truth: str = "label", conf: str = "conf") -> DataFrame:
+    """Per client, and per client and source: n, accuracy, mean confidence, and how often each label is predicted (0 if never)."""
+    freq = [F.count_if(F.col(pred) == x).alias(f"n_{x}") for x in labels]
+    sets = [[F.col(client)], [F.col(client), F.col(source)]]
+    return df.groupingSets(sets, client, source).agg(F.count("*").alias("n"), F.avg((F.col(pred) == F.col(truth)).cast("int")).alias("accuracy"), F.avg(conf).alias("mean_conf"), *freq)
+
+
+def ledger(calls: DataFrame, order: list[str], cap: float, run_caps: dict[str, float], default_cap: float) -> DataFrame:
+    """Spending by day and run kind (columns day, kind, cost) with running totals, over all and per kind, and whether either
+    is beyond its cap. Totals are windows over one row a day and kind."""
     from pyspark.sql import Window
 
-    u = usage.withColumn("__row", F.monotonically_increasing_id())
-    hit = u.join(F.broadcast(prices), F.lower(u["model"]).endswith(F.lower(prices["suffix"])))
-    best = hit.withColumn("__rank", F.row_number().over(Window.partitionBy("__row").orderBy(F.desc(F.length("suffix")), "suffix"))).where("__rank = 1")
-    return best.withColumn("cost", (F.col("input_tokens") * F.col("input_rate") + F.col("output_tokens") * F.col("output_rate")) / 1e6).drop("__row", "__rank")
+    days = calls.groupBy("day", "kind").agg(F.sum("cost").alias("spent"))
+    whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("kind").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    limit = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in run_caps.items() for x in (F.lit(k), F.lit(v))]), F.col("kind")), F.lit(default_cap))
+    out = days.withColumns({"total": F.sum("spent").over(whole), "kind_total": F.sum("spent").over(own), "kind_cap": limit})
+    return out.withColumns({"left": F.lit(cap) - F.col("total"), "over": (F.col("total") > cap) | (F.col("kind_total") > F.col("kind_cap"))})
+
+
+def run_stats(calls: DataFrame, client: str, ok: Column, tokens: str, ts: str) -> DataFrame:
+    """Per client: calls, errors, tokens, and calls a second between its first and last."""
+    seconds = F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))
+    return calls.groupBy(client).agg(F.count("*").alias("calls"), F.count_if(~ok).alias("errors"), F.sum(tokens).alias("tokens"), F.when(seconds > 0, F.count("*") / F.when(seconds > 0, seconds)).alias("per_second"))
+
+
+def cost_per_thousand(df: DataFrame, by: list[str], cost: str, correct: str) -> DataFrame:
+    """Cost of a thousand correct answers; null without a correct one."""
+    right = F.sum(F.col(correct).cast("double"))
+    return df.groupBy(*by).agg(F.sum(cost).alias("cost"), right.alias("correct"), F.when(right > 0, 1000 * F.sum(cost) / F.when(right > 0, right)).alias("per_thousand"))
+
+
+def work_plan(clients: DataFrame, items: DataFrame) -> DataFrame:
+    """(client, pass, item) of all work: clients (client, repeats; a small table) times items (item)."""
+    return items.crossJoin(F.broadcast(clients)).select("client", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)).alias("pass"), "item")
+
+
+def strata_sizes(df: DataFrame, stratum: str, item: str, primary: Column) -> DataFrame:
+    """Distinct items of each stratum, and whether all its rows are primary."""
+    return df.groupBy(stratum).agg(F.count_distinct(item).alias("items"), F.bool_and(primary).alias("all_primary"))

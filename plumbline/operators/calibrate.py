@@ -36,9 +36,11 @@ def uniform_ece(df: DataFrame, by: list[str], bins: int = 10, **columns) -> Data
 
 def quantile_ece(df: DataFrame, by: list[str], bins: int = 10, conf: str = "conf", correct: str = "correct") -> DataFrame:
     """ECE over bins of equal shares: linear quantiles, repeated edges moved up by 1e-12, ends 0 and 1."""
-    inner = F.percentile(F.col(conf), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
+    from plumbline.operators.rank import quantiles
+
     step = lambda s, q: F.concat(s, F.array(F.when(q <= F.element_at(s, -1), F.least(F.lit(1.0), F.element_at(s, -1) + 1e-12)).otherwise(q)))
-    edges = df.groupBy(*by).agg(inner.alias("q")).select(*by, F.aggregate(F.slice("q", 2, bins), F.slice("q", 1, 1), step).alias("edges"))
+    at = quantiles(df, by, conf, {f"q{i}": i / bins for i in range(bins + 1)}).withColumn("q", F.array(*[F.col(f"q{i}") for i in range(bins + 1)]))
+    edges = at.select(*by, F.aggregate(F.slice("q", 2, bins), F.slice("q", 1, 1), step).alias("edges"))
     placed = df.join(F.broadcast(edges) if not by else edges, by) if by else df.crossJoin(edges)
     bin_of = F.size(F.filter(F.slice("edges", 2, bins - 1), lambda e: e <= F.col(conf)))
     return ece(reliability(placed, by, bin_of, conf=conf, correct=correct), by)
@@ -50,10 +52,30 @@ def brier(df: DataFrame, by: list[str], p: str, label: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(sq).alias("brier"))
 
 
-def by_tier(df: DataFrame, tier: str, bins: int = 10) -> DataFrame:
-    """Per tier n, accuracy, ece; and in every row the least-squares slope of ece on accuracy (null where undefined)."""
-    acc = df.groupBy(tier).agg(F.avg("correct").alias("accuracy"))
-    tiers = uniform_ece(df, [tier], bins).select(tier, "n", "ece").join(acc, tier)
+def brier_binary(df: DataFrame, by: list[str], p: str, label: str) -> DataFrame:
+    """Mean squared distance of the probability of 1 from the label."""
+    return df.groupBy(*by).agg(F.avg(F.pow(F.col(p) - F.col(label), 2)).alias("brier"))
+
+
+def both_strategies(df: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """ece and mce by uniform and by quantile bins, one row a strategy."""
+    one = uniform_ece(df, by, bins).withColumn("strategy", F.lit("uniform"))
+    return one.unionByName(quantile_ece(df, by, bins).withColumn("strategy", F.lit("quantile")))
+
+
+def matched(made: DataFrame, stamped: DataFrame, by: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """ece made anew beside the stamped one, their distance, and whether it is within the tolerance (a missing side is not)."""
+    out = made.select(*by, F.col("ece").alias("ece")).join(stamped.select(*by, F.col("ece").alias("stamped")), by, "full_outer")
+    out = out.withColumn("distance", F.abs(F.col("ece") - F.col("stamped")))
+    return out.withColumn("match", F.coalesce(F.col("distance") <= tolerance, F.lit(False)))
+
+
+def by_tier(df: DataFrame, tier: str, bins: int = 10, *, p: str | None = None, label: str | None = None) -> DataFrame:
+    """Per tier n, accuracy, ece by uniform and by quantile bins, and Brier score (of p and label, where given); and in every
+    row the least-squares slope of ece on accuracy (null where undefined)."""
+    aggs = [F.avg("correct").alias("accuracy")] + ([F.avg(F.pow(F.col(p) - F.col(label), 2)).alias("brier")] if p and label else [])
+    acc = df.groupBy(tier).agg(*aggs)
+    tiers = uniform_ece(df, [tier], bins).select(tier, "n", "ece").join(acc, tier).join(quantile_ece(df, [tier], bins).select(tier, F.col("ece").alias("ece_quantile")), tier)
     slope = tiers.agg(F.when(F.max("accuracy") - F.min("accuracy") > 1e-9, F.regr_slope("ece", "accuracy")).alias("slope"))
     return tiers.crossJoin(F.broadcast(slope))  # one row
 
@@ -61,3 +83,13 @@ def by_tier(df: DataFrame, tier: str, bins: int = 10) -> DataFrame:
 def direction(df: DataFrame, by: list[str]) -> DataFrame:
     """Mean confidence, mean correctness, and their difference, over- or underconfidence."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg("conf").alias("mean_conf"), F.avg("correct").alias("mean_correct"), (F.avg("conf") - F.avg("correct")).alias("overconfidence"))
+
+
+def direction_block(df: DataFrame, stratum: str, scorings: dict[str, str], bins: int = 10) -> DataFrame:
+    """direction() of each scoring (a name and its column), stratum and bin, of strata over all bins (bin null), and of all rows
+    (stratum null too): one aggregate for the whole block."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("scoring"), F.col(c).cast("double").alias("correct")) for k, c in scorings.items()]))
+    rows = df.select(stratum, "conf", each.alias("s")).select(stratum, "conf", "s.scoring", "s.correct", bin_digitize(F.col("conf"), bins).alias("bin"))
+    sets = [[F.col("scoring"), F.col(stratum), F.col("bin")], [F.col("scoring"), F.col(stratum)], [F.col("scoring")]]
+    out = rows.groupingSets(sets, "scoring", stratum, "bin").agg(F.count("*").alias("n"), F.avg("conf").alias("mean_conf"), F.avg("correct").alias("mean_correct"))
+    return out.withColumn("overconfidence", F.col("mean_conf") - F.col("mean_correct"))

@@ -1,7 +1,8 @@
 """Operators on order: running sums, average ranks, AUROC, average precision, risk and coverage, Spearman.
 
-Running sums over a whole group would be one task's work; `cumulate` adds up equal values first, then cuts the range
-into CELLS: sums of whole cells are a small window, and only a cell's own values are ordered in one task.
+Running sums over a whole group would be one task's work; `cumulate` adds up equal values first, then cuts them at
+approximate quantiles into CELLS of about as many distinct values, however they lie: sums of whole cells are a small
+window, and only a cell's own values are ordered in one task. Exact quantiles are read off these sums.
 """
 
 from __future__ import annotations
@@ -11,17 +12,15 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.tables import stored
 
-CELLS = 4096
+CELLS = 200
 
 
 def cumulate(df: DataFrame, by: list[str], x: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
     """Per group and distinct x: each sum, and cum_<name>, the sum over all values up to x (from x where descending)."""
     values = df.groupBy(*by, x).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    ends = df.groupBy(*by).agg(F.min(x).alias("__least"), F.max(x).alias("__most"))
-    placed = values.join(ends, by) if by else values.crossJoin(F.broadcast(ends))
-    width = F.col("__most") - F.col("__least")
-    cell = F.when(width > 0, F.floor((F.col(x) - F.col("__least")) / F.when(width > 0, width) * (CELLS - 1))).otherwise(F.lit(0)).cast("int")
-    placed = placed.withColumn("__cell", cell)
+    borders = values.groupBy(*by).agg(F.percentile_approx(x, [i / CELLS for i in range(1, CELLS)], 1000).alias("__borders"))
+    placed = values.join(borders, by) if by else values.crossJoin(F.broadcast(borders))
+    placed = placed.withColumn("__cell", F.size(F.filter("__borders", lambda b: b < F.col(x)))).drop("__borders")
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     before = Window.partitionBy(*by).orderBy(order("__cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy(*by, "__cell").agg(*[F.sum(n).alias(n) for n in sums])
@@ -53,12 +52,63 @@ def risk_coverage(df: DataFrame, by: list[str], x: str, correct: str) -> DataFra
     return c.select(*by, F.col(x).alias("threshold"), "cum_n", (F.col("cum_n") / F.col("size")).alias("coverage"), (1 - F.col("cum_hits") / F.col("cum_n")).alias("risk"))
 
 
-def aurc(curve: DataFrame, by: list[str]) -> DataFrame:
-    """Area under risk over coverage by trapezoids, from coverage 0 at the first risk."""
-    w = Window.partitionBy(*by).orderBy("coverage")
-    last_c, last_r = F.coalesce(F.lag("coverage").over(w), F.lit(0.0)), F.coalesce(F.lag("risk").over(w), F.col("risk"))
-    parts = curve.withColumn("part", (F.col("coverage") - last_c) * (F.col("risk") + last_r) / 2)
-    return parts.groupBy(*by).agg(F.sum("part").alias("aurc"))
+def aurc(df: DataFrame, by: list[str], x: str, correct: str) -> DataFrame:
+    """Area under risk over coverage by trapezoids, from coverage 0 at the first risk. Between neighbouring thresholds the last
+    coverage and risk are the running sums less the threshold's own rows, so no order of the whole curve is needed."""
+    c = cumulate(df, by, x, {"hits": F.col(correct).cast("long"), "n": F.lit(1).cast("long")}, descending=True)
+    size = df.groupBy(*by).agg(F.count("*").alias("size"))
+    c = c.join(size, by) if by else c.crossJoin(F.broadcast(size))
+    before = F.col("cum_n") - F.col("n")
+    risk = 1 - F.col("cum_hits") / F.col("cum_n")
+    last = F.when(before > 0, 1 - (F.col("cum_hits") - F.col("hits")) / F.when(before > 0, before)).otherwise(risk)
+    return c.groupBy(*by).agg(F.sum(F.col("n") / F.col("size") * (risk + last) / 2).alias("aurc"))
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, linear: dict[str, float] | None = None, nearest: dict[str, float] | None = None) -> DataFrame:
+    """Per group n and exact quantiles by name: linear between neighbours, or the nearest rank (the ceil(q * n)-th)."""
+    c = cumulate(df.where(F.col(x).isNotNull()), by, x, {"__n": F.lit(1).cast("long")})
+    size = c.groupBy(*by).agg(F.sum("__n").alias("n"))
+    c = c.join(size, by) if by else c.crossJoin(F.broadcast(size))
+    at = lambda place: F.min(F.when(F.col("cum___n") > place, F.col(x)))  # noqa: E731  the value at a place from 0
+    parts, out = [], []
+    for name, q in (linear or {}).items():
+        h = (F.col("n") - 1) * q
+        parts += [at(F.floor(h)).alias(f"__{name}_a"), at(F.ceil(h)).alias(f"__{name}_b")]
+        out.append((F.col(f"__{name}_a") + ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)) * (F.col(f"__{name}_b") - F.col(f"__{name}_a"))).alias(name))
+    for name, q in (nearest or {}).items():
+        parts.append(at(F.greatest(F.lit(0), F.ceil(F.col("n") * q) - 1)).alias(f"__{name}"))
+        out.append(F.col(f"__{name}").alias(name))
+    return c.groupBy(*by, "n").agg(*parts).select(*by, "n", *out)
+
+
+def gate_sweep(df: DataFrame, x: str, correct: str, least: float = 0.5, most: float = 0.99, step: float = 0.01) -> DataFrame:
+    """Per threshold: rows at or above it, their share, and their mean correctness. Rows are counted by the last threshold they
+    pass, and added up from the highest."""
+    n = int(round((most - least) / step)) + 1
+    gates = [round(least + i * step, 10) for i in range(n)]
+    passed = F.size(F.filter(F.array(*[F.lit(g) for g in gates]), lambda g: g <= F.col(x)))
+    counts = df.groupBy(passed.alias("passed")).agg(F.count("*").alias("n"), F.sum(correct).alias("hits"))
+    size = counts.agg(F.sum("n").alias("size"))
+    table = df.sparkSession.createDataFrame([(i + 1, g) for i, g in enumerate(gates)], "gate int, threshold double")
+    held = table.join(F.broadcast(counts), F.col("passed") >= F.col("gate"), "left").groupBy("gate", "threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("hits").alias("hits"))
+    return held.crossJoin(F.broadcast(size)).select("threshold", "n", (F.col("n") / F.col("size")).alias("share"), (F.col("hits") / F.nullif(F.col("n"), F.lit(0))).alias("mean_correct"))
+
+
+def widest_gate(gates: DataFrame, required: float) -> DataFrame:
+    """The gate of the largest share whose mean correctness is as required (ties: the lowest); nulls where none is."""
+    return gates.agg(F.max_by(F.struct("threshold", "share", "mean_correct"), F.when(F.col("mean_correct") >= required, F.struct("share", -F.col("threshold")))).alias("g")).select("g.*")
+
+
+def farthest(df: DataFrame, x: str, y: str, item: str) -> DataFrame:
+    """The row where |x - y| is largest (ties: the smallest item)."""
+    return df.agg(F.min_by(F.struct(item, x, y), F.struct(-F.abs(F.col(x) - F.col(y)), F.col(item))).alias("r")).select("r.*")
+
+
+def macro_auroc(df: DataFrame, p: str, label: str) -> DataFrame:
+    """Mean of the one-vs-rest areas of all classes; null where one has no row, or all."""
+    rows = df.select(F.posexplode(p).alias("k", "x"), label).withColumn("y", (F.col("k") == F.col(label)).cast("int"))
+    each = auroc(rows, ["k"], "x", "y")
+    return each.agg(F.when(F.bool_and(F.col("auroc").isNotNull()), F.avg("auroc")).alias("auroc"))
 
 
 def automation(curve: DataFrame, by: list[str], target: float) -> DataFrame:
@@ -83,6 +133,17 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(spread, top / F.when(spread, F.stddev_pop("__ra") * F.stddev_pop("__rb"))).alias("rho"))
 
 
+def partial_spearman(df: DataFrame, a: str, b: str, z: str, places: int = 6) -> DataFrame:
+    """n and Spearman's correlation of the residuals of a's and b's ranks on z's (rounded to `places`); null for fewer than five rows."""
+    r = stored(df.select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col(z).alias("__z")))
+    for x in "abz":
+        r = average_ranks(r, [], f"__{x}", x)
+    r = stored(r.select("a", "b", "z"))
+    fit = r.agg(*[f(x, "z").alias(f"{k}{x}") for x in "ab" for k, f in (("s", F.regr_slope), ("i", F.regr_intercept))])
+    e = r.crossJoin(F.broadcast(fit)).select(*[(F.round(F.col(x) - F.col(f"i{x}") - F.col(f"s{x}") * F.col("z"), places) + 0.0).alias(x) for x in "ab"])
+    return spearman(e, [], "a", "b").withColumn("rho", F.when(F.col("n") >= 5, F.col("rho")))
+
+
 def ecdf(df: DataFrame, by: list[str], x: str) -> DataFrame:
     size = df.groupBy(*by).agg(F.count("*").alias("size"))
     c = cumulate(df, by, x, {"n": F.lit(1).cast("long")})

@@ -1,23 +1,26 @@
-"""Resampling with keyed draws: equal-size subsamples, bootstrap intervals, McNemar, bias-corrected differences.
+"""Resampling with keyed draws: equal-size subsamples, samples, bootstrap and jackknife intervals, McNemar, expected ECE.
 
 Draws are MD5 numbers of seed, replicate and item, so results don't depend on partitions or retries. A bootstrap
 gives each row a Poisson(1) weight per replicate and aggregates at once: the exploded rows are added up in the map
-stage, and only replicates x groups x bins rows are shuffled.
+stage, and only replicates x groups x bins rows are shuffled. One MD5 serves four replicates. Jackknife values come in
+closed form from bin sums, one per row, so nothing is computed anew for each item left out.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline.functions import expr as X
 from plumbline.functions.expr import keyed, poisson
 from plumbline.operators.calibrate import ece, reliability
+from plumbline.sources.tables import stored
 
 
 def first_n(df: DataFrame, by: list[str], key: Column, n: Column | int, tie: str) -> DataFrame:
@@ -38,75 +41,252 @@ def equal_n(df: DataFrame, stratum: str, item: str, seed: int) -> DataFrame:
 
 
 def weighted(df: DataFrame, item: str, replicates: int, seed: int) -> DataFrame:
-    """df by replicate (rep) with its weight there; rows of weight 0 are left out."""
-    out = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return out.withColumn("weight", poisson(keyed(F.lit(seed), F.col("rep"), F.col(item)))).where("weight > 0")
+    """df by replicate (rep) with its weight there; rows of weight 0 are left out. Rows are spread by item first, as each
+    becomes many."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartition(tasks, item).withColumn("__four", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
+    out = out.withColumn("__md5", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__four").cast("string"), F.col(item).cast("string"))))
+    out = out.withColumn("__k", F.explode(F.array(*[F.lit(k) for k in range(4)]))).withColumn("rep", F.col("__four") * 4 + F.col("__k"))
+    out = out.withColumn("weight", poisson(F.substring("__md5", F.col("__k") * 8 + 1, F.lit(8))))
+    return out.where((F.col("weight") > 0) & (F.col("rep") < replicates)).drop("__four", "__md5", "__k")
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], value: str, item: str, *, replicates: int = 100, seed: int = 1) -> DataFrame:
-    """Mean per group with a 95 % percentile interval over replicates."""
-    reps = weighted(df, item, replicates, seed).groupBy(*by, "rep").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("m"))
-    ci = reps.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    point = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("point"))
+def percentiles(reps: DataFrame, by: list[str], value: str, **ends: float) -> DataFrame:
+    """Percentiles over replicates, of which a group has a bounded number; null values are left out."""
+    return reps.groupBy(*by).agg(*[F.percentile(value, p).alias(n) for n, p in ends.items()])
+
+
+def bootstrap(df: DataFrame, by: list[str], statistic: Callable[[Column], Column], item: str, *, replicates: int = 100, seed: int = 1) -> DataFrame:
+    """Any statistic that is an aggregate of weights, given as a function from the weight column: its point, and its 95 %
+    percentile interval with items drawn anew. Paired comparisons are rows that hold both sides of an item."""
+    reps = weighted(df, item, replicates, seed).groupBy(*by, "rep").agg(statistic(F.col("weight")).alias("__s"))
+    ci = percentiles(reps, by, "__s", low=0.025, high=0.975)
+    point = df.groupBy(*by).agg(F.count("*").alias("n"), statistic(F.lit(1)).alias("point"))
     return point.join(ci, by) if by else point.crossJoin(F.broadcast(ci))
 
 
-def delta_ece(df: DataFrame, stratum: str, hard: str, easy: str, bin_of: Column, item: str, *, replicates: int = 100, seed: int = 1) -> DataFrame:
-    """ECE of both strata, their difference, and its 95 % percentile interval; replicates weigh items independently."""
-    rows = df.where(F.col(stratum).isin(hard, easy)).withColumn("__bin", bin_of)
+def mean_of(value: str) -> Callable[[Column], Column]:
+    return lambda w: F.sum(w * F.col(value)) / F.sum(w)
+
+
+def paired(df: DataFrame, item: str, model: str, a, b, values: list[str]) -> DataFrame:
+    """Items that both models have, with <value>_a and <value>_b."""
+    side = lambda which, end: df.where(F.col(model) == which).select(item, *[F.col(v).alias(f"{v}_{end}") for v in values])
+    return side(a, "a").join(side(b, "b"), item)
+
+
+def paired_difference(df: DataFrame, item: str, model: str, a, b, value: str, by: list[str] | None = None, **how) -> DataFrame:
+    """Mean of value of a less that of b over the items of both, with interval; crosses_zero is strict on both sides."""
+    by = by or []
+    rows = paired(df, item, model, a, b, [value, *by]).withColumn("__d", F.col(f"{value}_a") - F.col(f"{value}_b")).withColumns({c: F.col(f"{c}_a") for c in by})
+    out = bootstrap(rows, by, mean_of("__d"), item, **how)
+    return out.withColumn("crosses_zero", (F.col("low") < 0) & (F.col("high") > 0))
+
+
+def bootstrap_mean(df: DataFrame, by: list[str], value: str, item: str, **how) -> DataFrame:
+    """Mean per group with a 95 % percentile interval over replicates."""
+    return bootstrap(df, by, mean_of(value), item, **how)
+
+
+def delta_replicates(rows: DataFrame, stratum: str, hard: str, easy: str, item: str, replicates: int, seed: int) -> DataFrame:
+    """(rep, d): the difference of ECE of each replicate of rows with a __bin."""
     pick = lambda s: F.max(F.when(F.col(stratum) == s, F.col("ece")))
-    point = ece(reliability(rows, [stratum], F.col("__bin")), [stratum]).agg(pick(hard).alias("ece_hard"), pick(easy).alias("ece_easy"))
     reps = ece(reliability(weighted(rows, item, replicates, seed), [stratum, "rep"], F.col("__bin"), weight=F.col("weight")), [stratum, "rep"])
-    reps = reps.groupBy("rep").agg((pick(hard) - pick(easy)).alias("d"))
-    ci = reps.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
-    return point.withColumn("delta", F.col("ece_hard") - F.col("ece_easy")).crossJoin(F.broadcast(ci))
+    return reps.groupBy("rep").agg((pick(hard) - pick(easy)).alias("d"))
+
+
+def delta_point(rows: DataFrame, stratum: str, hard: str, easy: str) -> DataFrame:
+    pick = lambda s: F.max(F.when(F.col(stratum) == s, F.col("ece")))
+    point = ece(reliability(rows, [stratum], F.col("__bin")), [stratum]).agg(pick(hard).alias("ece_hard"), pick(easy).alias("ece_easy"))
+    return point.withColumn("delta", F.col("ece_hard") - F.col("ece_easy"))
+
+
+def binned(df: DataFrame, stratum: str, hard: str, easy: str, bin_of: Column, item: str) -> DataFrame:
+    """The rows of both strata with their bins, stored, as point and replicates both read them."""
+    return stored(df.where(F.col(stratum).isin(hard, easy)).select(item, stratum, F.col("conf").cast("double").alias("conf"), F.col("correct").cast("double").alias("correct"), bin_of.alias("__bin")))
+
+
+def delta_ece(df: DataFrame, stratum: str, hard: str, easy: str, bin_of: Column, item: str, *, replicates: int = 100, seed: int = 1) -> DataFrame:
+    """ECE of both strata, their difference, its 95 % percentile interval, and the shares of replicates at or below and
+    at or above 0; replicates weigh items independently."""
+    rows = binned(df, stratum, hard, easy, bin_of, item)
+    ci = delta_replicates(rows, stratum, hard, easy, item, replicates, seed).agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") <= 0).cast("int")).alias("share_low"), F.avg((F.col("d") >= 0).cast("int")).alias("share_high"))
+    return delta_point(rows, stratum, hard, easy).crossJoin(F.broadcast(ci))  # one row each
+
+
+def jackknife(rows: DataFrame, stratum: str, hard: str, easy: str) -> DataFrame:
+    """Rows with a __bin, with `left_out`: the difference of ECE without the row. A row changes its own bin's gap only."""
+    gaps = rows.groupBy(stratum, "__bin").agg((F.sum("conf") - F.sum("correct")).alias("__gap"), F.count("*").alias("__in"))  # two strata of some bins
+    sums = gaps.groupBy(stratum).agg(F.sum(F.abs("__gap")).alias("__sum"), F.sum("__in").alias("__n"))
+    out = rows.join(F.broadcast(gaps), [stratum, "__bin"]).join(F.broadcast(sums), stratum)
+    other = sums.agg(*[F.max(F.when(F.col(stratum) == s, F.col("__sum") / F.col("__n"))).alias(n) for s, n in ((hard, "__h"), (easy, "__e"))])
+    less = (F.col("__sum") - F.abs("__gap") + F.abs(F.col("__gap") - F.col("conf") + F.col("correct"))) / F.nullif(F.col("__n") - 1, F.lit(0))
+    out = out.crossJoin(F.broadcast(other)).withColumn("left_out", F.when(F.col(stratum) == hard, less - F.col("__e")).otherwise(F.col("__h") - less))
+    return out.drop("__gap", "__in", "__sum", "__n", "__h", "__e")
+
 
+def acceleration(values: DataFrame, value: str) -> DataFrame:
+    """(mean, a) of jackknife values: a of BCa, 0 without spread. Central moments in a second pass."""
+    mean = values.agg(F.avg(value).alias("mean"))
+    d = values.crossJoin(F.broadcast(mean)).withColumn("__d", F.col("mean") - F.col(value))
+    sums = d.agg(F.max("mean").alias("mean"), F.sum(F.pow("__d", 2)).alias("two"), F.sum(F.pow("__d", 3)).alias("three"))
+    return sums.select("mean", F.when(F.col("two") > 1e-18, F.col("three") / (6 * F.pow("two", 1.5))).otherwise(0.0).alias("a"))
 
-def bca(point: float, sample: list[float], jackknife: list[float], level: float = 0.95) -> tuple[float, float]:
-    """Bias-corrected and accelerated interval of a bootstrap sample; without spread in `jackknife` no acceleration."""
-    s, phi = np.sort(np.asarray(sample, float)), NormalDist()
-    share = float(np.clip((s < point).mean(), 1 / (len(s) + 1), len(s) / (len(s) + 1)))
-    z0, away = phi.inv_cdf(share), np.mean(jackknife) - np.asarray(jackknife, float)
-    spread = float((away**2).sum())
-    a = float((away**3).sum()) / (6 * spread**1.5) if spread > 1e-18 else 0.0
-    at = [phi.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (phi.inv_cdf((1 - level) / 2), phi.inv_cdf((1 + level) / 2))]
-    return float(np.quantile(s, at[0])), float(np.quantile(s, at[1]))
+
+def bca_ends(reps: DataFrame, value: str, point: DataFrame, accelerated: DataFrame, level: float = 0.95) -> DataFrame:
+    """(z0, low, high): the bias-corrected and accelerated interval of the replicates, bounded in number. point, accelerated: one
+    row with columns point and a."""
+    s = reps.agg(F.sort_array(F.collect_list(value)).alias("s")).crossJoin(F.broadcast(point)).crossJoin(F.broadcast(accelerated))
+    r = F.size("s")
+    share = F.size(F.filter("s", lambda x: x < F.col("point"))) / r
+    s = s.withColumn("z0", X.normal_quantile(F.greatest(1 / (r + 1), F.least(r / (r + 1), share))))
+    z = NormalDist().inv_cdf((1 + level) / 2)
+
+    def end(z: float) -> Column:
+        moved = F.col("z0") + z
+        h = (r - 1) * X.normal_cdf(F.col("z0") + moved / (1 - F.col("a") * moved))
+        at = F.floor(h).cast("int")
+        x, y = F.element_at("s", at + 1), F.element_at("s", F.least(at + 2, r))
+        return x + (h - at) * (y - x)
+
+    return s.select("z0", end(-z).alias("low"), end(z).alias("high"))
+
+
+def delta_ece_bca(df: DataFrame, stratum: str, hard: str, easy: str, bin_of: Column, item: str, *, replicates: int = 100, seed: int = 1) -> DataFrame:
+    """delta with its BCa interval: point, bias z0, acceleration a, low and high."""
+    rows = binned(df, stratum, hard, easy, bin_of, item)
+    point = delta_point(rows, stratum, hard, easy).select(F.col("delta").alias("point"))
+    a = acceleration(jackknife(rows, stratum, hard, easy), "left_out")
+    ends = bca_ends(delta_replicates(rows, stratum, hard, easy, item, replicates, seed), "d", point, a)
+    return point.crossJoin(F.broadcast(a.select("a"))).crossJoin(F.broadcast(ends))
+
+
+def paired_delta_ece(df: DataFrame, item: str, model: str, a, b, bins: int = 10, *, replicates: int = 100, seed: int = 1) -> DataFrame:
+    """ECE of model a less that of b over the items of both, each replicate weighing both sides of an item alike."""
+    both = df.where(F.col(model).isin(a, b)).groupBy(item).agg(F.count_distinct(model).alias("__n")).where("__n = 2").select(item)
+    rows = binned(df.join(both, item, "left_semi"), model, a, b, X.bin_digitize(F.col("conf"), bins), item)
+    ci = percentiles(delta_replicates(rows, model, a, b, item, replicates, seed), [], "d", low=0.025, high=0.975)
+    names = {"ece_hard": "ece_a", "ece_easy": "ece_b"}
+    return delta_point(rows, model, a, b).withColumnsRenamed(names).crossJoin(F.broadcast(ci))
+
+
+def auroc_bootstrap(df: DataFrame, x: str, y: str, item: str, *, replicates: int = 100, seed: int = 1) -> DataFrame:
+    """AUROC with its 95 % percentile interval: every replicate's weighted area, ties by half; one without a class is left out."""
+    from plumbline.operators.rank import auroc, cumulate
+
+    rows = stored(df.select(x, y, item))
+    w = F.col("weight").cast("long")
+    c = cumulate(weighted(rows, item, replicates, seed), ["rep"], x, {"pos": w * F.col(y).cast("long"), "neg": w * (1 - F.col(y).cast("long"))})
+    pairs = F.sum("pos") * F.sum("neg")
+    reps = c.groupBy("rep").agg(F.when(pairs > 0, F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)) / F.when(pairs > 0, pairs)).alias("area"))
+    return auroc(rows, [], x, y).crossJoin(F.broadcast(percentiles(reps, [], "area", low=0.025, high=0.975)))
+
+
+def slope_interval(df: DataFrame, tier: str, item: str, bins: int = 10, *, replicates: int = 100, seed: int = 1) -> DataFrame:
+    """Slope of ECE on accuracy over tiers with its 95 % interval; replicates with a tier of fewer than two rows, or
+    with equal accuracies, are left out and counted."""
+    rows = stored(df.select(tier, item, F.col("conf").cast("double").alias("conf"), F.col("correct").cast("double").alias("correct"), X.bin_digitize(F.col("conf"), bins).alias("__bin")))
+
+    def slopes(source: DataFrame, by: list[str], weight: Column) -> DataFrame:
+        b = reliability(source, [*by, tier], F.col("__bin"), weight=weight)
+        t = b.groupBy(*by, tier).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("mean_correct") - F.col("mean_conf"))) / F.sum("n")).alias("ece"), (F.sum(F.col("n") * F.col("mean_correct")) / F.sum("n")).alias("accuracy"))
+        fit = (F.min("n") >= 2) & (F.max("accuracy") - F.min("accuracy") > 1e-9)
+        return t.groupBy(*by).agg(F.count("*").alias("tiers"), F.when(fit, F.regr_slope("ece", "accuracy")).alias("slope"))
+
+    point = slopes(rows, [], F.lit(1.0))
+    reps = slopes(weighted(rows, item, replicates, seed), ["rep"], F.col("weight")).crossJoin(F.broadcast(point.select(F.col("tiers").alias("all"))))
+    reps = reps.withColumn("slope", F.when(F.col("tiers") == F.col("all"), F.col("slope")))
+    ci = reps.agg(F.count("slope").alias("replicates"), F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"))
+    return point.select("tiers", "slope").crossJoin(F.broadcast(ci))
 
 
 def mcnemar(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Discordant counts, the statistic with continuity correction, and its chi-square (1) tail."""
+    """Discordant counts, the statistic with continuity correction (0 without any), and its chi-square (1) tail p."""
     only_a, only_b = F.count_if(F.col(a) & ~F.col(b)), F.count_if(~F.col(a) & F.col(b))
     d = df.groupBy(*by).agg(only_a.alias("b"), only_b.alias("c"))
     n = F.col("b") + F.col("c")
-    return d.withColumn("statistic", F.when(n > 0, F.pow(F.abs(F.col("b") - F.col("c")) - 1, 2) / F.when(n > 0, n)).otherwise(0.0))
+    d = d.withColumn("statistic", F.when(n > 0, F.pow(F.abs(F.col("b") - F.col("c")) - 1, 2) / F.when(n > 0, n)).otherwise(0.0))
+    return d.withColumn("p", F.when(n > 0, X.chi2_tail(F.col("statistic"))).otherwise(1.0))
+
 
+def subset(df: DataFrame, item: str, share: float, seed: int) -> DataFrame:
+    """max(1, round(share * n)) rows, by keyed draws."""
+    n = df.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share).cast("int")).alias("__want"))
+    return first_n(df.crossJoin(F.broadcast(n)), [], keyed(F.lit(seed), F.col(item)), F.col("__want"), item).drop("__want")
 
-def chi2_tail(x: float) -> float:
-    return math.erfc(math.sqrt(max(0.0, x) / 2))
 
+def round_robin(df: DataFrame, by: list[str], item: str, n: int, seed: int) -> DataFrame:
+    """n rows: the first of each group by keyed draws, then the second of each, and so on; groups in order."""
+    some = first_n(df, by, keyed(F.lit(seed), F.col(item)), n, item)  # no group gives more than n
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(keyed(F.lit(seed), F.col(item)), item))
+    return some.withColumn("__turn", turn).orderBy("__turn", *by).limit(n).drop("__turn")
 
-def expected_ece(df: DataFrame, by: list[str], *, conf: str = "conf", item: str = "item", kappa: float = 20.0, votes: int = 100, bins: int = 10, sims: int = 50, seed: int = 1) -> DataFrame:
-    """Per group: mean ECE of `sims` simulations in which confidences are right. Each row draws its share of votes from
-    a Beta-Binomial around its confidence, seeded by simulation and item; bins are added up within each task."""
+
+def calibrated_sums(df: DataFrame, by: list[str], *, conf: str, item: str, kappa: float, votes: int, bins: int, sims: int, seed: int, block: int = 4096) -> DataFrame:
+    """Per group, simulation (rep) and bin: n, conf and right, of simulations in which confidences are right. Each row
+    draws its share of votes from a Beta-Binomial around its confidence. Rows are dealt by a hash of their item into
+    blocks of about `block`; a block, in order of items, draws from a generator of its own, so partitions don't matter."""
     fields = [df.schema[c] for c in by]
+    blocks = max(1, df.count() // block)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__item", *by, "__conf"], ignore_index=True)
+        p = rows["__conf"].to_numpy()
+        q = np.clip(p, 1e-4, 1 - 1e-4)
+        rng = np.random.default_rng([seed, int(rows["__block"].iloc[0])])
+        group = rows.groupby(by, dropna=False).ngroup().to_numpy() if by else np.zeros(len(rows), int)
+        cell = group * bins + np.minimum(bins - 1, (p * bins).astype(int))
+        known, where = np.unique(cell, return_inverse=True)
+        n, total = np.bincount(where), np.bincount(where, p)
+        first = rows.loc[[int(np.flatnonzero(cell == c)[0]) for c in known], by].reset_index(drop=True)
+        parts = []
+        for s in range(sims):
+            right = rng.binomial(votes, rng.beta(kappa * q, kappa * (1 - q))) / votes
+            parts.append(first.assign(rep=s, bin=known % bins, n=n, conf=total, right=np.bincount(where, right)))
+        return pd.concat(parts, ignore_index=True)[[*by, "rep", "bin", "n", "conf", "right"]]
+
+    source = df.select(*by, F.col(conf).cast("double").alias("__conf"), F.xxhash64(item).alias("__item"), F.pmod(F.xxhash64(item, F.lit(seed)), F.lit(blocks)).alias("__block"))
+    schema = T.StructType([*fields, *T.StructType.fromDDL("rep long, bin long, n long, conf double, right double")])
+    return source.groupBy("__block").applyInPandas(run, schema).groupBy(*by, "rep", "bin").agg(F.sum("n").alias("n"), F.sum("conf").alias("conf"), F.sum("right").alias("right"))
+
+
+def calibrated_eces(df: DataFrame, by: list[str], *, conf: str = "conf", item: str = "item", kappa: float = 20.0, votes: int = 100, bins: int = 10, sims: int = 50, seed: int = 1) -> DataFrame:
+    """(by, rep, e): ECE of each simulation of calibrated_sums()."""
+    b = calibrated_sums(df, by, conf=conf, item=item, kappa=kappa, votes=votes, bins=bins, sims=sims, seed=seed)
+    return b.groupBy(*by, "rep").agg((F.sum(F.abs(F.col("conf") - F.col("right"))) / F.sum("n")).alias("e"))
+
+
+def expected_ece(df: DataFrame, by: list[str], **how) -> DataFrame:
+    """Per group: mean ECE of `sims` simulations in which confidences are right."""
+    return calibrated_eces(df, by, **how).groupBy(*by).agg(F.avg("e").alias("expected_ece"))
+
+
+def corrected_delta_ece(df: DataFrame, stratum: str, hard: str, easy: str, item: str, *, reference: DataFrame | None = None, bins: int = 10, replicates: int = 100, sims: int = 50, seed: int = 1, **how) -> DataFrame:
+    """One row: the raw difference of ECE (floor bins), its bias (that of expected ECE), the corrected one with its
+    interval (the bias held fixed), p of as extreme a difference where confidences are right (two-sided), how many
+    simulations were as extreme, p_holds (the share of `reference`, a table of one column d, at or below the corrected
+    difference; null without it) and the verdict."""
+    from plumbline.operators.agree import verdict
+
+    rows = binned(df, stratum, hard, easy, X.bin_floor(F.col("conf"), bins), item)
+    sim = calibrated_eces(rows, [stratum], item=item, bins=bins, sims=sims, seed=seed, **how)
+    null = stored(sim.groupBy("rep").agg((F.max(F.when(F.col(stratum) == hard, F.col("e"))) - F.max(F.when(F.col(stratum) == easy, F.col("e")))).alias("d")))
+    point = delta_point(rows, stratum, hard, easy).select(F.col("delta").alias("raw"))
+    tails = null.crossJoin(F.broadcast(point)).agg(F.avg("d").alias("bias"), F.avg((F.col("d") >= F.col("raw")).cast("int")).alias("up"), F.avg((F.col("d") <= F.col("raw")).cast("int")).alias("down"), F.count("*").alias("draws"))
+    ci = percentiles(delta_replicates(rows, stratum, hard, easy, item, replicates, seed), [], "d", low=0.025, high=0.975)
+    out = point.crossJoin(F.broadcast(tails)).crossJoin(F.broadcast(ci))
+    side = F.least("up", "down")
+    out = out.select("raw", "bias", (F.col("raw") - F.col("bias")).alias("corrected"), *[(F.col(c) - F.col("bias")).alias(c) for c in ("low", "high")], F.least(F.lit(1.0), 2 * side).alias("p"), F.round(side * F.col("draws")).cast("long").alias("n_extreme"))
+    if reference is None:
+        out = out.withColumn("p_holds", F.lit(None).cast("double"))
+    else:
+        out = p_holds(out, reference, "corrected")
+    return out.withColumn("verdict", verdict(F.col("corrected"), F.col("p"), F.col("p_holds")))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if rows.empty:
-                continue
-            p = rows[conf].to_numpy(float)
-            q = np.clip(p, 1e-4, 1 - 1e-4)
-            draws = [np.random.default_rng([seed, int(i) & (2**63 - 1)]) for i in rows["__seed"]]
-            beta = np.stack([g.beta(kappa * x, kappa * (1 - x), sims) for g, x in zip(draws, q, strict=True)])
-            right = np.stack([g.binomial(votes, b) for g, b in zip(draws, beta, strict=True)]) / votes
-            made = rows[by].assign(bin=np.minimum(bins - 1, (p * bins).astype(int)), conf=p)
-            long = pd.concat([made.assign(rep=s, right=right[:, s]) for s in range(sims)])
-            yield long.groupby([*by, "rep", "bin"], as_index=False, dropna=False).agg(n=("conf", "size"), conf=("conf", "sum"), right=("right", "sum"))
-
-    source = df.select(*by, F.col(conf).cast("double").alias(conf), F.xxhash64(item).alias("__seed"))
-    from pyspark.sql import types as T
-
-    sums = source.mapInPandas(run, T.StructType([*fields, *T.StructType.fromDDL("rep long, bin long, n long, conf double, right double")]))
-    b = sums.groupBy(*by, "rep", "bin").agg(F.sum("n").alias("n"), F.sum("conf").alias("conf"), F.sum("right").alias("right"))
-    each = b.groupBy(*by, "rep").agg((F.sum(F.abs(F.col("conf") - F.col("right"))) / F.sum("n")).alias("e"))
-    return each.groupBy(*by).agg(F.avg("e").alias("expected_ece"))
+def p_holds(df: DataFrame, reference: DataFrame, value: str) -> DataFrame:
+    """df with p_holds: the share of reference's d at or below the value. reference is a small table of simulated differences,
+    as its sorted values are one array."""
+    known = reference.agg(F.sort_array(F.collect_list("d")).alias("__ref"))
+    out = df.crossJoin(F.broadcast(known))
+    return out.withColumn("p_holds", F.size(F.filter("__ref", lambda d: d <= F.col(value))) / F.nullif(F.size("__ref"), F.lit(0))).drop("__ref")

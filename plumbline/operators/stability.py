@@ -24,12 +24,40 @@ def confidence_stability(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pairwise(df: DataFrame, by: list[str], p: str) -> DataFrame:
-    """Per item of at least two repeats: share of differing pairs, mean and largest pairwise TV and JS (nats)."""
-    held = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("repeat", "decision", F.col(p).alias("p")))).alias("r")).where(F.size("r") > 1)
-    pairs = F.flatten(F.transform("r", lambda a, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda b: F.struct((a["decision"] != b["decision"]).cast("double").alias("d"), tvd(a["p"], b["p"]).alias("tv"), jsd_nats(a["p"], b["p"]).alias("js")))))
-    x = held.select(*by, pairs.alias("x"))
-    mean = lambda f: total(F.transform("x", lambda e: e[f])) / F.size("x")
-    return x.select(*by, F.size("x").alias("pairs"), mean("d").alias("pair_flip"), mean("tv").alias("mean_tv"), F.array_max("x.tv").alias("max_tv"), mean("js").alias("mean_js"), F.array_max("x.js").alias("max_js"))
+    """Per item of at least two repeats: share of differing pairs, mean and largest pairwise TV and JS (nats). Equal answers
+    (decision and p) are counted first, so an item's pairs are those of its different answers, however often it was asked."""
+    held = df.groupBy(*by, "decision", F.col(p).alias("p")).agg(F.count("*").alias("n"))
+    held = held.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("decision", "p", "n"))).alias("r"), F.sum("n").alias("m")).where("m > 1")
+    pairs = F.flatten(F.transform("r", lambda a, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda b: F.struct((a["n"] * b["n"]).cast("double").alias("w"), (a["decision"] != b["decision"]).cast("double").alias("d"), tvd(a["p"], b["p"]).alias("tv"), jsd_nats(a["p"], b["p"]).alias("js")))))
+    x = held.select(*by, (F.col("m") * (F.col("m") - 1) / 2).cast("int").alias("pairs"), pairs.alias("x"))
+    mean = lambda f: total(F.transform("x", lambda e: e["w"] * e[f])) / F.col("pairs")
+    most = lambda f: F.coalesce(F.array_max(f"x.{f}"), F.lit(0.0))
+    return x.select(*by, "pairs", mean("d").alias("pair_flip"), mean("tv").alias("mean_tv"), most("tv").alias("max_tv"), mean("js").alias("mean_js"), most("js").alias("max_js"))
+
+
+def flip_rate(items: DataFrame, by: list[str], item: str, **how) -> DataFrame:
+    """Share of items that flip, with a 95 % interval over items; items: label_stability()'s rows."""
+    from plumbline.operators.resample import bootstrap, mean_of
+
+    return bootstrap(items, by, mean_of("flips"), item, **how)
+
+
+def compared_flip_rates(items: DataFrame, client: str, a, b, item: str, **how) -> DataFrame:
+    """Flip rate of client a less that of b over the items of both, with interval."""
+    from plumbline.operators.resample import paired_difference
+
+    return paired_difference(items, item, client, a, b, "flips", **how)
+
+
+def near_and_far(items: DataFrame, threshold: float, steady: float = 0.05) -> DataFrame:
+    """Flip rates of the third of items nearest to the threshold and of the farthest, and whether the boundary explains the flips: more of
+    them near, a mean deviation below `steady`, and some flips at all. items: mean, sd, flips."""
+    from plumbline.operators.rank import quantiles
+
+    d = items.withColumn("distance", F.abs(F.col("mean") - threshold))
+    ends = quantiles(d, [], "distance", {"low": 1 / 3, "high": 2 / 3})
+    out = d.crossJoin(F.broadcast(ends.select("low", "high"))).agg(F.avg(F.when(F.col("distance") <= F.col("low"), F.col("flips"))).alias("near"), F.avg(F.when(F.col("distance") >= F.col("high"), F.col("flips"))).alias("far"), F.avg("sd").alias("mean_sd"), F.sum("flips").alias("n_flips"))
+    return out.withColumn("explains", (F.col("near") > F.col("far")) & (F.col("mean_sd") < steady) & (F.col("n_flips") > 0))
 
 
 def boundary(items: DataFrame, threshold: float, bins: int = 10) -> DataFrame:

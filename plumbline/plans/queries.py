@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import expr as X
-from plumbline.operators import agree, calibrate, rank, resample, stability
+from plumbline.operators import agree, calibrate, rank, records, resample, stability
 from plumbline.plans import views as V
 from plumbline.sources import jsonl
-from plumbline.sources.tables import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -46,6 +45,17 @@ calb AS (SELECT cal.*, len([x FOR x IN e IF x <= conf]) AS bin FROM cal, edges)
 ECE = "SELECT {by}, sum(n)::DOUBLE AS n, round(sum(n * abs(mc - mp)) / sum(n), 9) + 0.0 AS ece, round(max(abs(mc - mp)), 9) + 0.0 AS mce, round(max(n) / sum(n), 9) AS max_bin_share FROM (SELECT {by}, bin, count(*) AS n, avg(correct) AS mc, avg(conf) AS mp FROM ({src}) GROUP BY {by}, bin) GROUP BY {by}"
 
 
+def horner(coefficients: list[float], x: str) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+#: erfc of a {x} that isn't negative.
+ERFC = "(1 / (1 + 0.5 * {x})) * exp(-({x}) * ({x}) + " + horner(X.ERFC[::-1], "(1 / (1 + 0.5 * {x}))") + ")"
+
+
 def rounded_ece(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, "n", *r9("ece", "mce", "max_bin_share"))
 
@@ -86,10 +96,10 @@ def brier_by_stratum(spark, sf):
     return calibrate.brier(V.calibration(spark, sf), ["stratum"], "probs", "majority").select("stratum", *r9("brier"))
 
 
-@query(", t AS (SELECT source, sum(n)::DOUBLE AS n, sum(n * abs(mc - mp)) / sum(n) AS ece, sum(n * mc) / sum(n) AS accuracy FROM (SELECT source, len([x FOR x IN e IF x <= conf]) AS bin, count(*) AS n, avg(correct) AS mc, avg(conf) AS mp FROM bina, edges GROUP BY 1, 2) GROUP BY 1) SELECT source, n, round(ece, 9) AS ece, round(accuracy, 9) AS accuracy, round((SELECT regr_slope(ece, accuracy) FROM t), 6) AS slope FROM t")
+@query(", r AS (SELECT source, round(avg((p - y) ** 2), 9) AS brier FROM bina GROUP BY 1), t AS (SELECT source, sum(n)::DOUBLE AS n, sum(n * abs(mc - mp)) / sum(n) AS ece, sum(n * mc) / sum(n) AS accuracy FROM (SELECT source, len([x FOR x IN e IF x <= conf]) AS bin, count(*) AS n, avg(correct) AS mc, avg(conf) AS mp FROM bina, edges GROUP BY 1, 2) GROUP BY 1) SELECT source, n, round(ece, 9) AS ece, round(accuracy, 9) AS accuracy, round((SELECT regr_slope(ece, accuracy) FROM t), 6) AS slope, brier FROM t JOIN r USING (source)")
 def calibration_by_tier(spark, sf):
-    out = calibrate.by_tier(V.binary(spark, sf), "source")
-    return out.select("source", "n", *r9("ece", "accuracy"), F.round("slope", 6).alias("slope"))
+    out = calibrate.by_tier(V.binary(spark, sf), "source", p="p", label="y")
+    return out.select("source", "n", *r9("ece", "accuracy", "brier"), F.round("slope", 6).alias("slope"))
 
 
 @query("SELECT stratum, count(*) AS n, round(avg(conf), 9) AS mean_conf, round(avg(correct), 9) AS mean_correct, round(avg(conf) - avg(correct), 9) AS overconfidence FROM cal GROUP BY 1")
@@ -195,10 +205,12 @@ def paired_clients(spark, sf):
     return a.join(b, "tier").select("tier", F.round(F.col("x0") - F.col("x1"), 9).alias("delta"))
 
 
-@query("SELECT round(avg(((p >= 0.5) <> (y2 = 1))::INT), 9) AS disagreement, round(avg(p + y), 9) AS mean_sum, round(stddev_pop(p + y), 9) AS sd_sum, round(median(p + y), 9) AS median_sum, round(avg((abs(p + y - 1) > 0.05)::INT), 9) AS share_off FROM bina")
+@query("SELECT round(avg(((p >= 0.5) <> (y2 >= 0.5))::INT), 9) AS disagreement, round(avg(p + y), 9) AS mean_sum, round(stddev_pop(p + y), 9) AS sd_sum, round(median(p + y), 9) AS median_sum, round(median(abs(p + y - 1)), 9) AS mad, round(avg(abs(p + y - 1)), 9) AS mean_distance, round(avg((abs(p + y - 1) > 0.05)::INT), 9) AS share_off FROM bina")
 def primitive_checks(spark, sf):
-    s = F.col("p") + F.col("y")
-    return V.binary(spark, sf).agg(F.avg(((F.col("p") >= 0.5) != (F.col("y2") == 1)).cast("int")).alias("disagreement"), F.avg(s).alias("mean_sum"), F.stddev_pop(s).alias("sd_sum"), F.median(s).alias("median_sum"), F.avg((F.abs(s - 1) > 0.05).cast("int")).alias("share_off")).select(*r9("disagreement", "mean_sum", "sd_sum", "median_sum", "share_off"))
+    rows = V.binary(spark, sf)
+    sums = agree.negation_sums(rows, "p", "y").withColumnsRenamed({"mean": "mean_sum", "sd": "sd_sum", "median": "median_sum"})
+    rate = agree.primitive_disagreement(rows, F.col("p"), F.col("y2")).select(F.col("rate").alias("disagreement"))
+    return sums.crossJoin(F.broadcast(rate)).select(*r9("disagreement", "mean_sum", "sd_sum", "median_sum", "mad", "mean_distance", "share_off"))
 
 
 @query(", s AS (SELECT count(*) AS n, avg((y = y2)::INT) AS po, avg(y) * avg(y2) + avg(1 - y) * avg(1 - y2) AS pe FROM bina) SELECT n, round(po, 9) AS po, round(pe, 9) AS pe, round((po - pe) / (1 - pe), 9) AS kappa FROM s")
@@ -206,17 +218,16 @@ def cohens_kappa(spark, sf):
     return agree.kappa(V.binary(spark, sf), "y", "y2").select("n", *r9("po", "pe", "kappa"))
 
 
-@query(", s AS (SELECT count(*) FILTER (pred = y AND y2 <> y) AS b, count(*) FILTER (pred <> y AND y2 = y) AS c FROM bina) SELECT b, c, round(CASE WHEN b + c > 0 THEN (abs(b - c) - 1) ** 2 / (b + c) ELSE 0 END, 9) AS statistic FROM s")
+@query(", s AS (SELECT count(*) FILTER (pred = y AND y2 <> y) AS b, count(*) FILTER (pred <> y AND y2 = y) AS c FROM bina) SELECT b, c, round(CASE WHEN b + c > 0 THEN (abs(b - c) - 1) ** 2 / (b + c) ELSE 0 END, 9) AS statistic, round(CASE WHEN b + c > 0 THEN " + ERFC.format(x="sqrt((abs(b - c) - 1) ** 2 / (b + c) / 2)") + " ELSE 1 END, 6) AS p FROM s")
 def mcnemar(spark, sf):
     rows = V.binary(spark, sf).select((F.col("pred") == F.col("y")).alias("a"), (F.col("y2") == F.col("y")).alias("b"))
-    return resample.mcnemar(rows, [], "a", "b").select("b", "c", *r9("statistic"))
+    return resample.mcnemar(rows, [], "a", "b").select("b", "c", *r9("statistic"), F.round("p", 6).alias("p"))
 
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99, round(quantile_disc(value, 0.95), 9) AS p95_nearest FROM events GROUP BY 1")
 def latency_percentiles(spark, sf):
-    e = V.table(spark, sf, "events")
-    q = [F.percentile("value", x).alias(n) for n, x in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), *q, F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95_nearest")).select("event_type", "n", *r9("p50", "p95", "p99", "p95_nearest"))
+    out = rank.quantiles(V.table(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, {"p95_nearest": 0.95})
+    return out.select("event_type", "n", *r9("p50", "p95", "p99", "p95_nearest"))
 
 
 @query("SELECT event_type, value, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 9) AS share FROM events QUALIFY row_number() OVER (PARTITION BY event_type, value) = 1")
@@ -234,7 +245,7 @@ def risk_coverage(spark, sf):
 
 @query(_RC + ", l AS (SELECT coverage, risk, lag(coverage, 1, 0) OVER (ORDER BY coverage) AS c0, coalesce(lag(risk) OVER (ORDER BY coverage), risk) AS r0 FROM c) SELECT round(sum((coverage - c0) * (risk + r0) / 2), 9) AS aurc FROM l")
 def area_under_risk(spark, sf):
-    return rank.aurc(rank.risk_coverage(V.binary(spark, sf), [], "conf", "correct"), []).select(*r9("aurc"))
+    return rank.aurc(V.binary(spark, sf), [], "conf", "correct").select(*r9("aurc"))
 
 
 @query(_RC + "SELECT round(coalesce(max(coverage) FILTER (1 - risk + 1e-12 >= 0.6), 0), 9) AS coverage, round(min(threshold) FILTER (1 - risk + 1e-12 >= 0.6), 9) AS threshold FROM c")
@@ -249,17 +260,13 @@ def spearman_conf_entropy(spark, sf):
 
 @query(", r AS (SELECT rank() OVER (ORDER BY conf) + (count(*) OVER (PARTITION BY conf) - 1) / 2 AS a, rank() OVER (ORDER BY entropy) + (count(*) OVER (PARTITION BY entropy) - 1) / 2 AS b, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS z FROM cal), f AS (SELECT regr_slope(a, z) AS sa, regr_intercept(a, z) AS ia, regr_slope(b, z) AS sb, regr_intercept(b, z) AS ib FROM r), e AS (SELECT round(a - ia - sa * z, 6) + 0.0 AS a, round(b - ib - sb * z, 6) + 0.0 AS b FROM r, f), s AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS b FROM e) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM s")
 def partial_spearman(spark, sf):
-    r = stored(V.calibration(spark, sf).select("conf", "entropy", F.col("n").alias("size")))
-    for x, name in (("conf", "a"), ("entropy", "b"), ("size", "z")):
-        r = rank.average_ranks(r, [], x, name)
-    r = stored(r)
-    fit = r.agg(*[f(x, "z").alias(f"{k}{x}") for x in "ab" for k, f in (("s", F.regr_slope), ("i", F.regr_intercept))])
-    e = r.crossJoin(F.broadcast(fit)).select(*[(F.round(F.col(x) - F.col(f"i{x}") - F.col(f"s{x}") * F.col("z"), 6) + 0.0).alias(x) for x in "ab"])
-    return rank.spearman(e, [], "a", "b").select("n", F.round("rho", 6).alias("rho"))
+    out = rank.partial_spearman(V.calibration(spark, sf), "conf", "entropy", "n")
+    return out.select("n", F.round("rho", 6).alias("rho"))
 
 
 _U = "('0x' || substr(md5(concat_ws(':', {parts})), 1, 8))::BIGINT"
-_POI = "len([x FOR x IN [" + ", ".join(f"{x!r}::DOUBLE" for x in X.POISSON) + "] IF x <= {u} / 4294967296.0::DOUBLE])"
+#: A Poisson(1) weight from the eight hex digits h.
+_POI = "CASE " + " ".join(f"WHEN h < '{h}' THEN {k}" for k, h in enumerate(X.POISSON_HEX)) + f" ELSE {len(X.POISSON_HEX)} END"
 
 
 @query(", m AS (SELECT min(c) AS least FROM (SELECT count(*) AS c FROM cal GROUP BY stratum)), k AS (SELECT item, stratum, row_number() OVER (PARTITION BY stratum ORDER BY " + _U.format(parts="20260923, item") + ", item) AS rn FROM cal) SELECT item, stratum FROM k, m WHERE rn <= least")
@@ -267,7 +274,9 @@ def equal_n_subsample(spark, sf):
     return resample.equal_n(V.calibration(spark, sf), "stratum", "item", 20260923).select("item", "stratum")
 
 
-_BOOT = ", reps AS (SELECT unnest(range(100)) AS rep), w AS (SELECT {cols}, rep, " + _POI.format(u=_U.format(parts="1, rep, {item}")) + " AS w FROM {src}, reps) "
+_BOOT = """, reps AS (SELECT unnest(range(100)) AS rep),
+    h AS (SELECT {cols}, rep, substr(md5(concat_ws(':', 1, rep // 4, {item})), (rep % 4) * 8 + 1, 8) AS h FROM {src}, reps),
+    w AS (SELECT *, """ + _POI + """ AS w FROM h) """
 
 
 @query(_BOOT.format(cols="source, correct", item="doc_id", src="bina") + ", m AS (SELECT source, rep, sum(w * correct) / sum(w) AS m FROM w WHERE w > 0 GROUP BY 1, 2), ci AS (SELECT source, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) SELECT source, count(*) AS n, round(avg(correct), 9) AS point, round(any_value(low), 9) AS low, round(any_value(high), 9) AS high FROM bina JOIN ci USING (source) GROUP BY 1")
@@ -278,10 +287,10 @@ def bootstrap_accuracy(spark, sf):
 _DE = "SELECT {by}, sum(n * abs(mc - mp)) / sum(n) AS ece FROM (SELECT {by}, bin, sum(w) AS n, sum(w * correct) / sum(w) AS mc, sum(w * conf) / sum(w) AS mp FROM {src} WHERE w > 0 GROUP BY {by}, bin) GROUP BY {by}"
 
 
-@query(_BOOT.format(cols="stratum, bin, conf, correct", item="item", src="calb") + ", b AS (" + _DE.format(by="stratum, rep", src="w") + "), d AS (SELECT rep, max(ece) FILTER (stratum = 'hard') - max(ece) FILTER (stratum = 'easy') AS d FROM b GROUP BY 1), pt AS (" + _DE.format(by="stratum", src="(SELECT *, 1 AS w FROM calb)") + "), q AS (SELECT max(ece) FILTER (stratum = 'hard') AS h, max(ece) FILTER (stratum = 'easy') AS e FROM pt) SELECT round(h, 9) AS ece_hard, round(e, 9) AS ece_easy, round(h - e, 9) AS delta, round((SELECT quantile_cont(d, 0.025) FROM d), 9) AS low, round((SELECT quantile_cont(d, 0.975) FROM d), 9) AS high FROM q")
+@query(_BOOT.format(cols="stratum, bin, conf, correct", item="item", src="calb") + ", b AS (" + _DE.format(by="stratum, rep", src="w") + "), d AS (SELECT rep, max(ece) FILTER (stratum = 'hard') - max(ece) FILTER (stratum = 'easy') AS d FROM b GROUP BY 1), pt AS (" + _DE.format(by="stratum", src="(SELECT *, 1 AS w FROM calb)") + "), q AS (SELECT max(ece) FILTER (stratum = 'hard') AS h, max(ece) FILTER (stratum = 'easy') AS e FROM pt) SELECT round(h, 9) AS ece_hard, round(e, 9) AS ece_easy, round(h - e, 9) AS delta, round((SELECT quantile_cont(d, 0.025) FROM d), 9) AS low, round((SELECT quantile_cont(d, 0.975) FROM d), 9) AS high, round((SELECT avg((d <= 0)::INT) FROM d), 9) AS share_low, round((SELECT avg((d >= 0)::INT) FROM d), 9) AS share_high FROM q")
 def delta_ece(spark, sf):
     out = resample.delta_ece(V.calibration(spark, sf), "stratum", "hard", "easy", X.bin_digitize(F.col("conf"), 10), "item")
-    return out.select(*r9("ece_hard", "ece_easy", "delta", "low", "high"))
+    return out.select(*r9("ece_hard", "ece_easy", "delta", "low", "high", "share_low", "share_high"))
 
 
 @query()
@@ -291,12 +300,10 @@ def expected_ece(spark, sf):
 
 @query()
 def corrected_delta_ece(spark, sf):
-    """The difference of ECE less that of expected ECE, and the verdict on it."""
-    raw = calibrate.ece(calibrate.reliability(V.calibration(spark, sf), ["stratum"], X.bin_floor(F.col("conf"), 10)), ["stratum"])
-    both = raw.join(expected_ece(spark, sf), "stratum")
-    pick = lambda c, s: F.max(F.when(F.col("stratum") == s, F.col(c)))
-    d = both.agg((pick("ece", "hard") - pick("ece", "easy")).alias("raw"), (pick("expected_ece", "hard") - pick("expected_ece", "easy")).alias("bias"))
-    return d.select(*r9("raw", "bias"), F.round(F.col("raw") - F.col("bias"), 9).alias("corrected"))
+    """The difference of ECE less that of expected ECE, with interval, p and, against a small table of differences, the verdict."""
+    reference = spark.range(100).select((F.col("id") / 1000.0).alias("d"))
+    out = resample.corrected_delta_ece(V.calibration(spark, sf), "stratum", "hard", "easy", "item", reference=reference)
+    return out.select(*r9("raw", "bias", "corrected", "low", "high", "p", "p_holds"), "n_extreme", "verdict")
 
 
 _T = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
@@ -311,9 +318,9 @@ def temperature_grid(spark, sf):
     return rows.groupBy("stratum", "t").agg(F.round(F.avg(loss), 8).alias("loss"))
 
 
-@query("SELECT client, pass, round(avg(ok), 9) AS accuracy FROM (SELECT client, repeat AS pass, (decision = 'N')::INT AS ok FROM panel WHERE repeat <= 4) GROUP BY 1, 2")
+@query("SELECT client, pass, round(avg(ok), 9) AS accuracy FROM (SELECT client, repeat AS pass, (decision = 'N')::INT AS ok FROM panel) GROUP BY 1, 2")
 def accuracy_by_pass(spark, sf):
-    return V.panel(spark, sf).where("repeat <= 4").groupBy("client", F.col("repeat").alias("pass")).agg(F.round(F.avg((F.col("decision") == "N").cast("int")), 9).alias("accuracy"))
+    return V.panel(spark, sf).groupBy("client", F.col("repeat").alias("pass")).agg(F.round(F.avg((F.col("decision") == "N").cast("int")), 9).alias("accuracy"))
 
 
 _PASS = ", t AS (SELECT client, repeat AS pass, len([x FOR x IN e IF x <= confidence]) AS bin, count(*) AS n, avg((decision = 'N')::INT) AS mc, avg(confidence) AS mp FROM panel, edges GROUP BY ALL), s AS (SELECT client, pass, sum(n)::DOUBLE AS n, sum(n * mc) / sum(n) AS accuracy, sum(n * abs(mc - mp)) / sum(n) AS ece FROM t GROUP BY 1, 2), r AS (SELECT client, count(*) AS passes, CASE WHEN count(*) > 1 THEN max(accuracy) - min(accuracy) END AS accuracy_range, CASE WHEN count(*) > 1 THEN max(ece) - min(ece) END AS ece_range FROM s GROUP BY 1) "
@@ -321,7 +328,6 @@ _PASS = ", t AS (SELECT client, repeat AS pass, len([x FOR x IN e IF x <= confid
 
 @query(_PASS + "SELECT client, pass, n, round(accuracy, 9) AS accuracy, round(ece, 9) + 0.0 AS ece, passes, round(accuracy_range, 9) + 0.0 AS accuracy_range, round(ece_range, 9) + 0.0 AS ece_range, (accuracy_range > 0.05 OR ece_range > 0.02) AS material_move FROM s JOIN r USING (client)")
 def stability_by_pass(spark, sf):
-    """Every pass; accuracy_by_pass has the first four only."""
     rows = V.panel(spark, sf).withColumnRenamed("confidence", "conf").withColumn("correct", (F.col("decision") == "N").cast("int"))
     out = stability.by_pass(rows.withColumnRenamed("repeat", "pass"), "client", "pass")
     return out.select("client", "pass", "n", *r9("accuracy", "ece"), "passes", *r9("accuracy_range", "ece_range"), "material_move")
@@ -347,7 +353,7 @@ def rule_labels(spark, sf):
 def token_costs(spark, sf):
     prices = spark.createDataFrame([("user", 0.042, 0.0), ("assistant", 0.1, 0.0)], "suffix string, input_rate double, output_rate double")
     usage = V.table(spark, sf, "conversations").select(F.col("role").alias("model"), F.length("text").alias("input_tokens"), F.lit(0).alias("output_tokens"))
-    return agree.priced(usage, prices).groupBy(F.col("model").alias("role")).agg(F.round(F.sum("cost"), 9).alias("cost"))
+    return agree.priced(usage, prices).where("cost is not null").groupBy(F.col("model").alias("role")).agg(F.round(F.sum("cost"), 9).alias("cost"))
 
 
 @query(", d AS (SELECT o_orderdate::DATE AS day, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1) SELECT day, spent, round(sum(spent) OVER (ORDER BY day), 2) AS running FROM d")
@@ -378,17 +384,23 @@ def pending_units(spark, sf):
 
 @query("SELECT r_name AS client, pass, n_name AS item FROM region, nation, (SELECT unnest(range(3)) AS pass) WHERE r_regionkey = n_regionkey")
 def work_plan(spark, sf):
-    n = V.table(spark, sf, "nation").join(F.broadcast(V.table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.select(F.col("r_name").alias("client"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("pass"), F.col("n_name").alias("item"))
+    n = V.table(spark, sf, "nation").select(F.col("n_name").alias("item"), "n_regionkey")
+    clients = V.table(spark, sf, "region").select(F.col("r_name").alias("client"), F.lit(3).cast("long").alias("repeats"), "r_regionkey")
+    regions = clients.select("client", "r_regionkey")
+    plan = agree.work_plan(clients.select("client", "repeats"), n.select("item"))
+    own = n.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("client", "item")
+    return plan.join(own, ["client", "item"]).select("client", "pass", "item")
 
 
-@query("SELECT conv_id, turn, sha256('{\"role\":\"' || role || '\",\"turn\":' || turn || '}') AS digest FROM conversations WHERE role IS NOT NULL")
+@query("""SELECT conv_id, turn, sha256('{"questions":[{"kind":"choice","name":"relation"},{"kind":"noul","name":"follows"}],"state":{"pair_id":' || turn || ',"source":"' || role || '"}}') AS digest FROM conversations WHERE role IS NOT NULL AND turn IS NOT NULL""")
 def request_digests(spark, sf):
-    c = V.table(spark, sf, "conversations").where("role is not null")
-    return c.select("conv_id", "turn", F.sha2(F.to_json(F.struct("role", "turn")), 256).alias("digest"))
+    c = V.table(spark, sf, "conversations").where("role is not null and turn is not null")
+    questions = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name")) for kind, name in (("choice", "relation"), ("noul", "follows"))])
+    state = {"source": F.col("role"), "pair_id": F.col("turn"), "text": F.col("text")}
+    return c.select("conv_id", "turn", records.request_digest(state, questions).alias("digest"))
 
 
 @query("SELECT tier, client, item FROM (SELECT tier, client, item, row_number() OVER (PARTITION BY client, item ORDER BY repeat) AS rn FROM panel) WHERE rn = 1")
 def first_pass(spark, sf):
-    p = V.panel(spark, sf).select("tier", "client", F.col("item").alias("item_id"), F.col("repeat").alias("pass"))
-    return jsonl.first_pass(p).select("tier", "client", F.col("item_id").alias("item"))
+    p = V.panel(spark, sf).select("tier", "client", F.col("item").alias("item_id"), F.col("repeat").alias("pass"), F.col("repeat").alias("seq"))
+    return records.first_pass(p, ["client", "item_id"]).select("tier", "client", F.col("item_id").alias("item"))

@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import normalised, total
-
 PREDICTION = "item_id string, client string, pass int, tier string, label string, choice string, probabilities map<string,double>, latency_ms double, input_tokens long, output_tokens long, error boolean, unit_key string"
 
 
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, value, r) of the lines that aren't blank; r null where a line isn't an object of the schema."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where("trim(value) <> ''")
+    r = F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    return lines.withColumn("__r", r).withColumn("r", F.when(F.col("__r.__bad").isNull() & F.col("value").rlike(r"^\s*\{"), F.col("__r"))).drop("__r")
+
+
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Fails on a malformed line; blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Objects of JSON lines; blank lines are skipped. A line that isn't JSON is a ValueError, one that isn't an object a
+    TypeError, both with file and line; a missing file is Spark's own error."""
+    rows = _parsed(spark, path, schema)
+    bad = rows.where("r is null").select("path", "value").limit(1).collect()
+    if bad:
+        file, line = bad[0]
+        numbered = spark.read.format("binaryFile").load(file).select(F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("at", "value"))
+        at = numbered.where(F.col("value") == line).agg(F.min("at")).first()[0]
+        kind = ValueError if spark.range(1).select(F.try_parse_json(F.lit(line)).isNull()).first()[0] else TypeError
+        raise kind(f"{file}:{'?' if at is None else at + 1}: not {'JSON' if kind is ValueError else 'an object of the schema'}")
+    return rows.select("r.*").drop("__bad")
 
 
 def read_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Leaves malformed lines out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Leaves malformed lines out, also where few or no columns are read."""
+    return _parsed(spark, path, schema).where("r is not null").select("r.*").drop("__bad")
 
 
 def write(df: DataFrame, path: str) -> None:
@@ -35,23 +49,6 @@ def pending(required: DataFrame, done: DataFrame) -> DataFrame:
     return required.join(done, "unit_key", "left_anti")
 
 
-def first_pass(raw: DataFrame) -> DataFrame:
-    """One row per client and item: that of the lowest pass."""
-    return raw.groupBy("client", "item_id").agg(F.min_by(F.struct(*raw.columns), F.coalesce("pass", F.lit(0))).alias("r")).select("r.*")
-
-
-def vector(probabilities: Column, order: list[str]) -> Column:
-    """A map's values in label order, missing ones 0, over their sum."""
-    return normalised(F.array(*[F.coalesce(F.try_element_at(probabilities, F.lit(k)), F.lit(0.0)) for k in order]))
-
-
-def triplet(yes: Column) -> Column:
-    """Three yes-probabilities as a distribution; uniform where they are nearly all 0, null where one is missing."""
-    s = total(yes)
-    whole = (F.size(yes) == 3) & F.forall(yes, lambda x: x.isNotNull())
-    return F.when(whole & (s < 1e-6), F.array(*[F.lit(1 / 3)] * 3)).when(whole, F.transform(yes, lambda x: x / F.when(s < 1e-6, 1.0).otherwise(s)))
-
-
 def validated(items: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """One row: repeated and unmatched keys of either side."""
     repeated = lambda d, n: d.groupBy(key).count().where("count > 1").agg(F.count("*").alias(n))
@@ -61,3 +58,12 @@ def validated(items: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     for p in parts[1:]:
         out = out.crossJoin(F.broadcast(p))  # one row each
     return out
+
+
+def load_dataset(items: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """items with their labels; an error for repeated keys, items without a label, and labels without an item."""
+    found = validated(items, labels, key).first()
+    wrong = {c: found[c] for c in found.asDict() if found[c]}
+    if wrong:
+        raise ValueError(", ".join(f"{c}: {n}" for c, n in wrong.items()))
+    return items.join(labels, key)
