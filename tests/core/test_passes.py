@@ -1,6 +1,6 @@
 from plumbline.operators import stability
 from plumbline.plans import views as V
-from plumbline.plans.queries import QUERIES
+from plumbline.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 

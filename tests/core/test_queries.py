@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from plumbline.plans.queries import ORACLES, QUERIES
+from plumbline.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
