@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import arrow_limits, col, mix, run_hashes, runs, slices, stored, text_bytes
+from plumbline.llm.common import arrow_limits, col, mix, others, run_hashes, runs, slices, stored, text_bytes
 
 K = 5
 HOT = 256
@@ -305,12 +305,16 @@ def score(docs: DataFrame, train: Column, *, keep: list[str] | None = None, text
     in log10. train: which rows may teach."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    keep = others(docs.columns if keep is None else keep, ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
     blocks = stored(blocks_of(docs, train, keep, text, block_bytes), "blocks")
+    size = docs.select(F.sum(F.octet_length(col(text)))).first()[0] or 0
     if buckets is None:
-        size = docs.select(F.sum(F.octet_length(col(text)))).first()[0] or 0
         buckets = int(np.clip(-(-size // BUCKET_BYTES), *BUCKETS))
-    words = stored(blocks.mapInArrow(ask_words(buckets), ASK).groupBy("bucket").applyInArrow(count_words, ANSWER), "words")
+    # A task is some bucket, or some block, however large the corpus: their number, not their size, grows with it.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_bucket = lambda df: df.repartition(max(least, buckets), "bucket").groupBy("bucket")
+    by_block = lambda df: df.repartition(max(least, -(-size // block_bytes)), "block").groupBy("block")
+    words = stored(by_bucket(blocks.mapInArrow(ask_words(buckets), ASK)).applyInArrow(count_words, ANSWER), "words")
     tokens, types, *of_words = summed(words) or [0] * (K + 3)
 
     @F.udf("array<struct<word:string,n:long>>")
@@ -320,12 +324,12 @@ def score(docs: DataFrame, train: Column, *, keep: list[str] | None = None, text
     frequent = words.where("stats is not null").select(F.explode(most("payload")).alias("x")).select("x.word").collect()  # HOT at most
     hot = np.unique(np.array([int(r[0]) for r in frequent] + [int(START)], np.uint64))
     answers = words.where("block is not null").select("block", "bucket", "payload")
-    asks = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_pairs(hot, buckets), ASK)
-    pairs = stored(asks.groupBy("bucket").applyInArrow(count_pairs(hot), ANSWER), "pairs")
+    asks = by_block(blocks).cogroup(by_block(answers)).applyInArrow(ask_pairs(hot, buckets), ASK)
+    pairs = stored(by_bucket(asks).applyInArrow(count_pairs(hot), ANSWER), "pairs")
     stats = summed(pairs) or [0] * (K + 1 + len(hot) * FIELDS)
     model = Model(tokens, types, of_words, stats[: K + 1], hot, np.array(stats[K + 1 :], np.int64).reshape(len(hot), FIELDS))
     whole = answers.unionByName(pairs.where("block is not null").select("block", "bucket", "payload"))
     fields = [T.StructField(f"k_{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] or [T.StructField("k_0", T.IntegerType())]
     schema = T.StructType([*fields, *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double")])
-    out = blocks.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(score_blocks(model, schema, buckets), schema)
+    out = by_block(blocks).cogroup(by_block(whole)).applyInArrow(score_blocks(model, schema, buckets), schema)
     return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

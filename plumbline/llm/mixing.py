@@ -7,7 +7,7 @@ documents follow each other in a seeded order; of its n blocks, quota q is selec
 start, so each block is taken 0, 1, ... or `most` times, q in all. A document takes the selected parts of its words.
 
 Only one row per source and one per shard come to the driver: there are at most MAX_SHARDS shards besides one per
-source, however many documents. Shards are dealt by a hash, so a source with a third of all rows is many tasks.
+source, however many documents; sources themselves (about 100 bytes each) have to fit the driver. Shards are dealt by a hash, so a source with a third of all rows is many tasks.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of its own, last in
 order; equal quotients go to the source or shard first in order; repeated rows are documents of their own, told
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import col, stored
+from plumbline.llm.common import col, others, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -80,8 +80,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     """docs' columns `keep` (default: the id) with size, source_size, target and taken. spans: also the taken parts,
     as words from `start` to before `stop` (from 0), `times` times. weights: repeating, for sources by code point."""
     spark = docs.sparkSession
-    outputs = {"size", "source_size", "target", "taken", "spans"}
-    keep = [c for c in ([doc_id] if keep is None else keep) if c not in outputs]
+    keep = others([doc_id] if keep is None else keep, ["size", "source_size", "target", "taken", "spans"])
     size = F.coalesce(F.regexp_count(col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("="), col(source).cast("string")), F.lit(""))  # null: the empty key
     sized = docs.select(*[col(c).alias(f"k_{i}") for i, c in enumerate(keep)], key.alias("key"), size.alias("size"), col(doc_id).alias("id"))
@@ -103,7 +102,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     own_blocks = shards.groupby("key")["blocks"].sum().reindex(known["key"]).fillna(0).to_numpy(np.int64)
     wanted = goal * own_blocks / np.maximum(1, sizes)  # a shard's last block may be short
     quotas = []
-    for (k, own), q in zip(((k, shards[shards["key"] == k]) for k in known["key"]), sainte_lague(wanted, round(float(wanted.sum())), most * own_blocks), strict=True):
+    by_key, none = dict(list(shards.groupby("key"))), shards.iloc[:0]
+    for (k, own), q in zip(((k, by_key.get(k, none)) for k in known["key"]), sainte_lague(wanted, round(float(wanted.sum())), most * own_blocks), strict=True):
         n = own["blocks"].to_numpy(np.int64)
         for shard, count, quota in zip(own["shard"], n, sainte_lague(own["words"].to_numpy(np.int64), int(q), most * n), strict=True):
             start = int.from_bytes(hashlib.sha256(f"{seed}:{k}:{shard}".encode()).digest()[:6], "big") % max(1, int(count))
