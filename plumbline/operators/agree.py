@@ -136,3 +136,25 @@ def work_plan(clients: DataFrame, items: DataFrame) -> DataFrame:
 def strata_sizes(df: DataFrame, stratum: str, item: str, primary: Column) -> DataFrame:
     """Distinct items of each stratum, and whether all its rows are primary."""
     return df.groupBy(stratum).agg(F.count_distinct(item).alias("items"), F.bool_and(primary).alias("all_primary"))
+
+
+def rule_chain(text: Column, *, rules: list[tuple[Column, str]] = (), patterns: list[tuple[str, str]] = (), keywords: list[tuple[str, list[str]]] = (), majority: str | None = None, default: str | None = None, options: list[str] = ()) -> Column:
+    """The first that applies: a rule (a condition and its label), a pattern's label, a keyword list's label, the majority, the
+    default, the first option. Case doesn't count; null text matches nothing."""
+    steps = [(c, x) for c, x in rules] + [(text.rlike(f"(?i){p}"), x) for p, x in patterns]
+    steps += [(F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(text), w)), x) for x, words in keywords]
+    last = F.lit(majority or default or (options[0] if options else None))
+    out = None
+    for condition, label in steps:
+        here = F.coalesce(condition, F.lit(False))
+        out = F.when(here, label) if out is None else out.when(here, label)
+    return last if out is None else out.otherwise(last)
+
+
+def dry_run(tokens: DataFrame, clients: DataFrame) -> DataFrame:
+    """Per client (client, repeats, input_rate, output_rate, output_tokens; a small table): calls and cost of asking about every
+    row of tokens (column tokens) as often as it repeats."""
+    sums = tokens.agg(F.count("*").alias("items"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    out = clients.crossJoin(F.broadcast(sums))
+    cost = (F.col("tokens") * F.col("input_rate") + F.col("items") * F.col("output_tokens") * F.col("output_rate")) * F.col("repeats") / 1e6
+    return out.select("client", (F.col("items") * F.col("repeats")).alias("calls"), (F.col("tokens") * F.col("repeats")).alias("input_tokens"), cost.alias("cost"))

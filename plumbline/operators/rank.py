@@ -94,6 +94,17 @@ def gate_sweep(df: DataFrame, x: str, correct: str, least: float = 0.5, most: fl
     return held.crossJoin(F.broadcast(size)).select("threshold", "n", (F.col("n") / F.col("size")).alias("share"), (F.col("hits") / F.nullif(F.col("n"), F.lit(0))).alias("mean_correct"))
 
 
+def coverage_at_quantiles(df: DataFrame, x: str, correct: str, n: int) -> DataFrame:
+    """Risk and coverage at n quantiles of the scores as thresholds, instead of at every distinct score."""
+    names = {f"t{i}": i / (n - 1) for i in range(n)}
+    gates = quantiles(df, [], x, names).select(F.col("n").alias("size"), F.array_sort(F.array_distinct(F.array(*[F.col(c) for c in names]))).alias("gates"))
+    rows = df.crossJoin(F.broadcast(gates)).withColumn("passed", F.size(F.filter("gates", lambda g: g <= F.col(x))))
+    counts = rows.groupBy("passed").agg(F.count("*").alias("n"), F.sum(correct).alias("hits"))
+    table = gates.select("size", F.posexplode("gates").alias("gate", "threshold"))
+    held = table.join(F.broadcast(counts), F.col("passed") > F.col("gate")).groupBy("threshold", "size").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return held.select("threshold", (F.col("n") / F.col("size")).alias("coverage"), (1 - F.col("hits") / F.col("n")).alias("risk"))
+
+
 def widest_gate(gates: DataFrame, required: float) -> DataFrame:
     """The gate of the largest share whose mean correctness is as required (ties: the lowest); nulls where none is."""
     return gates.agg(F.max_by(F.struct("threshold", "share", "mean_correct"), F.when(F.col("mean_correct") >= required, F.struct("share", -F.col("threshold")))).alias("g")).select("g.*")

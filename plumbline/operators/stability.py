@@ -75,6 +75,24 @@ def version_changes(df: DataFrame, client: str, order: list[str], version: str,
     return df.withColumn("previous", F.lag(version).over(w)).where(F.col("previous") != F.col(version))
 
 
+def versions(df: DataFrame, client: str, version: str) -> DataFrame:
+    """Per client: its distinct versions in order, and whether there is more than one; for versions of a bounded number."""
+    out = df.groupBy(client).agg(F.sort_array(F.collect_set(version)).alias("versions"))
+    return out.withColumn("mixed", F.size("versions") > 1)
+
+
+def reconciled(items: DataFrame, signals: list[str], given: str) -> DataFrame:
+    """Per signal: Spearman's correlation with flips, and the partial one given another column."""
+    from plumbline.operators.rank import partial_spearman, spearman
+
+    out = None
+    for s in signals:
+        row = spearman(items, [], "flips", s).crossJoin(F.broadcast(partial_spearman(items, "flips", s, given).select(F.col("rho").alias("partial"))))
+        row = row.select(F.lit(s).alias("signal"), "n", "rho", "partial")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def by_pass(df: DataFrame, client: str, number: str, bins: int = 10) -> DataFrame:
     """Per client and pass, however many there are: n, accuracy, ece; and in every row of a client its passes, the
     ranges of both, and whether they move materially (accuracy by over 0.05 or ece by over 0.02); null of one pass."""

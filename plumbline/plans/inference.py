@@ -249,3 +249,25 @@ def boundary_ends(spark, sf):
     p = V.panel(spark, sf)
     items = stability.label_stability(p, ["item"]).join(stability.confidence_stability(p, ["item"]).drop("repeats"), "item").withColumn("mean", F.round("mean", 12))
     return stability.near_and_far(items, 0.75).select(*r9("near", "far", "mean_sd"), "n_flips")
+
+
+@query(""", q AS (SELECT list_distinct(quantile_cont(conf, [i / 10 FOR i IN range(11)])) AS g FROM bina), t AS (SELECT unnest(g) AS threshold FROM q)
+    SELECT threshold, round(count(*) / (SELECT count(*) FROM bina), 9) AS coverage, round(1 - avg(correct), 9) + 0.0 AS risk FROM t JOIN bina ON conf >= threshold GROUP BY 1""")
+def coverage_at_quantiles(spark, sf):
+    return rank.coverage_at_quantiles(V.binary(spark, sf), "conf", "correct", 11).select("threshold", *r9("coverage", "risk"))
+
+
+_RANK = "rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2"
+
+
+@query(", i AS (SELECT item, count(*) AS repeats, round(avg(confidence), 9) AS mean, (count(DISTINCT decision) > 1)::INT AS flips FROM panel GROUP BY 1), r AS (SELECT " + ", ".join(_RANK.format(x=x) + f" AS {n}" for x, n in (("flips", "a"), ("mean", "b"), ("repeats", "z"))) + " FROM i), f AS (SELECT regr_slope(a, z) AS sa, regr_intercept(a, z) AS ia, regr_slope(b, z) AS sb, regr_intercept(b, z) AS ib FROM r), e AS (SELECT round(a - ia - sa * z, 6) + 0.0 AS a, round(b - ib - sb * z, 6) + 0.0 AS b FROM r, f), s AS (SELECT " + _RANK.format(x="a") + " AS a, " + _RANK.format(x="b") + " AS b FROM e) SELECT 'mean' AS signal, (SELECT count(*) FROM i) AS n, (SELECT round(corr(a, b), 6) FROM r) AS rho, (SELECT round(corr(a, b), 5) FROM s) AS partial")
+def stability_reconciliation(spark, sf):
+    p = V.panel(spark, sf)
+    items = stability.label_stability(p, ["item"]).join(stability.confidence_stability(p, ["item"]).select("item", F.round("mean", 9).alias("mean")), "item")
+    return stability.reconciled(items, ["mean"], "repeats").select("signal", "n", F.round("rho", 6).alias("rho"), F.round("partial", 5).alias("partial"))
+
+
+@query("SELECT CASE WHEN stratum IS NULL THEN 'all' ELSE stratum END AS stratum, strategy, round(ece, 9) AS ece FROM (SELECT stratum, 'uniform' AS strategy, sum(n * abs(mc - mp)) / sum(n) AS ece FROM (SELECT stratum, bin, count(*) AS n, avg(correct) AS mc, avg(conf) AS mp FROM calb GROUP BY 1, 2) GROUP BY 1)")
+def uniform_strategy(spark, sf):
+    out = calibrate.both_strategies(V.calibration(spark, sf), ["stratum"])
+    return out.where("strategy = 'uniform'").select("stratum", "strategy", *r9("ece"))

@@ -284,3 +284,31 @@ def loaded_dataset(spark, sf):
     labels = V.table(spark, sf, "labels").select("doc_id", "quality")
     items = V.table(spark, sf, "documents").select("doc_id", "lang").join(labels.select("doc_id"), "doc_id", "left_semi")
     return jsonl.load_dataset(items, labels, "doc_id")
+
+
+@query(_REC + "SELECT item_id, client, pass, choice FROM rec WHERE pass = 2")
+def fixed_pass(spark, sf):
+    out = records.fixed_pass(_records(spark, sf), 2, ["item_id", "client"])
+    return out.select("item_id", "client", "pass", records.relation(F.col("decisions"))["choice"].alias("choice"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 5000 THEN 'long' WHEN regexp_matches(text, '(?i)\\bpass(word|phrase)\\b') THEN 'secret' WHEN contains(lower(text), 'copyright') OR contains(lower(text), 'license') THEN 'legal' ELSE 'prose' END AS label FROM documents""")
+def rule_chain_labels(spark, sf):
+    text = F.col("text")
+    label = agree.rule_chain(text, rules=[(F.length(text) > 5000, "long")], patterns=[(r"\bpass(?:word|phrase)\b", "secret")], keywords=[("legal", ["Copyright", "license"])], majority="prose", options=["other"])
+    return V.table(spark, sf, "documents").select("doc_id", label.alias("label"))
+
+
+@query("""SELECT client, (SELECT count(*) FROM conversations) * repeats AS calls, t * repeats AS input_tokens, round((t * rate + (SELECT count(*) FROM conversations) * 100 * orate) * repeats / 1e6, 9) AS cost
+    FROM (SELECT sum(CASE WHEN text IS NULL OR length(text) = 0 THEN 0 ELSE greatest(1, (length(text) + 3) // 4) END)::BIGINT AS t FROM conversations), (SELECT unnest([{'client': 'one', 'repeats': 10, 'rate': 0.042::DOUBLE, 'orate': 0.0::DOUBLE}, {'client': 'two', 'repeats': 1, 'rate': 0.1::DOUBLE, 'orate': 0.4::DOUBLE}], recursive := true))""")
+def dry_run(spark, sf):
+    clients = spark.createDataFrame([("one", 10, 0.042, 0.0, 100), ("two", 1, 0.1, 0.4, 100)], "client string, repeats long, input_rate double, output_rate double, output_tokens long")
+    tokens = V.table(spark, sf, "conversations").select(agree.estimated_tokens(F.col("text")).alias("tokens"))
+    return agree.dry_run(tokens, clients).select("client", "calls", "input_tokens", *r9("cost"))
+
+
+@query("SELECT user_id, list_sort(list(DISTINCT event_type)) AS versions, count(DISTINCT event_type) > 1 AS mixed FROM events GROUP BY 1")
+def client_versions(spark, sf):
+    from plumbline.operators import stability
+
+    return stability.versions(V.table(spark, sf, "events"), "user_id", "event_type")
