@@ -200,9 +200,9 @@ def card(v: Column, seed: Column) -> Column:
 
 def address(v: Column, seed: Column, attempt: Column) -> Column:
     """Each part redrawn with as many digits as it had; any from 1 to 254 from the third attempt on."""
-    drawn = lambda i, least, many: F.lit(least) + F.pmod(number(seed, i), F.lit(many))
-    part = lambda p, i: F.when(attempt >= 3, drawn(i, 1, 254)).when(F.length(p) == 3, drawn(i, 100, 155)).when(F.length(p) == 2, drawn(i, 10, 90)).otherwise(drawn(i, 1, 9))
-    return F.array_join(F.transform(F.split(v, r"\."), lambda p, i: part(p, i).cast("string")), ".")
+    least = lambda p: F.when(attempt >= 3, 1).when(F.length(p) == 3, 100).when(F.length(p) == 2, 10).otherwise(1)
+    many = lambda p: F.when(attempt >= 3, 254).when(F.length(p) == 3, 155).when(F.length(p) == 2, 90).otherwise(9)
+    return F.array_join(F.transform(F.split(v, r"\."), lambda p, i: (least(p) + F.pmod(number(seed, i), many(p))).cast("string")), ".")
 
 
 def picker(names: Column, seed: Column):
@@ -211,23 +211,25 @@ def picker(names: Column, seed: Column):
 
 def name_word(token: Column, kind: Column, seed: Column, attempt: Column) -> Column:
     """A name of the token's kind, script and case. Of later attempts, given names join several, surnames are made of syllables."""
-    lists = {}
-    for script in SURNAMES:
-        male, female = GIVEN[script, "m"].split(), GIVEN[script, "f"].split()
-        for k, names in (("given_m", male), ("given_f", female), ("given_u", male + female), ("surname", SURNAMES[script].split())):
-            lists[script, k] = F.array(*[F.lit(n) for n in names])
-    chosen = None
-    for (script, k), names in lists.items():
-        here = (script_of(token) == script) & (kind == k)
-        # Attempts 0 to 2 draw one name, then two joined, then three and more.
-        many = F.greatest(F.lit(0), F.floor(attempt / 3)).cast("int")
-        word = F.array_join(F.transform(F.sequence(F.lit(0), many), picker(names, seed)), "-")
-        if k == "surname":
-            parts = F.array(*[F.lit(x) for x in SYLLABLES[script].split()])
-            made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(30), 1 + F.floor(attempt / 2)).cast("int")), picker(parts, seed)), ""))
-            word = F.when(attempt >= 2, made).otherwise(word)
-        chosen = F.when(here, word) if chosen is None else chosen.when(here, word)
-    return F.when((token == F.upper(token)) & (F.length(token) > 1), F.upper(chosen)).otherwise(chosen)
+
+    def drawn(x: Column) -> Column:
+        lists = {}
+        for script in SURNAMES:
+            male, female = GIVEN[script, "m"].split(), GIVEN[script, "f"].split()
+            for k, names in (("given_m", male), ("given_f", female), ("given_u", male + female), ("surname", SURNAMES[script].split()), ("syllable", SYLLABLES[script].split())):
+                lists[script, k] = F.array(*[F.lit(n) for n in names])
+        chosen = None
+        for (script, k), names in lists.items():
+            chosen = F.when(x["list"] == f"{script}:{k}", names) if chosen is None else chosen.when(x["list"] == f"{script}:{k}", names)
+        # Attempts 0 to 2 draw one given name, then two joined, then three and more; a surname has two syllables, then more.
+        many = F.when(x["made"], F.least(F.lit(30), 1 + F.floor(x["attempt"] / 2))).otherwise(F.greatest(F.lit(0), F.floor(x["attempt"] / 3))).cast("int")
+        joined = once(chosen, lambda names: F.call_function("array_join", F.transform(F.sequence(F.lit(0), many), picker(names, x["seed"])), F.when(x["made"], "").otherwise("-")))
+        word = once(joined, lambda w: F.when(x["made"], F.initcap(w)).otherwise(w))
+        return F.when((x["token"] == F.upper(x["token"])) & (F.length(x["token"]) > 1), F.upper(word)).otherwise(word)
+
+    made = (kind == "surname") & (attempt >= 2)
+    source = F.concat(script_of(token), F.lit(":"), F.when(made, "syllable").otherwise(kind))
+    return once(F.struct(token.alias("token"), source.alias("list"), made.alias("made"), seed.alias("seed"), attempt.alias("attempt")), drawn)
 
 
 def described(matches: Column) -> Column:
@@ -236,58 +238,67 @@ def described(matches: Column) -> Column:
     return F.transform(kinds, lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), entities(x["v"], x["kind"]).alias("keys")))
 
 
+def drawn_for(entity: Column, key: str, attempt_of, f) -> Column:
+    """f(seed, attempt) of an entity, both worked out once."""
+    seeded = lambda x: F.struct(seed_of(key, x["e"], x["n"]).alias("seed"), x["n"].alias("attempt"))
+    both = once(F.struct(entity.alias("e"), attempt_of(entity).alias("n")), seeded)
+    return once(both, lambda x: f(x["seed"], x["attempt"]))
+
+
 def surrogate(match: Column, key: str, attempt_of) -> Column:
     """The replacement of a described match. attempt_of: from an entity's key to its attempt."""
     v, kind, keys = match["v"], match["kind"], match["keys"]
-    seeded = lambda e: seed_of(key, e, attempt_of(e))
     at = F.instr(v, "@")
     first, second = F.element_at(keys, 1), F.element_at(keys, 2)
     local, domain = F.substring(v, F.lit(1), at - 1), F.substring(v, at + 1, F.length(v))
-    labels = F.split(domain, r"\.")
-    top = F.element_at(labels, -1)
-    grown = lambda e, digits=False: more(seeded(e), attempt_of(e), digits)
-    new_domain = F.concat(like(F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1), seeded(second), F.lit(0), F.lit(False)), grown(second), F.lit("."), top)
-    email = F.concat(like(local, seeded(first), F.lit(0), F.lit(False)), grown(first), F.lit("@"), new_domain)
+    top = F.regexp_extract(domain, r"([^.]*)$", 1)
+    bare = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
+    none, no = F.lit(0), F.lit(False)
+    new_domain = drawn_for(second, key, attempt_of, lambda seed, n: F.concat(like(bare, seed, none, no), more(seed, n), F.lit("."), top))
+    email = F.concat(drawn_for(first, key, attempt_of, lambda seed, n: F.concat(like(local, seed, none, no), more(seed, n))), F.lit("@"), new_domain)
     tokens = name_tokens(v)
 
     def named(t: Column, i: Column) -> Column:
-        k = name_kind(t, i, tokens)
-        e = F.concat(k, F.lit(":"), F.lower(t))
-        return F.when(k.isin("space", "title"), t).otherwise(name_word(t, k, seeded(e), attempt_of(e)))
+        new = lambda k: drawn_for(F.concat(k, F.lit(":"), F.lower(t)), key, attempt_of, lambda seed, n: name_word(t, k, seed, n))
+        return once(name_kind(t, i, tokens), lambda k: F.when(k.isin("space", "title"), t).otherwise(new(k)))
 
     country = F.when(v.startswith("+"), F.length(F.regexp_extract(v, COUNTRY, 1))).otherwise(0)
     kept = F.when(kind == "phone", country).when(v.rlike("^AKIA[0-9A-Z]{16}$"), 4).when(kind == "iban", 2).otherwise(0)
     hexes = kind.isin("key", "value") & v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "name", F.array_join(F.transform(tokens, named), ""))
-        .when(kind == "ip", address(v, seeded(first), attempt_of(first)))
-        .when(kind == "card", card(v, seeded(first)))
-        .otherwise(F.concat(like(v, seeded(first), kept, hexes), F.when(kind == "value", grown(first)).when(kind == "phone", grown(first, True)).otherwise("")))
-    )
+
+    def plain(seed: Column, n: Column) -> Column:
+        grown = F.when(kind == "value", more(seed, n)).when(kind == "phone", more(seed, n, True)).otherwise("")
+        return F.when(kind == "ip", address(v, seed, n)).when(kind == "card", card(v, seed)).otherwise(F.concat(like(v, seed, kept, hexes), grown))
+
+    names = F.array_join(F.transform(tokens, named), "")
+    return F.when(kind == "email", email).when(kind == "name", names).otherwise(drawn_for(first, key, attempt_of, plain))
 
 
 def canonical_surrogate(entity: Column, key: str, attempt: Column) -> Column:
     """What an entity becomes, in canonical form, to compare with other entities."""
     kind, value = F.regexp_extract(entity, "^([a-z_]+):", 1), F.regexp_replace(entity, "^[a-z_]+:", "")
-    seed = seed_of(key, entity, attempt)
-    at = F.instr(value, "@")
-    none = F.lit(0)
-    domain = F.concat(like(F.regexp_replace(value, r"\.[^.]*$", ""), seed, none, F.lit(False)), more(seed, attempt), F.lit("."), F.regexp_extract(value, r"([^.]*)$", 1))
-    # An email's local part alone has to differ within its domain.
-    email = F.concat(like(F.substring(value, F.lit(1), at - 1), seed, none, F.lit(False)), more(seed, attempt), F.substring(value, at, F.length(value)))
-    hexes = kind.isin("key", "value") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    kept = F.when(value.rlike("^AKIA[0-9A-Z]{16}$"), 4).when(kind == "iban", 2).when(kind == "phone", F.length(F.regexp_extract(value, r"^(\d*)\.", 1))).otherwise(0)
-    new = (
-        F.when(kind == "email", email)
-        .when(kind == "domain", domain)
-        .when(kind.isin(*NAME_KINDS), F.lower(name_word(value, kind, seed, attempt)))
-        .when(kind == "ip", address(value, seed, attempt))
-        .when(kind == "card", card(value, seed))
-        .otherwise(F.concat(like(value, seed, kept, hexes), F.when(kind == "value", more(seed, attempt)).when(kind == "phone", more(seed, attempt, True)).otherwise("")))
-    )
-    # Genders share one space of given names.
-    return F.concat(F.when(kind.startswith("given"), "given").otherwise(kind), F.lit(":"), new)
+
+    def made(x: Column) -> Column:
+        kind, value, seed, n = (x[c] for c in ("kind", "value", "seed", "attempt"))
+        at, none, no = F.instr(value, "@"), F.lit(0), F.lit(False)
+        domain = F.concat(like(F.regexp_replace(value, r"\.[^.]*$", ""), seed, none, no), more(seed, n), F.lit("."), F.regexp_extract(value, r"([^.]*)$", 1))
+        # An email's local part alone has to differ within its domain.
+        email = F.concat(like(F.substring(value, F.lit(1), at - 1), seed, none, no), more(seed, n), F.substring(value, at, F.length(value)))
+        hexes = kind.isin("key", "value") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        kept = F.when(value.rlike("^AKIA[0-9A-Z]{16}$"), 4).when(kind == "iban", 2).when(kind == "phone", F.length(F.regexp_extract(value, r"^(\d*)\.", 1))).otherwise(0)
+        grown = F.when(kind == "value", more(seed, n)).when(kind == "phone", more(seed, n, True)).otherwise("")
+        new = (
+            F.when(kind == "email", email)
+            .when(kind == "domain", domain)
+            .when(kind.isin(*NAME_KINDS), F.lower(name_word(value, kind, seed, n)))
+            .when(kind == "ip", address(value, seed, n))
+            .when(kind == "card", card(value, seed))
+            .otherwise(F.concat(like(value, seed, kept, hexes), grown))
+        )
+        # Genders share one space of given names.
+        return F.concat(F.when(kind.startswith("given"), "given").otherwise(kind), F.lit(":"), new)
+
+    return once(F.struct(kind.alias("kind"), value.alias("value"), seed_of(key, entity, attempt).alias("seed"), attempt.alias("attempt")), made)
 
 
 def resolved(found: DataFrame, key: str) -> DataFrame:
@@ -327,7 +338,7 @@ def lone(matches: Column) -> Column:
 def mentions(part: Column, names: Column, key: str, attempt_of) -> Column:
     """A stretch of text between matches with lone names replaced."""
     pattern = F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?iu:"), F.array_join(F.map_keys(names), "|"), F.lit(r")(?!\p{L})"))
-    new = lambda w: once(F.element_at(names, F.lower(w)), lambda e: name_word(w, F.regexp_extract(e, "^([a-z_]+):", 1), seed_of(key, e, attempt_of(e)), attempt_of(e)))
+    new = lambda w: once(F.element_at(names, F.lower(w)), lambda e: drawn_for(e, key, attempt_of, lambda seed, n: name_word(w, F.regexp_extract(e, "^([a-z_]+):", 1), seed, n)))
     found = F.regexp_extract_all(part, pattern, F.lit(0))
     return F.array_join(F.zip_with(F.split(part, pattern, F.lit(-1)), F.transform(found, new), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
 
