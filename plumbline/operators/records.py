@@ -242,3 +242,33 @@ def digest_check(log: DataFrame, cache: DataFrame, key: str, digest: str) -> Dat
     """Rows of the log with status: ok, mismatch, or missing from the cache, by the digest made anew there."""
     out = log.select(key, digest).join(cache.select(key, F.col(digest).alias("__again")), key, "left")
     return out.withColumn("status", F.when(F.col("__again").isNull(), "missing").when(F.col("__again") == F.col(digest), "ok").otherwise("mismatch")).drop("__again")
+
+
+def premise_pair(state: Column) -> Column:
+    """(premise, hypothesis) of a JSON state; null unless both are there and not blank."""
+    one = lambda k: F.nullif(F.trim(F.get_json_object(state, f"$.{k}")), F.lit(""))
+    a, b = one("premise"), one("hypothesis")
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("premise"), b.alias("hypothesis")))
+
+
+def source_of(items: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """(item_id, source) of the items whose source is one of the allowed."""
+    return items.where(F.col("source").isin(*allowed)).select("item_id", "source")
+
+
+def public(items: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns that may be shown, in this order, of those that items has."""
+    return items.select(*[c for c in columns if c in items.columns])
+
+
+def paraphrase_faults(rows: DataFrame) -> DataFrame:
+    """Paraphrases (item_id, text, source_text, tier) that equal their source, or whose tier isn't easy or hard."""
+    same = F.trim("text").eqNullSafe(F.trim("source_text"))
+    return rows.where(same | ~F.coalesce(F.col("tier").isin("easy", "hard"), F.lit(False))).select("item_id", same.alias("same"))
+
+
+def unsafe(rows: DataFrame, body: str, status: str, allowed: tuple[str, ...], forbidden: tuple[str, ...]) -> DataFrame:
+    """Rows whose status isn't one of the allowed, or whose request body holds a forbidden token, with what is wrong."""
+    held = F.filter(F.array(*[F.lit(t) for t in forbidden]), lambda t: F.contains(F.lower(F.coalesce(F.col(body), F.lit(""))), F.lower(t)))
+    odd = ~F.coalesce(F.col(status).isin(*allowed), F.lit(False))
+    return rows.withColumns({"bad_status": odd, "tokens": held}).where(odd | (F.size("tokens") > 0))

@@ -312,3 +312,30 @@ def client_versions(spark, sf):
     from plumbline.operators import stability
 
     return stability.versions(V.table(spark, sf, "events"), "user_id", "event_type")
+
+
+@query("SELECT c.conv_id AS item_id, c.turn, d.lang AS source FROM conversations c LEFT JOIN (SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')) d ON d.doc_id = c.turn * 7")
+def sources_of_rows(spark, sf):
+    items = V.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("source"))
+    rows = V.table(spark, sf, "conversations").select(F.col("conv_id"), "turn", (F.col("turn") * 7).alias("key"))
+    found = records.source_of(items, ("en", "de")).withColumnRenamed("item_id", "key")
+    return rows.join(found, "key", "left").select(F.col("conv_id").alias("item_id"), "turn", "source")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS premise FROM events")
+def premise_pairs(spark, sf):
+    state = F.to_json(F.struct(F.col("event_type").alias("premise"), F.when(F.col("event_id") % 3 == 0, " ").otherwise("h").alias("hypothesis")))
+    return V.table(spark, sf, "events").select("event_id", records.premise_pair(state)["premise"].alias("premise"))
+
+
+@query("SELECT doc_id AS item_id, doc_id % 4 = 0 AS same FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0")
+def paraphrase_faults(spark, sf):
+    text = F.concat_ws(":", "source", "doc_id")
+    rows = V.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.concat(text, F.when(F.col("doc_id") % 4 == 0, " ").otherwise("!")).alias("text"), text.alias("source_text"), F.when(F.col("doc_id") % 5 == 0, "mid").otherwise("easy").alias("tier"))
+    return records.paraphrase_faults(rows)
+
+
+@query("SELECT doc_id, lang NOT IN ('en', 'de', 'fr') OR lang IS NULL AS bad_status, CASE WHEN contains(lower(text), 'password') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 1 ELSE 0 END AS n FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de', 'fr') OR contains(lower(text), 'password') OR contains(lower(text), 'license')")
+def unsafe_requests(spark, sf):
+    out = records.unsafe(V.table(spark, sf, "documents"), "text", "lang", ("en", "de", "fr"), ("Password", "license"))
+    return out.select("doc_id", "bad_status", F.size("tokens").alias("n"))
