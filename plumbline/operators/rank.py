@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.tables import stored
 
-CELLS = 200
+CELLS = 256  # a power of two: a value's cell is found by halving
 
 
 def cumulate(df: DataFrame, by: list[str], x: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
@@ -20,7 +20,13 @@ def cumulate(df: DataFrame, by: list[str], x: str, sums: dict[str, Column], desc
     values = df.groupBy(*by, x).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     borders = values.groupBy(*by).agg(F.percentile_approx(x, [i / CELLS for i in range(1, CELLS)], 1000).alias("__borders"))
     placed = values.join(borders, by) if by else values.crossJoin(F.broadcast(borders))
-    placed = placed.withColumn("__cell", F.size(F.filter("__borders", lambda b: b < F.col(x)))).drop("__borders")
+    placed = placed.withColumn("__cell", F.lit(0))
+    step = CELLS // 2
+    while step:  # the number of borders below x
+        at = F.col("__cell") + step
+        placed = placed.withColumn("__cell", F.when(F.element_at("__borders", at) < F.col(x), at).otherwise(F.col("__cell")))
+        step //= 2
+    placed = placed.drop("__borders")
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     before = Window.partitionBy(*by).orderBy(order("__cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy(*by, "__cell").agg(*[F.sum(n).alias(n) for n in sums])
