@@ -108,7 +108,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes, sizes = ([np.asarray(s.field(f), np.int64) for s in (left, right)] for f in ("node", "n"))
             lanes = [np.asarray(s.field("lanes").flatten(), np.int64).view(np.uint64).reshape(-1, LANES) for s in (left, right)]
             most = [radius(s, 64 * LANES) for s in sizes]
-            first = 64 * DIFFER[1] + 4.5 * np.sqrt(64 * DIFFER[1] * (1 - DIFFER[1]))
+            p = DIFFER[int(min(s.min() for s in sizes) < FEW)]
+            first = 64 * p + 4.5 * np.sqrt(64 * p * (1 - p))
             found = []
             step = max(1, (1 << 20) // len(nodes[1]))
             for at in range(0, len(nodes[0]), step):
