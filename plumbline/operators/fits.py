@@ -89,7 +89,7 @@ def features(signals: Column, names: list[str]) -> Column:
     return F.array(*[F.coalesce(F.try_element_at(signals, F.lit(n)), F.lit(0.0)) for n in names])
 
 
-def _sums(df: DataFrame, models: list[dict], weights: np.ndarray, classes: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(df: DataFrame, models: list[dict], weights: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gradients, Hessians and numbers of rows of softmax models over the rows that each trains on, in one pass."""
     d = weights.shape[1]
 
@@ -137,7 +137,7 @@ def softmax_models(df: DataFrame, models: list[dict], classes: int, *, rounds: i
     w = np.zeros((len(models), d, classes))
     free = np.tile(np.append(np.ones(d - 1), 1e-8), classes)
     for _ in range(rounds):
-        grad, hess, n = _sums(df, models, w, classes, rounds)
+        grad, hess, n = _sums(df, models, w, classes)
         moved = 0.0
         for m, model in enumerate(models):
             if n[m]:
