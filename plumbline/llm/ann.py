@@ -4,8 +4,7 @@ Vectors are lifted by one coordinate that turns the largest inner product into t
 seeded orthogonal matrix, and dealt to the inverted lists of centroids fitted on a bounded sample. A list is stored
 in blocks, each block's rotated vectors in column blocks of STEP dimensions. A query scans its probed lists: partial
 distances grow column block by column block, and after each a hypothesis test abandons candidates whose scaled
-partial distance is beyond the k-th best distance so far, which starts, for every list and block alike, with the query's
-k-th best in the sample. Survivors are scored by the exact inner product of the
+partial distance is beyond the k-th best distance so far. Survivors are scored by the exact inner product of the
 original vectors in double precision.
 
 Every vector is indexed, and every list is scanned in full for the queries that probe it: a crowded list is more
@@ -80,17 +79,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def scan(block: np.ndarray, ids: np.ndarray, original: np.ndarray, q: np.ndarray, q_original: np.ndarray, q_id: int, k: int, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+def scan(block: np.ndarray, ids: np.ndarray, original: np.ndarray, q: np.ndarray, q_original: np.ndarray, q_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and exact scores of the k nearest of a block, by scaled partial distances over column blocks.
 
-    block: rotated vectors by dimension (dimensions first), in single precision; limit: a bound of the k-th best squared distance."""
+    block: rotated vectors by dimension (dimensions first), in single precision."""
     alive = np.flatnonzero(ids != q_id)
     if not len(alive):
         return ids[:0], np.zeros(0)
     d = len(block)
     first = alive[: max(4 * k, 64)]
     whole = ((block[:, first] - q[:, None]) ** 2).sum(0)
-    limit = min(limit, float(np.sort(whole)[k - 1])) * (1 + 1e-4) if len(first) >= k else limit * (1 + 1e-4)  # single precision
+    limit = float(np.sort(whole)[k - 1]) * (1 + 1e-4) if len(first) >= k else np.inf  # single precision
     partial = np.zeros(len(alive))
     for at in range(0, d, STEP):
         to = min(at + STEP, d)
@@ -121,16 +120,15 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "v
     whole = whole.where(F.size(e) == dim)
     limit = whole.select(F.sqrt(F.max(F.aggregate(e, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))).first()[0]
     drawn = whole.where(F.pmod(F.xxhash64("e"), F.lit(1 << 30)) / float(1 << 30) < 0.95 * sample / n) if n > sample else whole
-    rows = drawn.select("id", "e").limit(sample).collect()
-    points, point_ids = np.array([r["e"] for r in rows] or [[0.0] * dim], float), np.array([r["id"] for r in rows] or [0])
+    points = np.array([r[0] for r in drawn.select("e").limit(sample).collect()] or [[0.0] * dim], float)
     turn = rotation(dim + 1)
     lists = lists or int(np.clip(np.sqrt(n) / 2, 1, MAX_LISTS))
     c = centroids(lift(points, limit) @ turn, lists)
     probes = probes or calibrated(points, limit, turn, c, k, recall)
-    shared = spark.sparkContext.broadcast((turn, c, limit, lift(points, limit) @ turn, point_ids))
+    shared = spark.sparkContext.broadcast((turn, c, limit))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, c, limit = shared.value[:3]
+        turn, c, limit = shared.value
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(2)).astype(float)
@@ -144,33 +142,27 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "v
     held = np.array([counts.get(i, 0) for i in range(len(c))])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, c, limit, known, known_ids = shared.value
-        size = (known**2).sum(1)
+        turn, c, limit = shared.value
         for batch in batches:
             if batch.num_rows:
-                x, own = matrix(batch.column(1)).astype(float), np.asarray(batch.column(0))
+                x = matrix(batch.column(1)).astype(float)
                 rotated = np.hstack([x, np.zeros((len(x), 1))]) @ turn
                 order = ((c**2).sum(1) - 2 * rotated @ c.T).argsort(1, kind="stable")
                 enough = np.maximum(probes, (np.cumsum(held[order], 1) < 4 * k + 1).sum(1) + 1)
-                best = np.full(len(x), np.inf)
-                for i, q in enumerate(rotated):
-                    near = (size - 2 * known @ q + q @ q)[known_ids != own[i]]
-                    if len(near) >= k:
-                        best[i] = np.partition(near, k - 1)[k - 1]
                 take = [o[:m][held[o[:m]] > 0] for o, m in zip(order, enough, strict=True)]
                 many = [len(t) for t in take]
                 row = pa.array(np.repeat(np.arange(len(x)), many))
                 flat = pa.array(rotated.ravel().astype(np.float32))
                 r = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim + 1), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), r.take(row), pa.array(best).take(row), pa.array(np.concatenate(take), pa.int32())], names=["id", "e", "r", "best", "list"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), r.take(row), pa.array(np.concatenate(take), pa.int32())], names=["id", "e", "r", "list"])
 
     sizes = F.array(*[F.lit(int(max(1, -(-m // BLOCK)))) for m in held])
     part = F.pmod(F.xxhash64("id", "r"), F.element_at(sizes, F.col("list") + 1)).cast("int")
     blocks = placed.withColumn("part", part).groupBy("list", "part").agg(F.collect_list(F.struct("id", "e", "r")).alias("rows"))
-    asked = placed.where("query").select("id", "e").distinct().mapInArrow(probe, f"id long, e array<{number}>, r array<float>, best double, list int")
+    asked = placed.where("query").select("id", "e").distinct().mapInArrow(probe, f"id long, e array<{number}>, r array<float>, list int")
     # Queries of a list in groups of some QUERIES, each group scanned against each block of the list.
     group = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // (20 * QUERIES * 4))))).cast("int")
-    asked = asked.groupBy("list", group.alias("group")).agg(F.collect_list(F.struct("id", "e", "r", "best")).alias("asked"))
+    asked = asked.groupBy("list", group.alias("group")).agg(F.collect_list(F.struct("id", "e", "r")).alias("asked"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,8 +170,8 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "v
                 queries, rows = batch.column(0)[i].values, batch.column(1)[i].values
                 ids, original, block = np.asarray(rows.field("id")), matrix(rows.field("e")).astype(float), np.ascontiguousarray(matrix(rows.field("r")).T)
                 out: list[tuple[np.ndarray, ...]] = []
-                for q_id, q_original, q, best in zip(np.asarray(queries.field("id")).tolist(), matrix(queries.field("e")).astype(float), matrix(queries.field("r")), np.asarray(queries.field("best")).tolist(), strict=True):
-                    found, score = scan(block, ids, original, q, q_original, q_id, k, best)
+                for q_id, q_original, q in zip(np.asarray(queries.field("id")).tolist(), matrix(queries.field("e")).astype(float), matrix(queries.field("r")), strict=True):
+                    found, score = scan(block, ids, original, q, q_original, q_id, k)
                     out.append((np.full(len(found), q_id), found, score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 

@@ -32,6 +32,7 @@ def recall(spark, x, k=20):
         score[q] = -np.inf
         least = np.sort(score)[-k]
         hits, n = hits + int((part.score >= least - 1e-9).sum()), n + k
+    assert len(got) == n  # k of each query, however many lists it probes
     return hits / n
 
 
