@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, katz, langid, mixing, pii, quality, simhash, tokencount, toxicity
+from plumbline.llm import ann, audit, decontaminate, katz, langid, licenses, mixing, pii, quality, simhash, tokencount, toxicity, whitening
 from plumbline.llm.common import crc_bucket, read
 
 
@@ -63,5 +63,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_pii_surrogates, op3_mixing, op4_toxicity, op5_katz_scores, op6_nearest_neighbours, op7_simhash_near_dedup, op8_language_id, op9_decontamination, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", *[c.alias(name) for name, c in licenses.digest(F.col("found")).items()])
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = [op1_quality, op2_pii_surrogates, op3_mixing, op4_toxicity, op5_katz_scores, op6_nearest_neighbours, op7_simhash_near_dedup, op8_language_id, op9_decontamination, op10_token_counts, op11_filter_audit, op12_license_scan, op13_embedding_whitening]
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES: dict[str, str] = {"op11_filter_audit": audit.ORACLE_SQL, "op12_license_scan": licenses.oracle_sql()}
