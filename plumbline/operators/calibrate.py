@@ -41,7 +41,7 @@ def quantile_ece(df: DataFrame, by: list[str], bins: int = 10, conf: str = "conf
     step = lambda s, q: F.concat(s, F.array(F.when(q <= F.element_at(s, -1), F.least(F.lit(1.0), F.element_at(s, -1) + 1e-12)).otherwise(q)))
     at = quantiles(df, by, conf, {f"q{i}": i / bins for i in range(bins + 1)}).withColumn("q", F.array(*[F.col(f"q{i}") for i in range(bins + 1)]))
     edges = at.select(*by, F.aggregate(F.slice("q", 2, bins), F.slice("q", 1, 1), step).alias("edges"))
-    placed = df.join(F.broadcast(edges) if not by else edges, by) if by else df.crossJoin(edges)
+    placed = df.join(edges, by) if by else df.crossJoin(F.broadcast(edges))
     bin_of = F.size(F.filter(F.slice("edges", 2, bins - 1), lambda e: e <= F.col(conf)))
     return ece(reliability(placed, by, bin_of, conf=conf, correct=correct), by)
 

@@ -165,3 +165,29 @@ def ecdf(df: DataFrame, by: list[str], x: str) -> DataFrame:
     size = df.groupBy(*by).agg(F.count("*").alias("size"))
     c = cumulate(df, by, x, {"n": F.lit(1).cast("long")})
     return (c.join(size, by) if by else c.crossJoin(F.broadcast(size))).select(*by, x, (F.col("cum_n") / F.col("size")).alias("share"))
+
+
+def rank_matrix(df: DataFrame, item: str, columns: list[str]) -> DataFrame:
+    """(a, b, n, rho, p) of each pair of columns, a before b: Spearman's correlation over the rows without a null among
+    the columns, and its two-sided p. Columns are ranked together: one row per column and item, one `cumulate` by column,
+    one regrouping by item, and all cross products in one aggregate, whatever the number of columns. Items that repeat
+    are rows of their own."""
+    from plumbline.functions.expr import spearman_p
+
+    whole = df.select(F.col(item).alias("__item"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=columns)
+    same = whole.groupBy("__item", *columns).agg(F.count("*").alias("__n"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("__k"), F.col(c).alias("__x")) for i, c in enumerate(columns)]))
+    long = stored(same.withColumn("__row", F.xxhash64("__item", *columns)).select("__item", "__row", "__n", each.alias("e")).select("__item", "__row", "__n", "e.*"))
+    counts = stored(long.groupBy("__k", "__x").agg(F.sum("__n").alias("n")))
+    c = cumulate(counts, ["__k"], "__x", {"n": F.col("n")}).select("__k", "__x", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("__r"))
+    # Ranks less the middle one keep their digits in sums of products.
+    middle = same.agg(((F.sum("__n") + 1) / 2).alias("__m"))
+    placed = long.join(c, ["__k", "__x"]).crossJoin(F.broadcast(middle)).withColumn("__r", F.col("__r") - F.col("__m"))
+    wide = placed.groupBy("__item", "__row").agg(F.max("__n").alias("__n"), *[F.max(F.when(F.col("__k") == i, F.col("__r"))).alias(f"__{i}") for i in range(len(columns))])
+    k = range(len(columns))
+    sums = wide.agg(F.sum("__n").alias("n"), *[F.sum(F.col("__n") * F.col(f"__{i}") * F.col(f"__{j}")).alias(f"s{i}_{j}") for i in k for j in k if i <= j])
+    pairs = F.explode(F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"s{i}_{j}").alias("ab"), F.col(f"s{i}_{i}").alias("aa"), F.col(f"s{j}_{j}").alias("bb")) for i in k for j in k if i < j]))
+    out = sums.where("n > 0").select("n", pairs.alias("p")).select("p.a", "p.b", "n", *[F.col(f"p.{c}") for c in ("ab", "aa", "bb")])
+    spread = (F.col("aa") > 0) & (F.col("bb") > 0)
+    rho = F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ab") / F.sqrt(F.when(spread, F.col("aa") * F.col("bb"))))))
+    return out.select("a", "b", "n", rho.alias("rho")).withColumn("p", spearman_p(F.col("rho"), F.col("n")))

@@ -8,7 +8,7 @@ closed form from bin sums, one per row, so nothing is computed anew for each ite
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from statistics import NormalDist
 
 import numpy as np
@@ -172,14 +172,9 @@ def paired_delta_ece(df: DataFrame, item: str, model: str, a, b, bins: int = 10,
 
 def auroc_bootstrap(df: DataFrame, x: str, y: str, item: str, *, replicates: int = 100, seed: int = 1) -> DataFrame:
     """AUROC with its 95 % percentile interval: every replicate's weighted area, ties by half; one without a class is left out."""
-    from plumbline.operators.rank import auroc, cumulate
+    from plumbline.operators.rankboot import interval
 
-    rows = stored(df.select(x, y, item))
-    w = F.col("weight").cast("long")
-    c = cumulate(weighted(rows, item, replicates, seed), ["rep"], x, {"pos": w * F.col(y).cast("long"), "neg": w * (1 - F.col(y).cast("long"))})
-    pairs = F.sum("pos") * F.sum("neg")
-    reps = c.groupBy("rep").agg(F.when(pairs > 0, F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)) / F.when(pairs > 0, pairs)).alias("area"))
-    return auroc(rows, [], x, y).crossJoin(F.broadcast(percentiles(reps, [], "area", low=0.025, high=0.975)))
+    return interval(df, "auroc", x, y, item, replicates=replicates, seed=seed).select(F.col("point").alias("auroc"), "low", "high")
 
 
 def slope_interval(df: DataFrame, tier: str, item: str, bins: int = 10, *, replicates: int = 100, seed: int = 1) -> DataFrame:
@@ -285,8 +280,14 @@ def corrected_delta_ece(df: DataFrame, stratum: str, hard: str, easy: str, item:
 
 
 def p_holds(df: DataFrame, reference: DataFrame, value: str) -> DataFrame:
-    """df with p_holds: the share of reference's d at or below the value. reference is a small table of simulated differences,
-    as its sorted values are one array."""
-    known = reference.agg(F.sort_array(F.collect_list("d")).alias("__ref"))
-    out = df.crossJoin(F.broadcast(known))
-    return out.withColumn("p_holds", F.size(F.filter("__ref", lambda d: d <= F.col(value))) / F.nullif(F.size("__ref"), F.lit(0))).drop("__ref")
+    """df with p_holds: the share of reference's d at or below the value; null for a null value or an empty reference. Both
+    sides' distinct values are cut into the same cells in one running sum, so neither of them is an array or a broadcast."""
+    from plumbline.operators.rank import cumulate
+
+    x = F.col(value).cast("double")
+    both = reference.select(F.col("d").cast("double").alias("__x"), F.lit(1).cast("long").alias("__d")).union(df.select(x.alias("__x"), F.lit(0).cast("long").alias("__d"))).where("__x is not null")
+    values = stored(both.groupBy("__x").agg(F.sum("__d").alias("__d")))
+    c = cumulate(values, [], "__x", {"__d": F.col("__d")}).select("__x", F.col("cum___d").alias("__below"))
+    size = reference.agg(F.count("d").alias("__size"))
+    out = df.withColumn("__x", x).join(c, "__x", "left").crossJoin(F.broadcast(size))
+    return out.withColumn("p_holds", F.col("__below") / F.nullif(F.col("__size"), F.lit(0))).drop("__x", "__below", "__size")

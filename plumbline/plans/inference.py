@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import expr as X
-from plumbline.operators import agree, calibrate, fits, rank, resample, stability
+from plumbline.operators import agree, calibrate, fits, fixed, rank, rankboot, resample, stability
 from plumbline.plans import views as V
 from plumbline.plans.queries import _BOOT, _DE, _U, horner, query, r9
 
@@ -105,6 +105,53 @@ def auroc_interval(spark, sf):
     return resample.auroc_bootstrap(V.binary(spark, sf), "p", "y", "doc_id").select(*r9("auroc", "low", "high"))
 
 
+#: Ranks of {x} weighted by w, ties averaged, in every replicate of {src}.
+_WRANK = "(SELECT rep, {x}, sum(t) OVER (PARTITION BY rep ORDER BY {x}) - t + (t + 1) / 2 AS r{x} FROM (SELECT rep, {x}, sum(w) AS t FROM {src} WHERE w > 0 GROUP BY 1, 2))"
+_WRHO = "(sum(w * r{a} * r{b}) / sum(w) - sum(w * r{a}) / sum(w) * sum(w * r{b}) / sum(w)) / sqrt((sum(w * r{a} * r{a}) / sum(w) - (sum(w * r{a}) / sum(w)) ** 2) * (sum(w * r{b} * r{b}) / sum(w) - (sum(w * r{b}) / sum(w)) ** 2))"
+_AREA = "(SELECT rep, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS area FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY {x} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT rep, {x}, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM {src} WHERE w > 0 GROUP BY 1, 2)) GROUP BY 1)"
+
+
+@query(", c9 AS (SELECT item, round(conf, 9) AS conf, entropy FROM cal)" + _BOOT.format(cols="conf, entropy", item="item", src="c9") + ", o AS (SELECT 0 AS rep, *, 1 AS w FROM c9), rc AS " + _WRANK.format(x="conf", src="w") + ", re AS " + _WRANK.format(x="entropy", src="w") + ", oc AS " + _WRANK.format(x="conf", src="o") + ", oe AS " + _WRANK.format(x="entropy", src="o") + """,
+    s AS (SELECT rep, """ + _WRHO.format(a="conf", b="entropy") + """ AS rho FROM w JOIN rc USING (rep, conf) JOIN re USING (rep, entropy) WHERE w > 0 GROUP BY 1)
+    SELECT (SELECT round(""" + _WRHO.format(a="conf", b="entropy") + ", 9) FROM o JOIN oc USING (rep, conf) JOIN oe USING (rep, entropy)) AS point, " + _CI.format(x="rho") + ", count(rho) AS replicates FROM s")
+def spearman_interval(spark, sf):
+    rows = V.calibration(spark, sf).select("item", F.round("conf", 9).alias("conf"), "entropy")
+    return rankboot.interval(rows, "spearman", "conf", "entropy", "item").select("replicates", *r9("point", "low", "high"))
+
+
+@query(_BOOT.format(cols="p, conf, y", item="doc_id", src="bina") + ", o AS (SELECT 0 AS rep, *, 1 AS w FROM bina), a AS " + _AREA.format(x="p", src="w") + ", b AS " + _AREA.format(x="conf", src="w") + ", oa AS " + _AREA.format(x="p", src="o") + ", ob AS " + _AREA.format(x="conf", src="o") + """,
+    d AS (SELECT a.area - b.area AS d FROM a JOIN b USING (rep)), ci AS (SELECT """ + _CI.format(x="d") + """, count(d) AS replicates FROM d)
+    SELECT round(oa.area - ob.area, 9) AS point, low, high, replicates, (low < 0 AND high > 0) AS crosses_zero FROM oa, ob, ci""")
+def paired_auroc_difference(spark, sf):
+    rows = V.binary(spark, sf)
+    return rankboot.difference(rows, "auroc", "p", "conf", "y", "doc_id").select("replicates", "crosses_zero", *r9("point", "low", "high"))
+
+
+#: Both tails of Student's t for a whole number of degrees of freedom, by its finite sum over powers of a cosine.
+_TAILS = """1 - CASE WHEN {v} % 2 = 0 THEN sin({th}) * (1 + coalesce(list_sum([exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * cos({th}) ** (2 * j) FOR j IN range(1, {v} // 2)]), 0))
+    ELSE 2 / pi() * ({th} + CASE WHEN {v} = 1 THEN 0 ELSE sin({th}) * cos({th}) * (1 + coalesce(list_sum([exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * cos({th}) ** (2 * j) FOR j IN range(1, ({v} - 1) // 2)]), 0)) END) END"""
+
+
+@query(""", g0 AS (SELECT item, [round(conf, 9), entropy, round(list_reverse_sort(probs)[1] - list_reverse_sort(probs)[2], 9), round((abs(probs[1] - label_dist[1]) + abs(probs[2] - label_dist[2]) + abs(probs[3] - label_dist[3])) / 2, 9)] AS v FROM cal),
+    g AS (SELECT item, k, v[k] AS x FROM g0, (SELECT unnest([1, 2, 3, 4]) AS k)),
+    r AS (SELECT item, k, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2 AS r FROM g),
+    q AS (SELECT a.k AS ka, b.k AS kb, count(*) AS n, corr(a.r, b.r) AS rho FROM r a JOIN r b USING (item) WHERE a.k < b.k GROUP BY 1, 2),
+    t AS (SELECT *, (n - 2)::BIGINT AS v, atan(abs(rho) * sqrt((n - 2) / (1 - rho * rho)) / sqrt(n - 2)) AS th FROM q)
+    SELECT ['conf', 'entropy', 'margin', 'tvd'][ka] AS a, ['conf', 'entropy', 'margin', 'tvd'][kb] AS b, n, round(rho, 9) AS rho, round(""" + _TAILS.format(v="v", th="th") + ", 9) + 0.0 AS p FROM t")
+def rank_correlations(spark, sf):
+    """The six pairs of four signals, with p."""
+    p, d = F.col("probs"), F.col("label_dist")
+    rows = V.calibration(spark, sf).select("item", "entropy", *[F.round(c, 9).alias(n) for n, c in (("conf", F.col("conf")), ("margin", X.margin(p)), ("tvd", X.tvd(p, d)))])
+    return rank.rank_matrix(rows, "item", ["conf", "entropy", "margin", "tvd"]).select("a", "b", "n", *r9("rho", "p"))
+
+
+@query()
+def delta_ece_fixed_n(spark, sf):
+    """The difference of ECE with replicates of as many rows as each stratum has; a tree of binomials has no SQL."""
+    out = fixed.delta_ece(V.calibration(spark, sf), "stratum", "hard", "easy", X.bin_digitize(F.col("conf"), 10), "item")
+    return out.select(*r9("ece_hard", "ece_easy", "delta", "low", "high"))
+
+
 _SLOPES = """SELECT {rep} count(*) AS tiers, CASE WHEN min(n) >= 2 AND max(accuracy) - min(accuracy) > 1e-9 THEN regr_slope(ece, accuracy) END AS slope FROM (
     SELECT {rep} lang, sum(n) AS n, sum(n * abs(mc - mp)) / sum(n) AS ece, sum(n * mc) / sum(n) AS accuracy FROM (
     SELECT {rep} lang, bin, sum(w) AS n, sum(w * correct) / sum(w) AS mc, sum(w * conf) / sum(w) AS mp FROM {src} WHERE w > 0 GROUP BY ALL) GROUP BY ALL) {end}"""
