@@ -190,38 +190,44 @@ def log_gamma(x: Column) -> Column:
     return 0.9189385332046727 + (x - 0.5) * F.ln(t) - t + F.ln(series)
 
 
-def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
-    """The regularised incomplete beta function, x within 0 and 1: its continued fraction by Lentz's method, on the side
-    where it converges within some square roots of the larger parameter."""
-    tiny = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+def log_beta_half(a: Column) -> Column:
+    """The logarithm of the beta function of a (from 0.5 on) and 1/2; far out by the series of the gamma functions' ratio,
+    whose logarithms would cancel there."""
+    ratio = 0.5 * F.ln(a) - 1 / (8 * a) + 1 / (192 * F.pow(a, 3)) - 1 / (640 * F.pow(a, 5))
+    return 0.5723649429247001 - F.when(a > 100, ratio).otherwise(log_gamma(a + 0.5) - log_gamma(a))
+
 
-    def fraction(x: Column, a: Column, b: Column) -> Column:
-        def turn(s: Column, m: Column) -> Column:
-            def half(s: Column, top: Column) -> Column:
-                d = 1.0 / tiny(1.0 + top * s["d"])
-                c = tiny(1.0 + top / s["c"])
-                return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+def beta_fraction(x: Column, a: Column, b: Column) -> Column:
+    """The continued fraction of the incomplete beta function by Lentz's method; it converges within some square roots of the
+    larger parameter for x below (a + 1) / (a + b + 2)."""
+    tiny = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
 
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            # The first half's values are used by the second one several times: named once, by a one-element array.
-            return F.element_at(F.transform(F.array(half(s, even)), lambda u: half(u, odd)), 1)
+    def half(s: Column, top: Column) -> Column:
+        d = 1.0 / tiny(1.0 + top * s["d"])
+        c = tiny(1.0 + top / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
 
-        first = 1.0 / tiny(1.0 - (a + b) * x / (a + 1))
-        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
-        steps = F.sequence(F.lit(1), F.least(F.lit(20_000), (60 + 4 * F.sqrt(F.greatest(a, b))).cast("int")))
-        return F.aggregate(F.transform(steps, lambda m: m.cast("double")), start, turn, lambda s: s["h"])
+    def turn(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        # An array of one names the first half's values, which the second uses several times.
+        return F.element_at(F.transform(F.array(half(s, even)), lambda u: half(u, odd)), 1)
 
-    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
-    near = x < (a + 1) / (a + b + 2)
-    inner = F.when(near, front * fraction(x, a, b) / a).otherwise(1 - front * fraction(1 - x, b, a) / b)
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inner)
+    first = 1.0 / tiny(1.0 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    steps = F.sequence(F.lit(1), F.least(F.lit(20_000), (60 + 4 * F.sqrt(F.greatest(a, b))).cast("int")))
+    return F.aggregate(F.transform(steps, lambda m: m.cast("double")), start, turn, lambda s: s["h"])
 
 
 def t_tails(t: Column, df: Column) -> Column:
-    """Both tails of Student's t beyond |t|."""
-    x = df / (df + t * t)
-    return incomplete_beta(x, df / 2, F.lit(0.5))
+    """Both tails of Student's t beyond |t|: the incomplete beta function of df / (df + t * t) with df / 2 and 1/2, from
+    the side where its fraction converges."""
+    a, b = df / 2, F.lit(0.5)
+    y = t * t / (df + t * t)
+    front = F.exp(a * F.log1p(-y) + b * F.ln(y) - log_beta_half(a))
+    far = front * beta_fraction(1 - y, a, b) / a
+    near = 1 - front * beta_fraction(y, b, a) / b
+    return F.when(t == 0, 1.0).otherwise(F.when(1 - y < (a + 1) / (a + b + 2), far).otherwise(near))
 
 
 def spearman_p(rho: Column, n: Column) -> Column:
@@ -230,3 +236,32 @@ def spearman_p(rho: Column, n: Column) -> Column:
     free = 1 - rho * rho
     t = rho * F.sqrt((n - 2) / F.when(free > 0, free))
     return F.when((n < 4) | rho.isNull(), None).when(free <= 0, 0.0).otherwise(t_tails(t, (n - 2).cast("double")))
+
+
+def sentinels(options: Column, seed: int, *key: Column, alphabet: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> Column:
+    """A letter for each option, in order of options: the first letters, permuted by keyed draws of (seed, key, place); an
+    error for more options than letters."""
+    letters = F.array(*[F.lit(c) for c in alphabet])
+    drawn = F.transform(options, lambda _, i: F.struct(keyed(F.lit(seed), *key, i).alias("u"), i.alias("i")))
+    order = F.transform(F.array_sort(drawn), lambda d: d["i"])
+    named = F.transform(options, lambda _, i: F.get(letters, F.array_position(order, i).cast("int") - 1))
+    return F.when(F.size(options) <= len(alphabet), named).otherwise(F.raise_error(F.lit(f"more than {len(alphabet)} options")).cast("array<string>"))
+
+
+def by_option(options: Column, letters: Column, scores: Column) -> Column:
+    """Scores keyed by letters (a map) as an array in order of options; null for a letter that has none. The inverse of
+    sentinels(): letters name options, whatever the permutation."""
+    return F.transform(options, lambda _, i: F.try_element_at(scores, F.get(letters, i)))
+
+
+def softmax_logs(logs: Column) -> Column:
+    """Probabilities of log-probabilities over the options asked for; null, NaN and infinite ones count as 0, and so do
+    all where none is finite."""
+    known = F.transform(logs, lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x))
+    raised = F.transform(known, lambda x: F.coalesce(F.exp(x - F.array_max(known)), F.lit(0.0)))
+    return F.transform(raised, lambda x: F.coalesce(x / F.nullif(total(raised), F.lit(0.0)), F.lit(0.0)))
+
+
+def expected_score(p: Column, levels: Column) -> Column:
+    """The mean level under the probabilities; a number, never rounded."""
+    return total(F.zip_with(p, levels, lambda a, b: a * b))

@@ -159,6 +159,36 @@ def error_decision(question: Column, kind: Column) -> Column:
     return F.struct(question.alias("question_id"), kind.alias("kind"), F.lit(None).cast("string").alias("choice"), F.when(kind == "noul", 0.0).alias("value"), F.lit(None).cast("map<string,double>").alias("probabilities"), F.lit(None).cast("double").alias("latency_ms"), F.lit(None).cast("string").alias("model"))
 
 
+def answered(asked: DataFrame, responses: DataFrame, item: str = "item_id") -> DataFrame:
+    """A row for each question asked (item, question_id, kind), whatever the response: value (text of a choice), number
+    (yes-no and score), probabilities, confidence (never of a yes-no answer), model, tokens and error. responses: item and
+    body, wire JSON read as VARIANT: {"model", "usage": {"input_tokens", "output_tokens"}, "answers": {name: {...}}}. A
+    question without an answer, and an answer without its field, becomes an error row with a kind's empty value, never a
+    missing one; answers that nobody asked for are left out. A body that isn't a JSON object answers nothing."""
+    v = F.try_parse_json("body")
+    tokens = [F.coalesce(F.try_variant_get(v, f"$.usage.{t}", "long"), F.lit(0).cast("long")).alias(t) for t in ("input_tokens", "output_tokens")]
+    read = responses.select(item, (~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))).alias("__broken"), F.try_variant_get(v, "$.model", "string").alias("model"), *tokens, F.try_variant_get(v, "$.answers", "map<string, variant>").alias("__answers"))
+    rows = asked.select(item, "question_id", "kind").join(read, item, "left").withColumn("__a", F.try_element_at("__answers", F.col("question_id")))
+    get = lambda name, kind: F.try_variant_get("__a", f"$.{name}", kind)
+    number = F.when(F.col("kind") == "noul", get("noul", "double")).when(F.col("kind") == "score", get("score", "double"))
+    choice = F.when(F.col("kind") == "choice", get("choice", "string"))
+    missing = F.col("__a").isNull() | F.coalesce(F.is_variant_null("__a"), F.lit(True))
+    error = F.when(F.coalesce("__broken", F.lit(False)), F.lit("response isn't JSON")).when(missing, F.concat(F.lit("missing answer for question '"), "question_id", F.lit("'")))
+    error = error.when(((F.col("kind") == "choice") & choice.isNull()) | ((F.col("kind") != "choice") & number.isNull()), F.concat("kind", F.lit(" answer missing '"), "kind", F.lit("' field")))
+    return rows.select(
+        item,
+        "question_id",
+        "kind",
+        F.when(F.col("kind") == "choice", F.coalesce(choice, F.lit(""))).alias("value"),
+        F.when(F.col("kind") != "choice", F.coalesce(number, F.lit(0.0))).alias("number"),
+        F.when((F.col("kind") != "noul") & error.isNull(), get("probabilities", "map<string, double>")).alias("probabilities"),
+        F.when((F.col("kind") != "noul") & error.isNull(), get("confidence", "double")).alias("confidence"),
+        "model",
+        *[F.coalesce(t, F.lit(0).cast("long")).alias(t) for t in ("input_tokens", "output_tokens")],
+        error.alias("error"),
+    )
+
+
 def confidently_wrong(rows: DataFrame, conf: str, correct: str, item: str, n: int = 85) -> DataFrame:
     """The n rows of most confidence with confidence of .75 or more and soft correctness below .35 (a report)."""
     return rows.where((F.col(conf) >= 0.75) & (F.col(correct) < 0.35)).orderBy(F.desc(conf), item).limit(n)

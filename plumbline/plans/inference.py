@@ -318,3 +318,25 @@ def stability_reconciliation(spark, sf):
 def uniform_strategy(spark, sf):
     out = calibrate.both_strategies(V.calibration(spark, sf), ["stratum"])
     return out.where("strategy = 'uniform'").select("stratum", "strategy", *r9("ece"))
+
+
+@query(""", g AS (SELECT source, count(*) AS n, min(n_chars) AS lo, (max(n_chars) - min(n_chars)) / 99 AS step, stddev_samp(n_chars) * pow(count(*), -0.2) AS h FROM documents GROUP BY 1),
+    c AS (SELECT source, n, lo, step, h, round((n_chars - lo) / step)::INT AS at_, count(*) AS k FROM documents JOIN g USING (source) GROUP BY ALL)
+    SELECT source, n, place::INT AS place, round(any_value(lo) + place * any_value(step), 6) AS x, round(sum(k * exp(-(((place - at_) * step / h) ** 2) / 2)) / (any_value(h) * n * sqrt(2 * pi())) * 1000, 9) AS density FROM c, (SELECT unnest(range(100)) AS place) GROUP BY source, n, place""")
+def length_density(spark, sf):
+    """Densities of text lengths by source, times 1,000."""
+    out = rank.density(V.table(spark, sf, "documents").select("source", "n_chars"), ["source"], "n_chars")
+    return out.select("source", "n", "place", F.round("x", 6).alias("x"), F.round(F.col("density") * 1000, 9).alias("density"))
+
+
+@query(", k AS (SELECT item, i, " + _U.format(parts="7, item, i") + """ AS u FROM cal, (SELECT unnest([0, 1, 2]) AS i)), r AS (SELECT item, i, row_number() OVER (PARTITION BY item ORDER BY u, i) AS r FROM k),
+    l AS (SELECT item, string_agg(chr((64 + r)::INT), '' ORDER BY i) AS letters FROM r GROUP BY 1)
+    SELECT item, letters, list_position(probs, list_max(probs)) - 1 AS pred, round(probs[1] * 1 + probs[2] * 2 + probs[3] * 3, 9) AS score FROM cal JOIN l USING (item)""")
+def sentinel_answers(spark, sf):
+    """Log-probabilities keyed by permuted letters, read back as options: the answer doesn't depend on the permutation."""
+    options = F.array(*[F.lit(o) for o in ("low", "mid", "high")])
+    logs = F.transform("probs", lambda p: F.ln(F.nullif(F.round(p, 12), F.lit(0.0))))
+    rows = V.calibration(spark, sf).select("item", X.sentinels(options, 7, F.col("item")).alias("letters"), logs.alias("logs"))
+    p = X.softmax_logs(X.by_option(options, F.col("letters"), F.map_from_arrays("letters", "logs")))
+    rows = rows.withColumn("p", F.transform(p, lambda x: F.round(x, 11)))  # ties of probabilities survive their logarithms
+    return rows.select("item", F.array_join("letters", "").alias("letters"), X.argmax(F.col("p")).alias("pred"), F.round(X.expected_score(F.col("p"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))), 9).alias("score"))

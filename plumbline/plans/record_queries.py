@@ -339,3 +339,27 @@ def paraphrase_faults(spark, sf):
 def unsafe_requests(spark, sf):
     out = records.unsafe(V.table(spark, sf, "documents"), "text", "lang", ("en", "de", "fr"), ("Password", "license"))
     return out.select("doc_id", "bad_status", F.size("tokens").alias("n"))
+
+
+_NAME = "['relation', 'yes', 'level'][k + 1]"
+
+
+@query(""", a AS (SELECT o_orderkey AS item_id, o_orderstatus, k, ['choice', 'noul', 'score'][k + 1] AS kind FROM orders, (SELECT unnest([0, 1, 2]) AS k)),
+    b AS (SELECT *, CASE WHEN item_id % 11 = 0 THEN 'response isn' || chr(39) || 't JSON' WHEN (item_id + k) % 5 = 0 THEN 'missing answer for question ' || chr(39) || """ + _NAME + """ || chr(39) WHEN (item_id + k) % 7 = 0 THEN kind || ' answer missing ' || chr(39) || kind || chr(39) || ' field' END AS error FROM a)
+    SELECT item_id, """ + _NAME + """ AS question_id, kind, CASE WHEN k = 0 THEN CASE WHEN error IS NULL THEN o_orderstatus ELSE '' END END AS value, CASE WHEN k > 0 THEN CASE WHEN error IS NULL THEN k / 4 + item_id % 2 ELSE 0 END END AS number,
+    CASE WHEN k = 0 AND error IS NULL THEN 0.5::DOUBLE END AS confidence, CASE WHEN item_id % 11 > 0 THEN 'm1' END AS model, CASE WHEN item_id % 11 > 0 THEN item_id % 100 ELSE 0 END AS input_tokens, error FROM b""")
+def answered_questions(spark, sf):
+    """Three questions an order, of which some responses leave one out, garble one, or aren't JSON; none asks the fourth."""
+    names, kinds = ["relation", "yes", "level"], ["choice", "noul", "score"]
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), "o_orderstatus")
+    asked = orders.select("item_id", F.explode(F.array(*[F.struct(F.lit(n).alias("question_id"), F.lit(k).alias("kind")) for n, k in zip(names, kinds, strict=True)])).alias("q")).select("item_id", "q.*")
+
+    def answer(k: int):
+        number = F.concat(F.lit(f'"{kinds[k]}": '), (F.lit(k / 4) + F.col("item_id") % 2).cast("string"))
+        field = F.concat(F.lit('"choice": "'), "o_orderstatus", F.lit('", "confidence": 0.5')) if k == 0 else number
+        body = F.when((F.col("item_id") + k) % 7 == 0, F.lit('"other": 1')).otherwise(field)
+        return F.when((F.col("item_id") + k) % 5 != 0, F.concat(F.lit(f'"{names[k]}": {{'), body, F.lit("}")))
+
+    body = F.concat(F.lit('{"model": "m1", "usage": {"input_tokens": '), (F.col("item_id") % 100).cast("string"), F.lit('}, "answers": {'), F.concat_ws(", ", *[answer(k) for k in range(3)], F.lit('"unasked": {"noul": 1}')), F.lit("}}"))
+    responses = orders.select("item_id", F.when(F.col("item_id") % 11 == 0, F.lit("502 Bad Gateway")).otherwise(body).alias("body"))
+    return records.answered(asked, responses).select("item_id", "question_id", "kind", "value", "number", "confidence", "model", "input_tokens", "error")

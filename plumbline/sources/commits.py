@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+HELD = "a row holds a secret; nothing was written"
+
+
 def text_of(df: DataFrame) -> Column:
     """All string values of a row, those within structs, arrays and maps included, as they are and not as JSON writes
     them, one after the other."""
@@ -47,7 +50,7 @@ def guarded(df: DataFrame, secrets: list[str]) -> DataFrame:
     held = F.lit(False)
     for s in filter(None, secrets):
         held = held | F.contains(text_of(df), F.lit(s))
-    stop = F.raise_error(F.lit("a row holds a secret; nothing was committed")).cast("boolean")
+    stop = F.raise_error(F.lit(HELD)).cast("boolean")
     return df.where(F.when(held, stop).otherwise(True))
 
 

@@ -1,21 +1,73 @@
 """Files around a dataset: digests and manifests, guarded appends, validations that fail, run catalogues, reports.
 
-Whole files are read by Spark's binary source, so paths of any store do; what is small (one row a file) is compared by
-joins, and errors name the first offenders.
+Files are listed by metadata and streamed in tasks; what is small (one row a file) is compared by joins, and errors name
+the first offenders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pandas as pd
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TASK_FILES = ("items.jsonl", "labels.jsonl", "schema.json", "README.md")
 
 
-def digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, name, bytes, digest) of the files below path: SHA-256 in hex."""
+#: Bytes that a task holds of a file at a time.
+PIECE = 8 << 20
+#: Stores that tasks read by themselves, piece by piece; files of others come through Spark's binary source, 2 GB at most.
+STREAMED = ("", "file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
+
+
+def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, name, bytes, content) of the files below path; without content, a listing by metadata alone."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+    return files.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), "content")
+
+
+def digest_of(path: str) -> str:
+    """SHA-256 in hex of a file of any size, read in pieces."""
+    import hashlib
+
+    h, (scheme, colon, rest) = hashlib.sha256(), path.partition(":")
+    if not colon or scheme == "file":  # names are as they are, without escapes
+        source = open("/" + rest.lstrip("/") if colon else path, "rb")
+    else:
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        source = store.open_input_stream(name)
+    with source:
+        while piece := source.read(PIECE):
+            h.update(piece)
+    return h.hexdigest()
+
+
+def digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, name, bytes, digest) of the files below path: SHA-256 in hex. Files are listed by metadata and dealt to tasks
+    in turns, the largest first; a task streams each of its files in pieces, so that files of any size have a digest."""
+    files = binary_files(spark, path, glob)
+    # Spark's index holds empty files, its scans leave them out.
+    listed = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    empty = empty.select("path", F.substring_index("path", "/", -1).alias("name"), F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit("").cast("binary"), 256).alias("digest"))
+    first = files.select(F.regexp_extract("path", "^([a-z0-9]+):", 1).alias("s")).first()
+    if first is not None and first["s"] not in STREAMED:
+        return files.select("path", "name", "bytes", F.sha2("content", 256).alias("digest")).union(empty)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.row_number().over(Window.orderBy(F.desc("bytes"), "path")) % tasks
+    dealt = files.drop("content").withColumn("turn", turn).repartition(tasks, "turn").drop("turn")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(digest=[digest_of(p) for p in batch["path"]])
+
+    return dealt.mapInPandas(read, "path string, name string, bytes long, digest string").union(empty)
 
 
 def manifest_lines(files: DataFrame) -> DataFrame:
@@ -24,7 +76,7 @@ def manifest_lines(files: DataFrame) -> DataFrame:
 
 
 def parsed_manifest(lines: DataFrame) -> DataFrame:
-    return lines.where("value rlike '^[0-9a-f]{64}  '").select(F.substring("value", 67, 10_000).alias("name"), F.substring("value", 1, 64).alias("digest"))
+    return lines.where("value rlike '^[0-9a-f]{64}  '").select(F.substr("value", F.lit(67)).alias("name"), F.substring("value", 1, 64).alias("digest"))
 
 
 def compared(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -47,14 +99,16 @@ def task_layout(spark: SparkSession, path: str, required: tuple[str, ...] = TASK
 
 
 def append(df: DataFrame, path: str, secrets: list[str]) -> None:
-    """df appended as JSON lines; an error, and nothing written, if a row holds one of the secrets."""
-    lines = df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"))
-    held = F.lit(False)
-    for s in secrets:
-        held = held | F.contains("value", F.lit(s)) if s else held
-    if not lines.where(held).isEmpty():
-        raise ValueError("a row holds a secret; nothing was written")
-    lines.write.mode("append").text(path)
+    """df appended as JSON lines; an error, and nothing written, if a row holds one of the secrets, whatever the column's
+    type and however JSON would write it. The guard is part of the write, so df is evaluated once."""
+    from plumbline.sources.commits import HELD, guarded
+
+    try:
+        guarded(df, secrets).select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("append").text(path)
+    except PySparkException as error:
+        if HELD in str(error):
+            raise ValueError(HELD) from error
+        raise
 
 
 def faults(checks: dict[str, Column]) -> Column:
