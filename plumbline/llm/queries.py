@@ -57,7 +57,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a cache that outlives the call where the session names its folder in spark.plumbline.token.cache."""
+    """With a cache that outlives the call: in the shared folder, or where the session names one in spark.plumbline.token.cache."""
     cache = spark.conf.get("spark.plumbline.token.cache", None)
     out = tokencount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache_dir=cache, keep=["doc_id"])
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))

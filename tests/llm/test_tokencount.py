@@ -13,6 +13,11 @@ def brute(rows):
     return sorted((d, len((t or "").encode()), len(model.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
 
 
+def lengths(texts):
+    model = Tokenizer.from_file(JSON)
+    return [len(model.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
 def counted(docs, **more):
     return sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(docs, JSON, keep=["doc_id"], **more).collect())
 
@@ -66,3 +71,21 @@ def test_other_library_empty_and_clashing_names(spark, make):
     clash = spark.createDataFrame([(1, "a b", 7, "d")], "doc_id long, text string, N_Tokens int, digest string")
     row = tokencount.count_tokens(clash, JSON).collect()[0]
     assert row["n_tokens"] == 2 and row["digest"] == "d"
+
+
+def test_texts_stay_where_they_lie_whatever_the_copies(spark, tmp_path):
+    rows = [(i, "hot copy of a text") for i in range(300)] + [(7, "equal rows")] * 200 + [(i, f"text {i % 40}") for i in range(200)] + [(None, None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    want = sorted(((d, len((t or "").encode()), n) for (d, t), n in zip(rows, lengths([t for _, t in rows]), strict=True)), key=repr)
+    for most, where in ((10, "a"), (1000, "b"), (0, "c")):  # copies by broadcast and by a join, and missing ones by broadcast
+        got = sorted(map(tuple, tokencount.count_tokens(docs, JSON, keep=["doc_id"], cache_dir=str(tmp_path / where), max_broadcast=most).collect()), key=repr)
+        assert got == want
+        assert spark.read.parquet(str(tmp_path / where)).select("digest").distinct().count() == 43
+
+
+def test_the_default_cache_outlives_the_call(spark, make):
+    docs = make(["a text of its own for this test", "and another"])
+    where = f"{tokencount.shared_dir(spark).rpartition('/')[0]}/token-counts-*"
+    first = counted(docs)
+    size = spark.read.parquet(where).count()
+    assert counted(docs) == first and spark.read.parquet(where).count() == size
