@@ -2,8 +2,7 @@
 
 Each text is keyed by the digest of its content and of the tokenizer's version (the digest of its vocabulary file).
 Keys are joined to the stored counts; only distinct keys without a count are encoded, and their counts appended to
-the cache, a Parquet table in a folder the caller names or, by vocabulary, in the shared one, where it outlives the
-call. Missing keys are found from digests alone, and of a text's rows the one of the least mark (a hash of its other
+the cache, a Parquet table in a folder the caller names, which may outlive the call, or else in the shared one. Missing keys are found from digests alone, and of a text's rows the one of the least mark (a hash of its other
 columns) is encoded, where it lies: texts aren't shuffled while at most MAX_BROADCAST digests have to be sent to them.
 Beyond that they meet the digests by a shuffled join. Rows equal in every column share a mark, and a task encodes them
 once.
@@ -54,15 +53,15 @@ def encoder(kind: str, content: bytes):
 
 def count_tokens(docs: DataFrame, vocabulary: str, *, cache_dir: str | None = None, keep: list[str] | None = None, text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs' columns `keep` (default: all) with n_bytes and n_tokens. vocabulary: a local path on the driver; its
-    content (some MB) goes to the tasks. cache_dir: a folder with the counts known so far (default: one beside the shared
-    folder's others, by vocabulary); grows by this call."""
+    content (some MB) goes to the tasks. cache_dir: a folder with the counts known so far (default: one of this call's
+    own in the shared folder, empty at first); grows by this call."""
     spark = docs.sparkSession
     arrow_limits(spark)
     keep = others(docs.columns if keep is None else keep, ["n_bytes", "n_tokens"])
     with open(vocabulary, "rb") as f:
         content = f.read()
     kind, version = vocabulary.rpartition(".")[2], hashlib.sha256(content).digest()
-    cache_dir = cache_dir or f"{shared_dir(spark).rpartition('/')[0]}/token-counts-{version.hex()}"
+    cache_dir = cache_dir or f"{shared_dir(spark)}/token-counts"
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_dir)  # so that the folder exists
 
     whole = F.coalesce(col(text), F.lit(""))

@@ -81,11 +81,3 @@ def test_texts_stay_where_they_lie_whatever_the_copies(spark, tmp_path):
         got = sorted(map(tuple, tokencount.count_tokens(docs, JSON, keep=["doc_id"], cache_dir=str(tmp_path / where), max_broadcast=most).collect()), key=repr)
         assert got == want
         assert spark.read.parquet(str(tmp_path / where)).select("digest").distinct().count() == 43
-
-
-def test_the_default_cache_outlives_the_call(spark, make):
-    docs = make(["a text of its own for this test", "and another"])
-    where = f"{tokencount.shared_dir(spark).rpartition('/')[0]}/token-counts-*"
-    first = counted(docs)
-    size = spark.read.parquet(where).count()
-    assert counted(docs) == first and spark.read.parquet(where).count() == size
