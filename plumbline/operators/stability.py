@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import bin_digitize, jsd_nats, total, tvd
 from plumbline.operators.calibrate import ece, reliability
 
+#: Different answers of an item that are compared in one array.
+BLOCK = 128
+
 
 def label_stability(df: DataFrame, by: list[str]) -> DataFrame:
     """Per item: repeats, distinct decisions, the most frequent one (ties: the earliest), its count, and whether it flips."""
@@ -23,16 +26,38 @@ def confidence_stability(df: DataFrame, by: list[str]) -> DataFrame:
     return agg.select(*by, "repeats", "mean", "sd", (F.col("hi") - F.col("lo")).alias("range"), F.greatest(F.col("hi") - F.col("mean"), F.col("mean") - F.col("lo")).alias("max_dev"))
 
 
-def pairwise(df: DataFrame, by: list[str], p: str) -> DataFrame:
+def _summed(rows: str, asked=lambda a, b: F.lit(True)) -> Column:
+    """Sums (by the product of counts) and maxima of the pairs in an array of answers that `asked` holds for; one struct an answer."""
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("d", "tv", "max_tv", "js", "max_js")])
+
+    def pair(s: Column, a: Column, b: Column) -> Column:
+        w, tv, js = (a["n"] * b["n"]).cast("double"), tvd(a["p"], b["p"]), jsd_nats(a["p"], b["p"])
+        more = F.struct((s["d"] + w * (a["decision"] != b["decision"]).cast("double")).alias("d"), (s["tv"] + w * tv).alias("tv"), F.greatest(s["max_tv"], tv).alias("max_tv"), (s["js"] + w * js).alias("js"), F.greatest(s["max_js"], js).alias("max_js"))
+        return F.when(asked(a, b), more).otherwise(s)
+
+    return F.transform(rows, lambda a, i: F.aggregate(F.slice(rows, i + 2, F.size(rows)), none, lambda s, b: pair(s, a, b)))
+
+
+def pairwise(df: DataFrame, by: list[str], p: str, block: int = BLOCK) -> DataFrame:
     """Per item of at least two repeats: share of differing pairs, mean and largest pairwise TV and JS (nats). Equal answers
-    (decision and p) are counted first, so an item's pairs are those of its different answers, however often it was asked."""
+    (decision and p) are counted first, so an item's pairs are those of its different answers, however often it was asked.
+    An item of more than `block` different answers is cut into blocks of about so many by a hash, and each pair of blocks is
+    a row of its own: its answers go out once for each block, no pair is ever a row, and no array outgrows two blocks."""
+    answer = F.struct("decision", "p", "n")
     held = df.groupBy(*by, "decision", F.col(p).alias("p")).agg(F.count("*").alias("n"))
-    held = held.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("decision", "p", "n"))).alias("r"), F.sum("n").alias("m")).where("m > 1")
-    pairs = F.flatten(F.transform("r", lambda a, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda b: F.struct((a["n"] * b["n"]).cast("double").alias("w"), (a["decision"] != b["decision"]).cast("double").alias("d"), tvd(a["p"], b["p"]).alias("tv"), jsd_nats(a["p"], b["p"]).alias("js")))))
-    x = held.select(*by, (F.col("m") * (F.col("m") - 1) / 2).cast("int").alias("pairs"), pairs.alias("x"))
-    mean = lambda f: total(F.transform("x", lambda e: e["w"] * e[f])) / F.col("pairs")
+    large = held.groupBy(*by).agg(F.count("*").alias("__answers"), F.sum("n").alias("m")).where(F.col("__answers") > block)
+    few = held.join(large.select(*by), by, "left_anti").groupBy(*by).agg(F.array_sort(F.collect_list(answer)).alias("r"), F.sum("n").alias("m")).where("m > 1")
+    many = held.join(large, by).withColumn("__blocks", F.ceil(F.col("__answers") / block).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("decision", "p"), F.col("__blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    cells = many.groupBy(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list(F.struct("decision", "p", "n", "block"))).alias("r"), F.first("m").alias("m"))
+    across = _summed("r", lambda a, b: (F.col("i") == F.col("j")) | (a["block"] != b["block"]))
+    added = lambda f: total(F.transform("x", lambda e: e[f]))
     most = lambda f: F.coalesce(F.array_max(f"x.{f}"), F.lit(0.0))
-    return x.select(*by, "pairs", mean("d").alias("pair_flip"), mean("tv").alias("mean_tv"), most("tv").alias("max_tv"), mean("js").alias("mean_js"), most("js").alias("max_js"))
+    sums = lambda rows, x: rows.select(*by, "m", x.alias("x")).select(*by, "m", *[added(f).alias(f) for f in ("d", "tv", "js")], *[most(f).alias(f) for f in ("max_tv", "max_js")])
+    joined = sums(cells, across).groupBy(*by, "m").agg(*[F.sum(f).alias(f) for f in ("d", "tv", "js")], *[F.max(f).alias(f) for f in ("max_tv", "max_js")])
+    pairs = F.col("m") * (F.col("m") - 1) / 2
+    out = sums(few, _summed("r")).unionByName(joined)
+    return out.select(*by, pairs.cast("long").alias("pairs"), (F.col("d") / pairs).alias("pair_flip"), (F.col("tv") / pairs).alias("mean_tv"), "max_tv", (F.col("js") / pairs).alias("mean_js"), "max_js")
 
 
 def flip_rate(items: DataFrame, by: list[str], item: str, **how) -> DataFrame:

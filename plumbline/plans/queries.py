@@ -174,7 +174,7 @@ _P = ", j AS (SELECT a.item, (a.decision <> b.decision)::INT AS d, abs(a.confide
 @query(_P + "SELECT item, count(*)::INT AS pairs, round(avg(d), 9) AS pair_flip, round(avg(tv), 9) AS mean_tv, round(max(tv), 9) AS max_tv, round(avg(js), 8) + 0.0 AS mean_js, round(max(js), 8) + 0.0 AS max_js FROM j2 GROUP BY 1")
 def distribution_stability(spark, sf):
     out = stability.pairwise(V.panel(spark, sf), ["item"], "probs")
-    return out.select("item", "pairs", *r9("pair_flip", "mean_tv", "max_tv"), *[(F.round(c, 8) + 0.0).alias(c) for c in ("mean_js", "max_js")])
+    return out.select("item", F.col("pairs").cast("int").alias("pairs"), *r9("pair_flip", "mean_tv", "max_tv"), *[(F.round(c, 8) + 0.0).alias(c) for c in ("mean_js", "max_js")])
 
 
 def _items(spark, sf, by=("item",)):
