@@ -40,6 +40,30 @@ def equal_n(df: DataFrame, stratum: str, item: str, seed: int) -> DataFrame:
     return first_n(df.crossJoin(F.broadcast(least)), [stratum], keyed(F.lit(seed), F.col(item)), F.col("least"), item).drop("least")
 
 
+def strata(df: DataFrame, value: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
+    """df with `stratum`: easy up to the linear quantile `low` of all values, hard from the quantile `high` on, mid between;
+    null of a null. Quantiles that don't differ (or no value at all) are an error."""
+    from plumbline.operators.rank import quantiles
+
+    ends = quantiles(df, [], value, {"__low": low, "__high": high}).agg(F.max("__low").alias("__low"), F.max("__high").alias("__high"))  # one row, of an empty table too
+    stop = F.raise_error(F.concat(F.lit("degenerate quantiles: "), F.coalesce(F.col("__low").cast("string"), F.lit("none")), F.lit(" and "), F.coalesce(F.col("__high").cast("string"), F.lit("none"))))
+    ends = ends.select(F.when(F.col("__low") < F.col("__high"), F.col("__low")).otherwise(stop.cast("double")).alias("__low"), "__high")
+    x = F.col(value)
+    return df.crossJoin(F.broadcast(ends)).withColumn("stratum", F.when(x <= F.col("__low"), "easy").when(x >= F.col("__high"), "hard").when(x.isNotNull(), "mid")).drop("__low", "__high")
+
+
+def balanced(df: DataFrame, value: str, item: str, target: int, seed: int) -> DataFrame:
+    """The easy and the hard pool of strata(): each row with its pool's size, and whether it is among the `target` rows that
+    are drawn from it (`analysis`); the others are the discarded ones. A pool of fewer rows is an error."""
+    pools = strata(df, value).where("stratum in ('easy', 'hard')")
+    sizes = pools.groupBy("stratum").agg(F.count("*").alias("pool"))
+    short = F.raise_error(F.concat(F.lit("pool "), F.col("stratum"), F.lit(" of "), F.col("pool").cast("string"), F.lit(f" rows can't supply {target}")))
+    sizes = sizes.withColumn("pool", F.when(F.col("pool") >= target, F.col("pool")).otherwise(short.cast("long")))
+    chosen = first_n(pools.select(item, "stratum"), ["stratum"], keyed(F.lit(seed), F.col(item)), F.lit(target), item)
+    out = pools.join(F.broadcast(sizes), "stratum")  # two rows
+    return out.join(chosen.select(item, "stratum", F.lit(True).alias("analysis")), [item, "stratum"], "left").withColumn("analysis", F.coalesce("analysis", F.lit(False)))
+
+
 def weighted(df: DataFrame, item: str, replicates: int, seed: int) -> DataFrame:
     """df by replicate (rep) with its weight there; rows of weight 0 are left out. Rows are spread by item first, as each
     becomes many."""
@@ -114,15 +138,29 @@ def delta_ece(df: DataFrame, stratum: str, hard: str, easy: str, bin_of: Column,
     return delta_point(rows, stratum, hard, easy).crossJoin(F.broadcast(ci))  # one row each
 
 
-def jackknife(rows: DataFrame, stratum: str, hard: str, easy: str) -> DataFrame:
-    """Rows with a __bin, with `left_out`: the difference of ECE without the row. A row changes its own bin's gap only."""
+def ece_without(rows: DataFrame, stratum: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a __bin, with `less`: their stratum's ECE without the row, which changes its own bin's gap only; and each
+    stratum's __sum of gaps and number of rows __n."""
     gaps = rows.groupBy(stratum, "__bin").agg((F.sum("conf") - F.sum("correct")).alias("__gap"), F.count("*").alias("__in"))  # two strata of some bins
     sums = gaps.groupBy(stratum).agg(F.sum(F.abs("__gap")).alias("__sum"), F.sum("__in").alias("__n"))
     out = rows.join(F.broadcast(gaps), [stratum, "__bin"]).join(F.broadcast(sums), stratum)
-    other = sums.agg(*[F.max(F.when(F.col(stratum) == s, F.col("__sum") / F.col("__n"))).alias(n) for s, n in ((hard, "__h"), (easy, "__e"))])
     less = (F.col("__sum") - F.abs("__gap") + F.abs(F.col("__gap") - F.col("conf") + F.col("correct"))) / F.nullif(F.col("__n") - 1, F.lit(0))
-    out = out.crossJoin(F.broadcast(other)).withColumn("left_out", F.when(F.col(stratum) == hard, less - F.col("__e")).otherwise(F.col("__h") - less))
-    return out.drop("__gap", "__in", "__sum", "__n", "__h", "__e")
+    return out.withColumn("less", less).drop("__gap", "__in", "__sum", "__n"), sums
+
+
+def jackknife(rows: DataFrame, stratum: str, hard: str, easy: str) -> DataFrame:
+    """Rows with a __bin, with `left_out`: the difference of ECE without the row."""
+    out, sums = ece_without(rows, stratum)
+    other = sums.agg(*[F.max(F.when(F.col(stratum) == s, F.col("__sum") / F.col("__n"))).alias(n) for s, n in ((hard, "__h"), (easy, "__e"))])
+    out = out.crossJoin(F.broadcast(other)).withColumn("left_out", F.when(F.col(stratum) == hard, F.col("less") - F.col("__e")).otherwise(F.col("__h") - F.col("less")))
+    return out.drop("less", "__h", "__e")
+
+
+def paired_jackknife(rows: DataFrame, item: str, model: str, a, b) -> DataFrame:
+    """Per item (of one row of each model): `left_out`, the difference of the models' ECE without both of its rows."""
+    out, _ = ece_without(rows, model)
+    side = lambda m: F.max(F.when(F.col(model) == m, F.col("less")))
+    return out.groupBy(item).agg((side(a) - side(b)).alias("left_out"))
 
 
 def acceleration(values: DataFrame, value: str) -> DataFrame:
@@ -161,15 +199,30 @@ def delta_ece_bca(df: DataFrame, stratum: str, hard: str, easy: str, bin_of: Col
     return point.crossJoin(F.broadcast(a.select("a"))).crossJoin(F.broadcast(ends))
 
 
+def in_both(df: DataFrame, item: str, model: str, a, b, bins: int) -> DataFrame:
+    """binned() rows of the items that both models answered."""
+    both = df.where(F.col(model).isin(a, b)).groupBy(item).agg(F.count_distinct(model).alias("__n")).where("__n = 2").select(item)
+    return binned(df.join(both, item, "left_semi"), model, a, b, X.bin_digitize(F.col("conf"), bins), item)
+
+
 def paired_delta_ece(df: DataFrame, item: str, model: str, a, b, bins: int = 10, *, replicates: int = 100, seed: int = 1) -> DataFrame:
     """ECE of model a less that of b over the items of both, each replicate weighing both sides of an item alike."""
-    both = df.where(F.col(model).isin(a, b)).groupBy(item).agg(F.count_distinct(model).alias("__n")).where("__n = 2").select(item)
-    rows = binned(df.join(both, item, "left_semi"), model, a, b, X.bin_digitize(F.col("conf"), bins), item)
+    rows = in_both(df, item, model, a, b, bins)
     ci = percentiles(delta_replicates(rows, model, a, b, item, replicates, seed), [], "d", low=0.025, high=0.975)
     names = {"ece_hard": "ece_a", "ece_easy": "ece_b"}
     return delta_point(rows, model, a, b).withColumnsRenamed(names).crossJoin(F.broadcast(ci))
 
 
+def paired_delta_ece_bca(df: DataFrame, item: str, model: str, a, b, bins: int = 10, *, replicates: int = 100, seed: int = 1) -> DataFrame:
+    """The paired difference with its BCa interval: point, a, z0, low, high. Replicates weigh, and the jackknife leaves out,
+    whole items; df has one row of an item and model."""
+    rows = in_both(df, item, model, a, b, bins)
+    point = delta_point(rows, model, a, b).select(F.col("delta").alias("point"))
+    accelerated = acceleration(paired_jackknife(rows, item, model, a, b), "left_out")
+    ends = bca_ends(delta_replicates(rows, model, a, b, item, replicates, seed), "d", point, accelerated)
+    return point.crossJoin(F.broadcast(accelerated.select("a"))).crossJoin(F.broadcast(ends))
+
+
 def auroc_bootstrap(df: DataFrame, x: str, y: str, item: str, *, replicates: int = 100, seed: int = 1) -> DataFrame:
     """AUROC with its 95 % percentile interval: every replicate's weighted area, ties by half; one without a class is left out."""
     from plumbline.operators.rankboot import interval

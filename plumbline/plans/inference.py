@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import expr as X
 from plumbline.operators import agree, calibrate, fits, fixed, rank, rankboot, resample, stability
 from plumbline.plans import views as V
-from plumbline.plans.queries import _BOOT, _DE, _U, horner, query, r9
+from plumbline.plans.queries import _BOOT, _DE, _DIV, _KL, _Q, _U, horner, query, r9
 
 _CI = "round(quantile_cont({x}, 0.025), 9) + 0.0 AS low, round(quantile_cont({x}, 0.975), 9) + 0.0 AS high"
 _FLIPS = ", i AS (SELECT client, item, (count(DISTINCT decision) > 1)::INT AS flips FROM panel GROUP BY 1, 2)"
@@ -340,3 +340,69 @@ def sentinel_answers(spark, sf):
     p = X.softmax_logs(X.by_option(options, F.col("letters"), F.map_from_arrays("letters", "logs")))
     rows = rows.withColumn("p", F.transform(p, lambda x: F.round(x, 11)))  # ties of probabilities survive their logarithms
     return rows.select("item", F.array_join("letters", "").alias("letters"), X.argmax(F.col("p")).alias("pred"), F.round(X.expected_score(F.col("p"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))), 9).alias("score"))
+
+
+_Q4 = "SELECT quantile_cont(entropy, 0.25) AS lo, quantile_cont(entropy, 0.75) AS hi FROM votes2"
+
+
+@query(", q AS (" + _Q4 + "), k AS (SELECT item, CASE WHEN entropy <= lo THEN 'easy' WHEN entropy >= hi THEN 'hard' END AS stratum FROM votes2, q), r AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS pool, row_number() OVER (PARTITION BY stratum ORDER BY " + _U.format(parts="20260923, item") + ", item) AS rn FROM k WHERE stratum IS NOT NULL) SELECT item, stratum, pool, rn <= 12 AS analysis FROM r")
+def balanced_pools(spark, sf):
+    """Quartile pools of entropy: 12 rows of each for analysis, the others discarded."""
+    rows = V.votes(spark, sf).select("item", "entropy")
+    return resample.balanced(rows, "entropy", "item", 12, 20260923).select("item", "stratum", "pool", "analysis")
+
+
+_SIDES = _PANELB + """, sides AS (SELECT * FROM pb WHERE client IN (0, 1) AND item IN (SELECT item FROM pb WHERE client IN (0, 1) GROUP BY 1 HAVING count(*) = 2)),
+    g AS (SELECT client, bin, sum(conf) - sum(correct) AS gap FROM sides GROUP BY 1, 2), t AS (SELECT client, sum(abs(gap)) AS s FROM g GROUP BY 1), m AS (SELECT count(*) / 2 AS n FROM sides),
+    j0 AS (SELECT item, client, (t.s - abs(g.gap) + abs(g.gap - conf + correct)) / (m.n - 1) AS less FROM sides JOIN g USING (client, bin) JOIN t USING (client), m),
+    j AS (SELECT item, max(less) FILTER (client = 0) - max(less) FILTER (client = 1) AS left_out FROM j0 GROUP BY 1), jm AS (SELECT avg(left_out) AS mean FROM j),
+    acc AS (SELECT sum((mean - left_out) ** 3) / (6 * sum((mean - left_out) ** 2) ** 1.5) AS a FROM j, jm)"""
+
+
+@query(_SIDES + _BOOT.format(cols="client, bin, conf, correct", item="item", src="sides") + ", b AS (" + _DE.format(by="client, rep", src="w") + """),
+    d AS (SELECT rep, max(ece) FILTER (client = 0) - max(ece) FILTER (client = 1) AS d FROM b GROUP BY 1),
+    pt AS (SELECT (SELECT s / n FROM t, m WHERE client = 0) - (SELECT s / n FROM t, m WHERE client = 1) AS point), sh AS (SELECT greatest(1 / 101, least(100 / 101, avg((d < point)::INT))) AS p FROM d, pt),
+    z AS (SELECT """ + _quantile_sql("p") + """ AS z0, a FROM sh, acc)
+    SELECT round(point, 9) AS point, round(a, 6) AS a, round(z0, 6) AS z0 FROM pt, z""")
+def paired_delta_ece_bca(spark, sf):
+    """Point, acceleration over items, and bias; its ends are tested against numpy."""
+    out = resample.paired_delta_ece_bca(_first(spark, sf), "item", "client", 0, 1)
+    return out.select(*r9("point"), F.round("a", 6).alias("a"), F.round("z0", 6).alias("z0"))
+
+
+_BUNDLE = """, z AS (SELECT *, n * 1.5 AS latency, n / 1000 AS cost FROM calb),
+    s AS (SELECT stratum, count(*) AS n, sum(cost) AS cost, sum(hard::INT) AS ok, avg(hard::INT) AS accuracy, quantile_cont(latency, 0.5) AS p50, quantile_cont(latency, 0.95) AS p95 FROM z GROUP BY 1),
+    e1 AS (SELECT stratum, sum(n * abs(mc - mp)) / sum(n) AS ece FROM (SELECT stratum, bin, count(*) AS n, avg(hard::INT) AS mc, avg(conf) AS mp FROM z GROUP BY 1, 2) GROUP BY 1),
+    k AS (SELECT stratum, k, count(*) FILTER (majority = k) AS t, count(*) FILTER (pred = k) AS p, count(*) FILTER (pred = k AND majority = k) AS tp FROM z, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1, 2),
+    f AS (SELECT stratum, avg(2 * tp / (t + p)) AS macro_f1 FROM k WHERE t + p > 0 GROUP BY 1),
+    o AS (SELECT stratum, k, probs[k + 1] AS x, (majority = k)::INT AS y FROM z, (SELECT unnest([0, 1, 2]) AS k)), o1 AS (SELECT stratum, k, x, sum(y) AS pos, sum(1 - y) AS neg FROM o GROUP BY 1, 2, 3),
+    o2 AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY stratum, k ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM o1),
+    o3 AS (SELECT stratum, k, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc FROM o2 GROUP BY 1, 2), a AS (SELECT stratum, avg(auroc) AS macro_auroc FROM o3 GROUP BY 1)
+    SELECT stratum, n, round(accuracy, 9) AS accuracy, round(macro_f1, 9) AS macro_f1, round(macro_auroc, 9) AS macro_auroc, round(ece, 9) AS ece, round(p50, 9) AS p50, round(p95, 9) AS p95, round(cost, 9) AS cost, round(cost * 1000 / nullif(ok, 0), 6) AS cost_per_thousand
+    FROM s JOIN e1 USING (stratum) JOIN f USING (stratum) JOIN a USING (stratum)"""
+
+
+@query(_BUNDLE)
+def zero_shot_bundle(spark, sf):
+    """All measures of a classifier in one row of each stratum."""
+    rows = V.calibration(spark, sf).withColumns({"latency": F.col("n") * 1.5, "cost": F.col("n") / 1000})
+    out = calibrate.bundle(rows, ["stratum"], label="majority")
+    return out.select("stratum", "n", *r9("accuracy", "macro_f1", "macro_auroc", "ece", "p50", "p95", "cost"), F.round("cost_per_thousand", 6).alias("cost_per_thousand"))
+
+
+@query(_DIV + f"""SELECT stratum, round(avg(({_KL.format(p='np', m='m', log='log2')} + {_KL.format(p='nd', m='m', log='log2')}) / 2), 9) AS jsd, round(avg(({_KL.format(p='u', m='mu', log='log2')} + {_KL.format(p='nd', m='mu', log='log2')}) / 2), 9) AS uniform_jsd
+    FROM (SELECT *, [1/3, 1/3, 1/3] AS u, [(1/3 + nd[i]) / 2 FOR i IN [1, 2, 3]] AS mu FROM d2) GROUP BY 1""")
+def jsd_against_uniform(spark, sf):
+    """Mean Jensen-Shannon divergence (bits) of the labels' distribution from the model's and from equal chances."""
+    third = F.array(*[F.lit(1 / 3)] * 3)
+    d = F.col("label_dist")
+    return V.calibration(spark, sf).groupBy("stratum").agg(F.avg(X.jsd_bits(F.col("probs"), d)).alias("jsd"), F.avg(X.jsd_bits(third, d)).alias("uniform_jsd")).select("stratum", *r9("jsd", "uniform_jsd"))
+
+
+_EQ = "SELECT stratum, '{name}' AS strategy, sum(n)::DOUBLE AS n, round(sum(n * abs(mc - mp)) / sum(n), 9) + 0.0 AS ece, round(max(abs(mc - mp)), 9) + 0.0 AS mce FROM (SELECT stratum, bin, count(*) AS n, avg(correct) AS mc, avg(conf) AS mp FROM ({src}) GROUP BY 1, 2) GROUP BY 1"
+
+
+@query(f", qs AS (SELECT stratum, quantile_cont(conf, [{', '.join(str(i / 10) for i in range(11))}]) AS q FROM cal GROUP BY 1), qe AS (SELECT stratum, q[1] AS e0, {_Q} FROM qs) " + _EQ.format(name="uniform", src="SELECT * FROM calb") + " UNION ALL " + _EQ.format(name="quantile", src="SELECT cal.stratum, conf, correct, " + " + ".join(f"(e{i} <= conf)::INT" for i in range(1, 10)) + " AS bin FROM cal JOIN qe USING (stratum)"))
+def both_strategies(spark, sf):
+    """ECE and MCE by uniform and by quantile bins, a row of each."""
+    return calibrate.both_strategies(V.calibration(spark, sf), ["stratum"]).select("stratum", "strategy", "n", *r9("ece", "mce"))
