@@ -309,6 +309,12 @@ def expected_ece(df: DataFrame, by: list[str], **how) -> DataFrame:
     return calibrated_eces(df, by, **how).groupBy(*by).agg(F.avg("e").alias("expected_ece"))
 
 
+def _tails() -> list[Column]:
+    """Of simulated differences d beside the raw one: their mean, and the shares at least and at most as large."""
+    share = lambda c: F.avg(c.cast("int"))
+    return [F.avg("d").alias("bias"), share(F.col("d") >= F.col("raw")).alias("up"), share(F.col("d") <= F.col("raw")).alias("down"), F.count("*").alias("draws")]
+
+
 def corrected_delta_ece(df: DataFrame, stratum: str, hard: str, easy: str, item: str, *, reference: DataFrame | None = None, bins: int = 10, replicates: int = 100, sims: int = 50, seed: int = 1, **how) -> DataFrame:
     """One row: the raw difference of ECE (floor bins), its bias (that of expected ECE), the corrected one with its
     interval (the bias held fixed), p of as extreme a difference where confidences are right (two-sided), how many
@@ -320,7 +326,7 @@ def corrected_delta_ece(df: DataFrame, stratum: str, hard: str, easy: str, item:
     sim = calibrated_eces(rows, [stratum], item=item, bins=bins, sims=sims, seed=seed, **how)
     null = stored(sim.groupBy("rep").agg((F.max(F.when(F.col(stratum) == hard, F.col("e"))) - F.max(F.when(F.col(stratum) == easy, F.col("e")))).alias("d")))
     point = delta_point(rows, stratum, hard, easy).select(F.col("delta").alias("raw"))
-    tails = null.crossJoin(F.broadcast(point)).agg(F.avg("d").alias("bias"), F.avg((F.col("d") >= F.col("raw")).cast("int")).alias("up"), F.avg((F.col("d") <= F.col("raw")).cast("int")).alias("down"), F.count("*").alias("draws"))
+    tails = null.crossJoin(F.broadcast(point)).agg(*_tails())
     ci = percentiles(delta_replicates(rows, stratum, hard, easy, item, replicates, seed), [], "d", low=0.025, high=0.975)
     out = point.crossJoin(F.broadcast(tails)).crossJoin(F.broadcast(ci))
     side = F.least("up", "down")
@@ -332,6 +338,32 @@ def corrected_delta_ece(df: DataFrame, stratum: str, hard: str, easy: str, item:
     return out.withColumn("verdict", verdict(F.col("corrected"), F.col("p"), F.col("p_holds")))
 
 
+def corrected_by_pass(df: DataFrame, number: str, stratum: str, hard: str, easy: str, item: str, p: str, human: str, *, bins: int = 10, sims: int = 50, seed: int = 1, **how) -> DataFrame:
+    """The corrected soft difference of ECE in every pass, and of the mean vectors over passes (pass 'mean'), always on the same items:
+    those of the first pass, as many of either stratum, as equal_n() draws them. Per pass: items of a stratum, raw, bias, corrected,
+    two-sided p and the number of simulations as extreme; in every row the least and the largest corrected difference. An item that
+    lacks a pass or has one twice is an error. All passes are simulated in one job; passes are of a bounded number."""
+    from plumbline.operators.calibrate import ece, reliability
+    from plumbline.operators.records import mean_over_passes
+
+    first, passes = df.agg(F.min(number), F.count_distinct(number)).first()
+    start = df.where((F.col(number) == F.lit(first)) & F.col(stratum).isin(hard, easy))
+    locked = stored(equal_n(start, stratum, item, seed).select(item, stratum, human))
+    rows = df.select(item, F.col(number).alias("pass"), p).join(locked.select(item), item)
+    means = mean_over_passes(rows, [item], p, passes).withColumn("pass", F.lit("mean"))
+    each = rows.withColumn("pass", F.col("pass").cast("string")).unionByName(means).join(locked, item)
+    each = stored(each.select(item, "pass", stratum, F.array_max(p).alias("conf"), X.soft_correctness(F.col(p), F.col(human)).alias("correct")))
+    by = ["pass", stratum]
+    gap = lambda v: F.max(F.when(F.col(stratum) == hard, F.col(v))) - F.max(F.when(F.col(stratum) == easy, F.col(v)))
+    point = ece(reliability(each, by, X.bin_floor(F.col("conf"), bins)), by).groupBy("pass").agg(F.min("n").cast("long").alias("items"), gap("ece").alias("raw"))
+    null = calibrated_eces(each, by, item=item, bins=bins, sims=sims, seed=seed, **how).groupBy("pass", "rep").agg(gap("e").alias("d"))
+    tails = null.join(F.broadcast(point), "pass").groupBy("pass", "items", "raw").agg(*_tails())
+    side = F.least("up", "down")
+    out = tails.select("pass", "items", "raw", "bias", (F.col("raw") - F.col("bias")).alias("corrected"), F.least(F.lit(1.0), 2 * side).alias("p"), F.round(side * F.col("draws")).cast("long").alias("n_extreme"))
+    out = stored(out)
+    return out.crossJoin(F.broadcast(out.agg(F.min("corrected").alias("least"), F.max("corrected").alias("most"))))
+
+
 def p_holds(df: DataFrame, reference: DataFrame, value: str) -> DataFrame:
     """df with p_holds: the share of reference's d at or below the value; null for a null value or an empty reference. Both
     sides' distinct values are cut into the same cells in one running sum, so neither of them is an array or a broadcast."""

@@ -253,6 +253,24 @@ def nested_cross_validation(spark, sf):
     return got.select(F.col("item").alias("doc_id"), "y", "pred")
 
 
+@query()
+def label_sweep(spark, sf):
+    """How many labels the model of nested_cross_validation needs: accuracy and ECE out of fold by their number."""
+    rows = V.binary(spark, sf).withColumn("x", F.array("p", "conf", F.col("y2").cast("double")))
+    out = fits.label_sweep(rows, "doc_id", "x", "y", "lang", 2, (10, 50, 200, 10**9), outer=3, inner=2, grid=(0.1, 1.0))
+    return out.select("labels", "skipped", "n_train", "folds", *r9("accuracy_mean", "accuracy_sd", "ece"))
+
+
+@query()
+def corrected_pass_sensitivity(spark, sf):
+    """The corrected difference between urgent and low orders in each of the first three lines and of their mean."""
+    lines = V.panel(spark, sf)
+    share = lines.groupBy("item").agg(F.count("*").alias("n"), F.avg((F.col("decision") == "N").cast("double")).alias("s")).where("n >= 3")
+    rows = lines.where("repeat <= 3").join(share.select("item", F.array("s", 1 - F.col("s")).alias("human")), "item")
+    out = resample.corrected_by_pass(rows, "repeat", "tier", "1-URGENT", "5-LOW", "item", "probs", "human")
+    return out.select("pass", "items", *r9("raw", "bias", "corrected", "p", "least", "most"), "n_extreme")
+
+
 @query(", k AS (SELECT doc_id, row_number() OVER (ORDER BY " + _U.format(parts="3, doc_id") + ", doc_id) AS rn FROM labels) SELECT doc_id FROM k WHERE rn <= greatest(1, round_even((SELECT count(*) FROM labels) * 0.15, 0))")
 def agreement_subset(spark, sf):
     return resample.subset(V.table(spark, sf, "labels"), "doc_id", 0.15, 3).select("doc_id")
