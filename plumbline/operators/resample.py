@@ -82,11 +82,16 @@ def percentiles(reps: DataFrame, by: list[str], value: str, **ends: float) -> Da
 
 def bootstrap(df: DataFrame, by: list[str], statistic: Callable[[Column], Column], item: str, *, replicates: int = 100, seed: int = 1) -> DataFrame:
     """Any statistic that is an aggregate of weights, given as a function from the weight column: its point, and its 95 %
-    percentile interval with items drawn anew. Paired comparisons are rows that hold both sides of an item."""
+    percentile interval with items drawn anew. Paired comparisons are rows that hold both sides of an item. Rows of a null group
+    are a group."""
     reps = weighted(df, item, replicates, seed).groupBy(*by, "rep").agg(statistic(F.col("weight")).alias("__s"))
     ci = percentiles(reps, by, "__s", low=0.025, high=0.975)
     point = df.groupBy(*by).agg(F.count("*").alias("n"), statistic(F.lit(1)).alias("point"))
-    return point.join(ci, by) if by else point.crossJoin(F.broadcast(ci))
+    if not by:
+        return point.crossJoin(F.broadcast(ci))
+    ci = ci.select(*[F.col(c).alias(f"__of_{c}") for c in by], "low", "high")
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by]
+    return point.join(ci, same).drop(*[f"__of_{c}" for c in by])
 
 
 def mean_of(value: str) -> Callable[[Column], Column]:

@@ -94,6 +94,44 @@ def boundary(items: DataFrame, threshold: float, bins: int = 10) -> DataFrame:
     return d.groupBy("bin").agg(F.count("*").alias("items"), F.avg("flips").alias("flip_rate"), F.avg("distance").alias("mean_distance"), F.first("slope").alias("slope"), F.first("r").alias("r"))
 
 
+def deciles(items: DataFrame, distance: str) -> DataFrame:
+    """items with `decile` (0 to 9): how many of the nine linear quantiles between are at or below the distance, at 12 places. An
+    edge that isn't above the one before lies 1e-12 above it, so equal distances share a decile and others may stay empty."""
+    from plumbline.operators.rank import quantiles
+
+    d = items.withColumn(distance, F.round(distance, 12))
+    edges = F.broadcast(quantiles(d, [], distance, {f"__e{i}": i / 10 for i in range(10)}).drop("n"))
+    last, above = F.round("__e0", 12), []
+    for i in range(1, 10):
+        last = F.greatest(F.round(f"__e{i}", 12), last + 1e-12)
+        above.append((F.col(distance) >= last).cast("int"))
+    return d.crossJoin(edges).withColumn("decile", sum(above[1:], above[0])).drop(*[f"__e{i}" for i in range(10)])
+
+
+def stability_panel(df: DataFrame, item: str, p: str, threshold: float, values: list[str], model: str, **how) -> DataFrame:
+    """All measures of repeated answers over all items (kind 'all'), by each of an item's values (that of its first repeat; null: the
+    key is null), by the models that answered it (kind `model`; sorted, comma-joined) and by decile of its mean confidence's
+    distance to the threshold (kind 'decile'): items, most repeats, items that flip, their share with 95 % interval, means over items
+    of the confidences' deviation, range and largest deviation, and of mean and largest pairwise TV and JS, and the largest JS.
+    An item of one repeat counts as wholly stable. Items are measured once, then one aggregate serves all kinds."""
+    from plumbline.operators.resample import bootstrap, mean_of
+    from plumbline.sources.tables import stored
+
+    facts = df.groupBy(item).agg(*[F.min_by(v, "repeat").cast("string").alias(v) for v in values], F.array_join(F.sort_array(F.collect_set(F.col(model).cast("string"))), ",").alias(model))
+    labels, spread = label_stability(df, [item]), confidence_stability(df, [item]).drop("repeats")
+    far = ["mean_tv", "max_tv", "mean_js", "max_js"]
+    items = facts.join(labels.select(item, "repeats", "flips"), item).join(spread, item).join(pairwise(df, [item], p).select(item, *far), item, "left")
+    items = stored(items.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in far} | {"distance": F.abs(F.col("mean") - threshold)}))
+    kinds = [("all", F.lit("")), *[(v, F.col(v)) for v in [*values, model]], ("decile", F.col("decile").cast("string"))]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in kinds]))
+    rows = stored(deciles(items, "distance").select(item, "repeats", "flips", "sd", "range", "max_dev", *far, each.alias("k")).select("*", "k.*").drop("k"))
+    mean = lambda c, name: F.avg(c).alias(name)
+    out = rows.groupBy("kind", "key").agg(F.count("*").alias("items"), F.max("repeats").alias("repeats"), F.sum("flips").alias("flipped"), mean("sd", "mean_sd"), mean("range", "mean_range"), mean("max_dev", "mean_max_dev"), mean("mean_tv", "mean_tv"), mean("max_tv", "mean_max_tv"), mean("mean_js", "mean_js"), mean("max_js", "mean_max_js"), F.max("max_js").alias("max_js"))
+    ci = bootstrap(rows.select(item, "kind", "key", "flips"), ["kind", "key"], mean_of("flips"), item, **how)
+    ci = ci.select(F.col("kind").alias("__kind"), F.col("key").alias("__key"), F.col("point").alias("flip_rate"), "low", "high")
+    return out.join(ci, (F.col("kind") == F.col("__kind")) & F.col("key").eqNullSafe(F.col("__key"))).drop("__kind", "__key")
+
+
 def version_changes(df: DataFrame, client: str, order: list[str], version: str, slot: str) -> DataFrame:
     """Rows whose version differs from the one before within (client, slot); slot bounds a window's rows."""
     w = Window.partitionBy(client, slot).orderBy(*order)

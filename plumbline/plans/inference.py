@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import expr as X
 from plumbline.operators import agree, calibrate, fits, fixed, rank, rankboot, resample, stability
 from plumbline.plans import views as V
-from plumbline.plans.queries import _BOOT, _DE, _DIV, _KL, _Q, _U, horner, query, r9
+from plumbline.plans.queries import _BOOT, _DE, _DIV, _KL, _P, _Q, _U, horner, query, r9
 
 _CI = "round(quantile_cont({x}, 0.025), 9) + 0.0 AS low, round(quantile_cont({x}, 0.975), 9) + 0.0 AS high"
 _FLIPS = ", i AS (SELECT client, item, (count(DISTINCT decision) > 1)::INT AS flips FROM panel GROUP BY 1, 2)"
@@ -34,6 +34,24 @@ def paired_flip_rates(spark, sf):
     return out.select("n", *r9("point", "low", "high"), "crosses_zero")
 
 
+_PANEL = _P + """, i AS (SELECT item, min(tier) AS tier, min(o_orderstatus) AS path, array_to_string(list_sort(list_distinct(list(client::VARCHAR))), ',') AS client, count(*) AS repeats, (count(DISTINCT decision) > 1)::INT AS flips, coalesce(stddev_samp(confidence), 0) AS sd, max(confidence) - min(confidence) AS range, greatest(max(confidence) - avg(confidence), avg(confidence) - min(confidence)) AS max_dev, round(abs(avg(confidence) - 0.75), 12) AS distance FROM panel JOIN orders ON item = o_orderkey GROUP BY 1),
+    pw AS (SELECT item, avg(tv) AS mean_tv, max(tv) AS max_tv, avg(js) AS mean_js, max(js) AS max_js FROM j2 GROUP BY 1),
+    e0 AS (SELECT quantile_cont(distance, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM i),
+    e AS (SELECT [list_max([round(q[k], 12) + (n - k) * 1e-12 FOR k IN range(1, n + 1)]) FOR n IN range(2, 11)] AS edges FROM e0),
+    d AS (SELECT i.*, coalesce(mean_tv, 0) AS mean_tv, coalesce(max_tv, 0) AS max_tv, coalesce(mean_js, 0) AS mean_js, coalesce(max_js, 0) AS max_js, len([x FOR x IN edges IF x <= distance])::VARCHAR AS decile FROM i LEFT JOIN pw USING (item), e),
+    x AS (SELECT 'all' AS kind, '' AS key, * FROM d UNION ALL SELECT 'tier', tier, * FROM d UNION ALL SELECT 'path', path, * FROM d UNION ALL SELECT 'client', client, * FROM d UNION ALL SELECT 'decile', decile, * FROM d)"""
+
+
+@query(_PANEL + _BOOT.format(cols="kind, key, flips", item="item", src="x") + """, b AS (SELECT kind, key, rep, sum(w * flips) / sum(w) AS m FROM w WHERE w > 0 GROUP BY 1, 2, 3), ci AS (SELECT kind, key, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM b GROUP BY 1, 2)
+    SELECT kind, key, count(*) AS items, max(repeats) AS repeats, sum(flips)::BIGINT AS flipped, round(avg(flips), 9) AS flip_rate, round(any_value(low), 9) AS low, round(any_value(high), 9) AS high, round(avg(sd), 9) AS mean_sd, round(avg(range), 9) AS mean_range, round(avg(max_dev), 9) AS mean_max_dev, round(avg(mean_tv), 9) AS mean_tv, round(avg(max_tv), 9) AS mean_max_tv, round(avg(mean_js), 8) AS mean_js, round(avg(max_js), 8) AS mean_max_js, round(max(max_js), 8) AS max_js FROM x JOIN ci USING (kind, key) GROUP BY 1, 2""")
+def full_stability_panel(spark, sf):
+    """Every measure of stability over all orders, by priority, state, clients and decile of distance to 0.75."""
+    states = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("path"))
+    out = stability.stability_panel(V.panel(spark, sf).join(states, "item"), "item", "probs", 0.75, ["tier", "path"], "client")
+    js = [F.round(c, 8).alias(c) for c in ("mean_js", "mean_max_js", "max_js")]
+    return out.select("kind", "key", "items", "repeats", "flipped", *r9("flip_rate", "low", "high", "mean_sd", "mean_range", "mean_max_dev", "mean_tv", "mean_max_tv"), *js)
+
+
 _RIGHT = ", r AS (SELECT item, client, max((decision = 'N')::INT) AS ok FROM panel GROUP BY 1, 2), p AS (SELECT a.item, a.ok - b.ok AS d FROM r a JOIN r b USING (item) WHERE a.client = 0 AND b.client = 2)"
 
 

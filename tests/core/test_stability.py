@@ -42,3 +42,39 @@ def test_pairs_of_repeats(spark, repeats, block):
 
 def test_no_repeats(spark):
     assert stability.pairwise(spark.createDataFrame([], "item string, decision string, p array<double>"), ["item"], "p").count() == 0
+
+
+def test_panel_of_all_measures(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for item in range(60):
+        for repeat in range(1 if item == 7 else 4):
+            c = float(rng.choice([0.5, 0.75, 0.875, 1.0])) if item % 3 else 0.75
+            rows.append((f"i{item}", repeat, "ab"[int(rng.random() < 0.3)], c, [c, 1 - c], None if item < 5 else f"t{item % 2}", f"m{item % 2 * repeat}"))
+    df = spark.createDataFrame(rows, "item string, repeat int, decision string, confidence double, probs array<double>, tier string, model string")
+    got = {(r["kind"], r["key"]): r for r in stability.stability_panel(df, "item", "probs", 0.75, ["tier"], "model", replicates=40).collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    facts = {}
+    for item, r in by.items():
+        c = np.array([x[3] for x in r])
+        pairs = all_pairs([(x[2], x[4]) for x in r])[2:] if len(r) > 1 else [0.0] * 4
+        facts[item] = {"tier": r[0][5], "model": ",".join(sorted({x[6] for x in r})), "flips": len({x[2] for x in r}) > 1, "sd": c.std(ddof=1) if len(r) > 1 else 0.0, "distance": round(abs(c.mean() - 0.75), 12), "pairs": pairs}
+    edges = list(np.quantile([f["distance"] for f in facts.values()], np.linspace(0, 1, 11)))
+    for i in range(1, 11):
+        if edges[i] <= edges[i - 1]:
+            edges[i] = edges[i - 1] + 1e-12
+    want = {}
+    for f in facts.values():
+        decile = next((d for d in range(9) if edges[d] <= f["distance"] < edges[d + 1]), 9)
+        for k in (("all", ""), ("tier", f["tier"]), ("model", f["model"]), ("decile", str(decile))):
+            want.setdefault(k, []).append(f)
+    assert set(got) == set(want) and ("tier", None) in got and len([k for k in got if k[0] == "decile"]) < 10
+    for k, fs in want.items():
+        r = got[k]
+        assert r["items"] == len(fs) and r["flipped"] == sum(f["flips"] for f in fs) and r["low"] <= r["flip_rate"] <= r["high"]
+        assert r["mean_sd"] == pytest.approx(np.mean([f["sd"] for f in fs]), abs=1e-12)
+        for at, name in enumerate(("mean_tv", "mean_max_tv", "mean_js", "mean_max_js")):
+            assert r[name] == pytest.approx(np.mean([f["pairs"][at] for f in fs]), abs=1e-12)
+        assert r["max_js"] == pytest.approx(max(f["pairs"][3] for f in fs), abs=1e-12)
