@@ -194,12 +194,13 @@ def ends(reps: DataFrame) -> DataFrame:
 
 def interval(df: DataFrame, metric: str, x: str, target: str, item: str, **how) -> DataFrame:
     """point, low, high, replicates: the metric of x against the target with its 95 % percentile interval."""
+    df = stored(df.select(item, x, target))  # counts, borders, points and replicates all read it
     return point(df, metric, x, target).crossJoin(F.broadcast(ends(METRICS[metric](df, x, target, item, **how))))
 
 
 def difference(df: DataFrame, metric: str, x: str, other: str, target: str, item: str, **how) -> DataFrame:
     """The metric of x less that of another signal on the same rows and replicates; crosses_zero is strict."""
-    rows = df.where(F.col(x).isNotNull() & F.col(other).isNotNull())
+    rows = stored(df.where(F.col(x).isNotNull() & F.col(other).isNotNull()).select(item, x, other, target))
     one, two = (METRICS[metric](rows, c, target, item, **how) for c in (x, other))
     reps = one.join(two.withColumnRenamed("value", "second"), "rep").select("rep", (F.col("value") - F.col("second")).alias("value"))
     both = point(rows, metric, x, target).crossJoin(F.broadcast(point(rows, metric, other, target).withColumnRenamed("point", "second")))
