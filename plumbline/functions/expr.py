@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,10 +28,14 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used, within lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalised(p: Column) -> Column:
     """Entries over their sum; a zero sum leaves them as they are."""
-    s = total(p)
-    return F.transform(p, lambda x: x / F.when(s == 0, 1.0).otherwise(s))
+    return once(p, lambda p: once(total(p), lambda s: F.transform(p, lambda x: x / F.when(s == 0, 1.0).otherwise(s))))
 
 
 def entropy_bits(p: Column) -> Column:

@@ -43,10 +43,13 @@ def noul_value(decision: Column) -> Column:
 def triplet(yes: Column) -> Column:
     """(p, near_zero_sum): three yes-probabilities as a distribution; uniform and marked where they are nearly all 0; p is
     null where one is missing."""
-    s = X.total(F.transform(yes, lambda x: F.coalesce(x, F.lit(0.0))))
-    whole = (F.size(yes) == 3) & F.forall(yes, lambda x: x.isNotNull())
-    p = F.when(whole & (s < NEAR_ZERO), F.array(*[F.lit(1 / 3)] * 3)).when(whole, F.transform(yes, lambda x: x / F.when(s < NEAR_ZERO, 1.0).otherwise(s)))
-    return F.struct(p.alias("p"), (whole & (s < NEAR_ZERO)).alias("near_zero_sum"))
+
+    def of(yes: Column, s: Column) -> Column:
+        whole = (F.size(yes) == 3) & F.forall(yes, lambda x: x.isNotNull())
+        p = F.when(whole & (s < NEAR_ZERO), F.array(*[F.lit(1 / 3)] * 3)).when(whole, F.transform(yes, lambda x: x / F.when(s < NEAR_ZERO, 1.0).otherwise(s)))
+        return F.struct(p.alias("p"), (whole & (s < NEAR_ZERO)).alias("near_zero_sum"))
+
+    return X.once(yes, lambda yes: X.once(X.total(F.transform(yes, lambda x: F.coalesce(x, F.lit(0.0)))), lambda s: of(yes, s)))
 
 
 def nouls(decisions: Column, names: list[str]) -> Column:
@@ -149,9 +152,9 @@ def parsed(body: Column) -> Column:
     """Decisions of a wire response, {"model": ..., "answers": {name: {"type", "choice", "noul", "score", "probabilities"}}}:
     one a name, in order of names. A yes-no answer has no confidence of its own; a score stays a number."""
     schema = "model string, answers map<string,struct<type:string,choice:string,noul:double,score:double,probabilities:map<string,double>>>"
-    r = F.from_json(body, schema)
-    one = lambda e: F.struct(e["key"].alias("question_id"), e["value"]["type"].alias("kind"), e["value"]["choice"].alias("choice"), F.coalesce(e["value"]["noul"], e["value"]["score"]).alias("value"), e["value"]["probabilities"].alias("probabilities"), F.lit(None).cast("double").alias("latency_ms"), r["model"].alias("model"))
-    return F.transform(F.array_sort(F.map_entries(r["answers"]), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), one)
+    one = lambda r, e: F.struct(e["key"].alias("question_id"), e["value"]["type"].alias("kind"), e["value"]["choice"].alias("choice"), F.coalesce(e["value"]["noul"], e["value"]["score"]).alias("value"), e["value"]["probabilities"].alias("probabilities"), F.lit(None).cast("double").alias("latency_ms"), r["model"].alias("model"))
+    by_name = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    return X.once(F.from_json(body, schema), lambda r: F.transform(F.array_sort(F.map_entries(r["answers"]), by_name), lambda e: one(r, e)))
 
 
 def error_decision(question: Column, kind: Column) -> Column:

@@ -10,6 +10,7 @@ from plumbline.operators import agree, calibrate, records
 from plumbline.plans import views as V
 from plumbline.plans.queries import query, r9
 from plumbline.sources import files, jsonl
+from plumbline.sources.tables import spread
 
 ORDER = ["A", "N", "R"]
 NOULS = ["noul_a", "noul_n", "noul_r"]
@@ -20,9 +21,10 @@ _REC = """, rec AS (SELECT l_orderkey::VARCHAR AS item_id, l_suppkey % 3 AS clie
 
 
 def _records(spark, sf) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    lines = V.table(spark, sf, "lineitem").withColumn("pass", F.row_number().over(w))
-    orders = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("tier"))
+    """Lines of an order, spread over tasks by item_id, so that what groups or joins records by it finds them in place."""
+    w = Window.partitionBy("item_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    lines = spread(V.table(spark, sf, "lineitem").withColumn("item_id", F.col("l_orderkey").cast("string")), "item_id").withColumn("pass", F.row_number().over(w))
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_orderpriority").alias("tier"))
     c = 0.5 + 5 * F.col("l_discount")
     latency, model = F.col("l_extendedprice") / 1000, F.concat(F.lit("m"), (F.col("l_suppkey") % 2).cast("string"))
     p = F.map_from_arrays(F.array(*[F.lit(k) for k in ORDER]), F.array(*[F.when(F.col("l_returnflag") == k, c).otherwise((1 - c) / 2) for k in ORDER]))
@@ -34,8 +36,8 @@ def _records(spark, sf) -> DataFrame:
     yes = [F.col("l_quantity") / 50, F.when(F.col("l_linenumber") != 6, F.col("l_tax") * 10), F.col("l_discount") * 10]
     none = F.lit(None)
     asked = [decision("noul_a", "noul", none, yes[0], no_map), decision("relation", "choice", F.col("l_returnflag"), none, p), *[decision(n, "noul", none, y, no_map) for n, y in zip(NOULS[1:], yes[1:], strict=True)]]
-    out = lines.join(orders, "l_orderkey").withColumn("decisions", F.array(*asked))
-    return out.select(F.col("l_orderkey").cast("string").alias("item_id"), (F.col("l_suppkey") % 3).alias("client"), "pass", F.col("pass").alias("seq"), (F.col("l_linenumber") == 7).alias("error"), "tier", "decisions", "l_partkey")
+    out = lines.join(orders, "item_id").withColumn("decisions", F.array(*asked))
+    return out.select("item_id", (F.col("l_suppkey") % 3).alias("client"), "pass", F.col("pass").alias("seq"), (F.col("l_linenumber") == 7).alias("error"), "tier", "decisions", "l_partkey")
 
 
 def _flat(spark, sf) -> DataFrame:
