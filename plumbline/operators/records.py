@@ -7,7 +7,7 @@ order of arrival, settles what would else depend on the order of files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import expr as X
@@ -117,12 +117,35 @@ def zero_shot(choice: Column, probabilities: Column, order: list[str]) -> Column
     return F.struct(p.alias("p"), F.when(place > 0, place - 1).otherwise(X.argmax(p)).cast("int").alias("pred"))
 
 
+def whole_passes(rows: DataFrame, by: list[str], p: str, passes: int, *more: Column) -> DataFrame:
+    """Per group `passes`, an array of (pass, p) in order of passes, and more aggregates; an error for a group without exactly
+    that many passes, without a vector, or with vectors of several lengths. No group brings more than one row beyond `passes`
+    together."""
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy("pass"))
+    some = rows.withColumn("__turn", turn).where(F.col("__turn") <= passes + 1)
+    got = some.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pass", F.col(p).alias("p")))).alias("passes"), *more)
+    lengths, numbers = (F.array_distinct(F.transform("passes", f)) for f in (lambda x: F.greatest(F.lit(0), F.size(x["p"])), lambda x: x["pass"]))
+    bad = (F.size("passes") != passes) | (F.size(F.array_compact(numbers)) != passes) | (F.size(lengths) != 1) | (lengths[0] == 0)
+    stop = F.raise_error(F.concat(F.lit(f"not {passes} passes: "), F.to_json(F.struct(*by))))
+    return got.withColumn("passes", F.when(bad, stop).otherwise(F.col("passes")))
+
+
+def mean_vector(passes: Column) -> Column:
+    """Elementwise means of the vectors of whole_passes(); null elements are left out."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+    def add(s: Column, x: Column) -> Column:
+        return F.struct((s["sum"] + F.coalesce(x, F.lit(0.0))).alias("sum"), (s["n"] + x.isNotNull().cast("int")).alias("n"))
+
+    def mean(at: Column) -> Column:
+        return F.aggregate(passes, start, lambda s, x: add(s, x["p"][at].cast("double")), lambda s: s["sum"] / F.nullif(s["n"], F.lit(0)))
+
+    return F.transform(F.sequence(F.lit(0), F.size(passes[0]["p"]) - 1), mean)
+
+
 def mean_over_passes(rows: DataFrame, by: list[str], p: str, passes: int) -> DataFrame:
-    """Elementwise means of p; an error for a group without exactly that many passes."""
-    sums = rows.select(*by, "pass", F.posexplode(p).alias("at", "x")).groupBy(*by, "at").agg(F.avg("x").alias("x"), F.count_distinct("pass").alias("n"), F.count("*").alias("rows"))
-    out = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v"), F.min("n").alias("n"), F.max("rows").alias("rows"))
-    bad = (F.col("n") != passes) | (F.col("rows") != passes)
-    return out.select(*by, F.when(bad, F.raise_error(F.concat(F.lit(f"not {passes} passes: "), F.to_json(F.struct(*by))))).otherwise(F.col("v.x")).alias(p))
+    """Elementwise means of p; an error for a group without exactly that many passes. Rows without elements don't count."""
+    return whole_passes(rows.where(F.size(p) > 0), by, p, passes).select(*by, mean_vector(F.col("passes")).alias(p))
 
 
 def signals(rows: DataFrame, names: list[str], order: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ closed form from bin sums, one per row, so nothing is computed anew for each ite
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from plumbline.functions import expr as X
 from plumbline.functions.expr import keyed, poisson
 from plumbline.operators.calibrate import ece, reliability
-from plumbline.sources.tables import stored
+from plumbline.sources.tables import parts, spread, stored
 
 
 def first_n(df: DataFrame, by: list[str], key: Column, n: Column | int, tie: str) -> DataFrame:
@@ -278,29 +278,37 @@ def round_robin(df: DataFrame, by: list[str], item: str, n: int, seed: int) -> D
 def calibrated_sums(df: DataFrame, by: list[str], *, conf: str, item: str, kappa: float, votes: int, bins: int, sims: int, seed: int, block: int = 4096) -> DataFrame:
     """Per group, simulation (rep) and bin: n, conf and right, of simulations in which confidences are right. Each row
     draws its share of votes from a Beta-Binomial around its confidence. Rows are dealt by a hash of their item into
-    blocks of about `block`; a block, in order of items, draws from a generator of its own, so partitions don't matter."""
+    blocks of about `block`; a block, in order of items, draws from a generator of its own, so partitions don't matter.
+    A task adds up all of its blocks before it hands out sums."""
     fields = [df.schema[c] for c in by]
-    blocks = max(1, df.count() // block)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["__item", *by, "__conf"], ignore_index=True)
-        p = rows["__conf"].to_numpy()
+    size = df.count()
+    blocks = max(1, size // block)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = [b for b in batches if len(b)]
+        if not read:
+            return
+        rows = pd.concat(read, ignore_index=True).sort_values(["__block", "__item", *by, "__conf"], ignore_index=True)
+        p, block_of = rows["__conf"].to_numpy(), rows["__block"].to_numpy()
         q = np.clip(p, 1e-4, 1 - 1e-4)
-        rng = np.random.default_rng([seed, int(rows["__block"].iloc[0])])
         group = rows.groupby(by, dropna=False).ngroup().to_numpy() if by else np.zeros(len(rows), int)
         cell = group * bins + np.minimum(bins - 1, (p * bins).astype(int))
-        known, where = np.unique(cell, return_inverse=True)
+        known, first, where = np.unique(cell, return_index=True, return_inverse=True)
+        right = np.zeros((sims, len(known)))
+        starts = np.flatnonzero(np.diff(block_of, prepend=-1))
+        for start, stop in zip(starts, [*starts[1:], len(rows)], strict=True):
+            rng = np.random.default_rng([seed, int(block_of[start])])
+            a, b, at = kappa * q[start:stop], kappa * (1 - q[start:stop]), where[start:stop]
+            for s in range(sims):
+                right[s] += np.bincount(at, rng.binomial(votes, rng.beta(a, b)), len(known))
+        out = rows[by].iloc[np.tile(first, sims)].reset_index(drop=True)
         n, total = np.bincount(where), np.bincount(where, p)
-        first = rows.loc[[int(np.flatnonzero(cell == c)[0]) for c in known], by].reset_index(drop=True)
-        parts = []
-        for s in range(sims):
-            right = rng.binomial(votes, rng.beta(kappa * q, kappa * (1 - q))) / votes
-            parts.append(first.assign(rep=s, bin=known % bins, n=n, conf=total, right=np.bincount(where, right)))
-        return pd.concat(parts, ignore_index=True)[[*by, "rep", "bin", "n", "conf", "right"]]
+        yield out.assign(rep=np.repeat(np.arange(sims), len(known)), bin=np.tile(known % bins, sims), n=np.tile(n, sims), conf=np.tile(total, sims), right=right.ravel() / votes)
 
     source = df.select(*by, F.col(conf).cast("double").alias("__conf"), F.xxhash64(item).alias("__item"), F.pmod(F.xxhash64(item, F.lit(seed)), F.lit(blocks)).alias("__block"))
+    source = source.repartition(min(blocks, parts(df.sparkSession, size)), "__block")  # whole blocks, as many in every task
     schema = T.StructType([*fields, *T.StructType.fromDDL("rep long, bin long, n long, conf double, right double")])
-    return source.groupBy("__block").applyInPandas(run, schema).groupBy(*by, "rep", "bin").agg(F.sum("n").alias("n"), F.sum("conf").alias("conf"), F.sum("right").alias("right"))
+    return source.mapInPandas(run, schema).groupBy(*by, "rep", "bin").agg(F.sum("n").alias("n"), F.sum("conf").alias("conf"), F.sum("right").alias("right"))
 
 
 def calibrated_eces(df: DataFrame, by: list[str], *, conf: str = "conf", item: str = "item", kappa: float = 20.0, votes: int = 100, bins: int = 10, sims: int = 50, seed: int = 1) -> DataFrame:
@@ -347,17 +355,20 @@ def corrected_by_pass(df: DataFrame, number: str, stratum: str, hard: str, easy:
     """The corrected soft difference of ECE in every pass, and of the mean vectors over passes (pass 'mean'), always on the same items:
     those of the first pass, as many of either stratum, as equal_n() draws them. Per pass: items of a stratum, raw, bias, corrected,
     two-sided p and the number of simulations as extreme; in every row the least and the largest corrected difference. An item that
-    lacks a pass or has one twice is an error. All passes are simulated in one job; passes are of a bounded number."""
+    lacks a pass or has one twice is an error. df is read once; all passes are simulated in one job; passes are of a bounded number."""
     from plumbline.operators.calibrate import ece, reliability
-    from plumbline.operators.records import mean_over_passes
+    from plumbline.operators.records import mean_vector, whole_passes
 
-    first, passes = df.agg(F.min(number), F.count_distinct(number)).first()
-    start = df.where((F.col(number) == F.lit(first)) & F.col(stratum).isin(hard, easy))
+    answers = stored(df.select(item, F.col(number).alias("pass"), stratum, p, human))
+    first, passes = answers.agg(F.min("pass"), F.count_distinct("pass")).first()
+    start = answers.where((F.col("pass") == F.lit(first)) & F.col(stratum).isin(hard, easy))
     locked = stored(equal_n(start, stratum, item, seed).select(item, stratum, human))
-    rows = df.select(item, F.col(number).alias("pass"), p).join(locked.select(item), item)
-    means = mean_over_passes(rows, [item], p, passes).withColumn("pass", F.lit("mean"))
-    each = rows.withColumn("pass", F.col("pass").cast("string")).unionByName(means).join(locked, item)
-    each = stored(each.select(item, "pass", stratum, F.array_max(p).alias("conf"), X.soft_correctness(F.col(p), F.col(human)).alias("correct")))
+    rows = spread(answers.select(item, "pass", p), item).join(locked, item)
+    rows = whole_passes(rows, [item], p, passes, F.any_value(stratum).alias(stratum), F.any_value(human).alias(human))
+    of_each = F.transform("passes", lambda x: F.struct(x["pass"].cast("string").alias("pass"), x["p"].alias("p")))
+    of_mean = F.struct(F.lit("mean").alias("pass"), mean_vector(F.col("passes")).alias("p"))
+    each = rows.select(item, stratum, human, F.explode(F.concat(of_each, F.array(of_mean))).alias("__x"))
+    each = stored(each.select(item, F.col("__x.pass").alias("pass"), stratum, F.array_max("__x.p").alias("conf"), X.soft_correctness(F.col("__x.p"), F.col(human)).alias("correct")))
     by = ["pass", stratum]
     gap = lambda v: F.max(F.when(F.col(stratum) == hard, F.col(v))) - F.max(F.when(F.col(stratum) == easy, F.col(v)))
     point = ece(reliability(each, by, X.bin_floor(F.col("conf"), bins)), by).groupBy("pass").agg(F.min("n").cast("long").alias("items"), gap("ece").alias("raw"))

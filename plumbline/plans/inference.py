@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import expr as X
@@ -282,9 +283,11 @@ def label_sweep(spark, sf):
 @query()
 def corrected_pass_sensitivity(spark, sf):
     """The corrected difference between urgent and low orders in each of the first three lines and of their mean."""
-    lines = V.panel(spark, sf)
-    share = lines.groupBy("item").agg(F.count("*").alias("n"), F.avg((F.col("decision") == "N").cast("double")).alias("s")).where("n >= 3")
-    rows = lines.where("repeat <= 3").join(share.select("item", F.array("s", 1 - F.col("s")).alias("human")), "item")
+    lines = V.panel(spark, sf).where(F.col("tier").isin("1-URGENT", "5-LOW"))  # an order has one tier
+    of_item = Window.partitionBy("item")
+    share = F.avg((F.col("decision") == "N").cast("double")).over(of_item)
+    rows = lines.withColumns({"n": F.count("*").over(of_item), "s": share}).where("n >= 3 and repeat <= 3")
+    rows = rows.withColumn("human", F.array("s", 1 - F.col("s")))
     out = resample.corrected_by_pass(rows, "repeat", "tier", "1-URGENT", "5-LOW", "item", "probs", "human")
     return out.select("pass", "items", *r9("raw", "bias", "corrected", "p", "least", "most"), "n_extreme")
 
